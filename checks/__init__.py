@@ -1,5 +1,5 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from checks import reports
+from checks import basics, reports
 
-MODULES = [reports]
+MODULES = [reports, basics]
