@@ -1,5 +1,5 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from checks import basics, reports
+from checks import basics, changes, reports
 
-MODULES = [reports, basics]
+MODULES = [reports, basics, changes]

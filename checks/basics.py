@@ -104,7 +104,7 @@ QUERIES = {
     "range_year": on_bank(lambda b: b.tx.filter(p.in_year("ts", 1998) & F.col("state").isin("F", "O"))),
     "range_month_open": on_bank(lambda b: b.tx.filter(p.in_month("ts", 1998, 6) & (F.col("state") != "F"))),
     "last_90_days": on_bank(lambda b: b.tx.filter(p.last("ts", 90, "day", AS_OF))),
-    "like_prefix": on_tables(lambda s, d: p.like_filter(load(s, d, "part", ["p_partkey", "p_name", "p_type"]), "p_type", "%BRASS%")),
+    "like_prefix": on_tables(lambda s, d: p.like_filter(load(s, d, "part", ["p_partkey", "p_name", "p_type"]), "p_type", "%MALL%")),
     "null_or_eq": on_bank(lambda b: totals(b).join(b.clients, "client_id", "right").filter(p.null_or_eq("branch_id", 3))
                           .select("client_id", "branch_id", "amount")),
     "moved_predicates": on_bank(lambda b: b.accounts.filter(
@@ -207,7 +207,7 @@ SQL = {
     "range_year": f"{STAR} SELECT {TX_COLS} FROM tx WHERE year(ts) = 1998 AND state IN ('F', 'O')",
     "range_month_open": f"{STAR} SELECT {TX_COLS} FROM tx WHERE year(ts) = 1998 AND month(ts) = 6 AND state <> 'F'",
     "last_90_days": f"{STAR} SELECT {TX_COLS} FROM tx WHERE ts >= DATE '2001-12-01' - INTERVAL 90 DAY AND ts <= DATE '2001-12-01'",
-    "like_prefix": "SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%BRASS%'",
+    "like_prefix": "SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%MALL%'",
     "null_or_eq": f"""{STAR} SELECT client_id, CAST(branch_id AS BIGINT) AS branch_id, CAST(sum(tx.amount) AS DOUBLE) AS amount
  FROM cli LEFT JOIN (SELECT account_id, client_id FROM acc) USING (client_id) LEFT JOIN tx USING (account_id)
  WHERE coalesce(branch_id, 3) = 3 GROUP BY 1, 2""",
