@@ -1,5 +1,5 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from checks import basics, changes, reports
+from checks import basics, changes, monitoring, reports
 
-MODULES = [reports, basics, changes]
+MODULES = [reports, basics, changes, monitoring]

@@ -405,9 +405,10 @@ SQL = {
     "spread_amount": f"""WITH {TRANSFERS}, o AS (SELECT account_id, row_number() OVER (ORDER BY account_id) AS rn, count(*) OVER () AS n FROM la
  WHERE state = 'ACTIVE' AND account_id <> 1) SELECT account_id, state, type, round(CAST(balance AS DOUBLE) + CASE WHEN account_id = 1 THEN -12345.67
  WHEN rn IS NULL THEN 0 ELSE (1234567 // n + CASE WHEN rn <= 1234567 % n THEN 1 ELSE 0 END) / 100 END, 2) AS balance FROM la LEFT JOIN o USING (account_id)""",
-    "interest": f"""{STAR}, i AS (SELECT *, CAST(round(acc.balance * CASE type WHEN '1-URGENT' THEN 0.025 WHEN '2-HIGH' THEN 0.01 WHEN '5-LOW' THEN 0.045 ELSE 0 END / 365, 2) AS DECIMAL(18,2)) AS interest FROM acc)
- SELECT account_id, client_id, state, type, CAST(i.balance AS DOUBLE) AS balance, opened, CAST(i.interest AS DOUBLE) AS interest,
- CAST(i.balance + i.interest AS DOUBLE) AS new_balance FROM i""",
+    "interest": f"""{STAR}, i AS (SELECT *, CAST((2 * CAST(acc.balance * 100 AS BIGINT) * CASE type WHEN '1-URGENT' THEN 25000 WHEN '2-HIGH' THEN 10000
+ WHEN '5-LOW' THEN 45000 ELSE 0 END + 365000000) // 730000000 AS BIGINT) AS cents FROM acc)
+ SELECT account_id, client_id, state, type, CAST(i.balance AS DOUBLE) AS balance, opened, cents / 100 AS interest,
+ CAST(CAST(i.balance * 100 AS BIGINT) + cents AS DOUBLE) / 100 AS new_balance FROM i""",
     "commissions": f"""{STAR} SELECT {TX_COLS}, CAST(CASE type WHEN 'R' THEN tx.amount * 0.01 WHEN 'N' THEN CASE WHEN tx.amount > 10000 THEN 50 ELSE 25 END
  WHEN 'A' THEN tx.amount * 0.005 END AS DECIMAL(18,4))::DOUBLE AS commission FROM tx WHERE ts >= DATE '1998-01-01' AND ts < DATE '1998-04-01' AND state = 'F'""",
     "low_balance": f"""{STAR} SELECT account_id, client_id, CAST(acc.balance - 60000 AS DOUBLE) AS balance, CASE WHEN acc.balance < 60000 THEN 'OVERDRAWN' ELSE 'LOW' END AS alert
