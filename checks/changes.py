@@ -352,11 +352,11 @@ SQL = {
  SELECT account_id, CAST(balance AS DOUBLE) AS old_value, CAST(balance + net AS DOUBLE) AS new_value, CAST(net AS DOUBLE) AS difference
  FROM acc JOIN n USING (account_id) WHERE net <> 0""",
     "record_history": f"""WITH {PARTS} SELECT 'U' AS op, 'part' AS "table", '14' AS key, TIMESTAMP '2024-01-01' AS ts, 'Update' AS operation FROM m WHERE part_id = 14 AND action = 'UPDATE'""",
-    "all_changes": f"""WITH {FEED} SELECT seq, op, key, kind, CAST(amount AS DOUBLE) AS amount, CASE op WHEN 1 THEN 'DELETE' WHEN 2 THEN 'INSERT'
+    "all_changes": f"""WITH {FEED} SELECT seq, CAST(op AS BIGINT) AS op, key, kind, CAST(amount AS DOUBLE) AS amount, CASE op WHEN 1 THEN 'DELETE' WHEN 2 THEN 'INSERT'
  WHEN 3 THEN 'UPDATE BEFORE' ELSE 'UPDATE AFTER' END AS operation FROM feed WHERE seq BETWEEN 500 AND 4000""",
-    "net_changes": f"WITH {FEED}, {NET} SELECT op, key, seq, kind, CAST(amount AS DOUBLE) AS amount FROM net WHERE op IS NOT NULL",
+    "net_changes": f"WITH {FEED}, {NET} SELECT CAST(op AS BIGINT) AS op, key, seq, kind, CAST(amount AS DOUBLE) AS amount FROM net WHERE op IS NOT NULL",
     "clean_import": f"""WITH {DIRTY} SELECT id, date_text, amount_text, qty_text, email_text, d AS date_text_value, CAST(a AS DOUBLE) AS amount_text_value,
- q AS qty_text_value, CASE WHEN email_text LIKE '%@%.%' THEN email_text END AS email_text_value, status FROM clean""",
+ CAST(q AS BIGINT) AS qty_text_value, CASE WHEN email_text LIKE '%@%.%' THEN email_text END AS email_text_value, status FROM clean""",
     "error_summary": f"WITH {DIRTY} SELECT status, count(*) AS rows FROM clean GROUP BY 1",
     "error_share": f"WITH {DIRTY} SELECT count(*) AS rows, count(*) FILTER (status <> 'OK') AS bad, round(count(*) FILTER (status <> 'OK') * 100.0::DOUBLE / count(*), 4) AS bad_pct FROM clean",
     "parse_by_country": """SELECT o_orderkey AS id, ['ES', 'US', 'MX', 'DE'][o_orderkey % 4 + 1] AS country,

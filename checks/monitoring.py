@@ -281,10 +281,10 @@ SQL = {
  CAST(max(duration) AS DOUBLE) AS longest, CAST(sum(duration) AS DOUBLE) AS total FROM pe GROUP BY 1""",
     "recent_errors": f"""WITH {PARSED} SELECT event_id, name, ts, CAST(pe.duration AS DOUBLE) AS duration, reads, query_hash, login FROM pe
  WHERE name = 'error' AND ts >= TIMESTAMP '2024-01-23 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'""",
-    "errors_by_number": f"WITH {ELOG} SELECT number, count(*) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM el GROUP BY 1",
+    "errors_by_number": f"WITH {ELOG} SELECT CAST(number AS BIGINT) AS number, count(*) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM el GROUP BY 1",
     "errors_by_hour": f"WITH {ELOG} SELECT hour(ts) AS hour, count(*) AS errors FROM el GROUP BY 1",
     "errors_by_procedure": f"WITH {ELOG} SELECT coalesce(procedure, 'Ad-hoc') AS procedure, count(*) AS errors, count(DISTINCT number) AS numbers FROM el GROUP BY 1",
-    "classify_errors": f"""WITH {ELOG} SELECT event_id, ts, number, severity, procedure, CASE WHEN event_id % 9 < 4 THEN 'transient' WHEN event_id % 9 < 8 THEN 'permanent' ELSE 'other' END AS kind,
+    "classify_errors": f"""WITH {ELOG} SELECT event_id, ts, CAST(number AS BIGINT) AS number, severity, procedure, CASE WHEN event_id % 9 < 4 THEN 'transient' WHEN event_id % 9 < 8 THEN 'permanent' ELSE 'other' END AS kind,
  CASE WHEN severity <= 10 THEN 'information' WHEN severity <= 16 THEN 'user' WHEN severity <= 19 THEN 'resource' ELSE 'fatal' END AS band FROM el""",
     "run_history": f"""WITH {RUNS} SELECT run_id, job, step_id, status, run_ts, duration_hhmmss, {_RESULT} AS result, seconds FROM runs
  WHERE step_id = 0 AND status = 1 AND run_ts >= TIMESTAMP '2024-01-18 12:00:00' AND run_ts <= TIMESTAMP '2024-01-25 12:00:00'""",

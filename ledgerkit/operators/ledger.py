@@ -76,15 +76,24 @@ def _accept_in_stream(rows: DataFrame, group: Sequence[str], order: Sequence[str
     def walk(batches):
         current, left = None, 0
         for batch in batches:
-            keys = list(zip(*[batch[g] for g in group]))
-            cents, room = batch["cents"].to_numpy(), batch["room"].to_numpy()
-            taken = np.zeros(len(batch), dtype=bool)
-            for i, key in enumerate(keys):
-                if key != current:
-                    current, left = key, room[i]
-                if cents[i] <= left:
-                    left -= cents[i]
-                    taken[i] = True
+            if batch.empty:
+                continue
+            cents, room = batch["cents"].tolist(), batch["room"].tolist()
+            first = np.zeros(len(batch), dtype=bool)
+            for g in group:
+                values = batch[g].to_numpy()
+                first[1:] |= values[1:] != values[:-1]
+            last = tuple(batch[g].iloc[0] for g in group)
+            first[0] = last != current
+            taken = []
+            for starts, amount, space in zip(first.tolist(), cents, room):
+                if starts:
+                    left = space
+                ok = amount <= left
+                if ok:
+                    left -= amount
+                taken.append(ok)
+            current = tuple(batch[g].iloc[-1] for g in group)
             yield batch.assign(accepted=taken)[[*names, "accepted"]]
 
     arranged = rows.repartition(*group).sortWithinPartitions(*group, *order)
@@ -100,27 +109,23 @@ def accept_in_order(
     ``rows`` carries positive ``cents`` and the group's ``room``. Whether a row fits depends on
     the rows accepted before it, so this is no window function:
 
-    - rows larger than the room can never fit; groups that fit as a whole are accepted whole,
+    - rows above the room can never fit and are settled at once,
     - groups of up to ``group_rows`` rows are walked in order, many groups per task,
     - in a larger group a distributed running sum accepts everything up to the first row that
       does not fit. What is left goes round again with less room and without the rows that have
       become too large.
     """
-    rows = settle(rows)
     fits = F.col("cents") <= F.col("room")
-    rejected = rows.filter(~fits).withColumn("accepted", F.lit(False))
     open_ = rows.filter(fits)
-    size = open_.groupBy(*group).agg(F.sum("cents").alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    sized = open_.join(size, list(group))
-    whole = F.col("__sum") <= F.col("room")
-    large = ~whole & (F.col("__n") > group_rows)
+    out = rows.filter(~fits).withColumn("accepted", F.lit(False))
+    hot = ordered.hot_keys(open_, group, group_rows)
+    if not hot:
+        return out.unionByName(_accept_in_stream(open_, group, order))
+    is_hot = F.xxhash64(*group).isin(hot)
     plain = lambda df: df.select(*rows.columns)
-    out = rejected.unionByName(plain(sized.filter(whole)).withColumn("accepted", F.lit(True)))
-    out = out.unionByName(_accept_in_stream(plain(sized.filter(~whole & ~large)), group, order))
-    if not sized.filter(large).limit(1).count():
-        return out
+    out = out.unionByName(_accept_in_stream(open_.filter(~is_hot), group, order))
     summed = settle(ordered.with_running(
-        plain(sized.filter(large)), group, order, {"__cum": F.col("cents")}, group_rows))
+        open_.filter(is_hot), group, order, {"__cum": F.col("cents")}, group_rows))
     inside = F.col("__cum") <= F.col("room")
     position = F.struct(*order)
     turn = summed.groupBy(*group).agg(
@@ -132,8 +137,8 @@ def accept_in_order(
     out = out.unionByName(plain(summed.filter(inside)).withColumn("accepted", F.lit(True)))
     out = out.unionByName(plain(after.filter(stopped)).withColumn("accepted", F.lit(False)))
     less = (F.col("room") - F.coalesce("__used", F.lit(0))).cast(rows.schema["room"].dataType)
-    rest = after.filter(~stopped).withColumn("room", less)
-    return out.unionByName(accept_in_order(plain(rest), group, order, group_rows))
+    rest = settle(plain(after.filter(~stopped).withColumn("room", less)))
+    return out.unionByName(accept_in_order(rest, group, order, group_rows))
 
 
 def post_withdrawals(

@@ -150,8 +150,9 @@ def batch_bounds(df: DataFrame, key: str, size: int) -> list[float]:
     wanted = min(ordered.MAX_SLICES, math.ceil(row["n"] / size))
     if wanted < 2:
         return [row["top"]]
-    probs = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, max(10_000, 10 * wanted))).first()[0]
+    probs = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
+    cuts = df.select(F.col(key).cast("double").alias("v")).agg(
+        F.expr(f"percentile_approx(v, array({probs}), {max(10_000, 4 * wanted)})")).first()[0]
     return sorted({*cuts, row["top"]})
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4_096
+MAX_SLICES = 20_000
 MAX_HOT_KEYS = 10_000
 GROUP_LIMIT = 1_000  # Spark's default bound for limiting groups before the shuffle
 
@@ -98,12 +98,10 @@ def _edges(df: DataFrame, name: str, rows_per_slice: int) -> tuple[list[float],
     wanted = min(MAX_SLICES, math.ceil(number.filter("v IS NOT NULL").count() / rows_per_slice))
     if wanted < 2:
         return [], []
-    row = number.agg(
-        F.max(F.abs("v")).alias("largest"),
-        F.percentile_approx(
-            "v", [i / wanted for i in range(1, wanted)], max(10_000, 10 * wanted)
-        ).alias("q"),
-    ).first()
+    # As text: the array is one parsed literal instead of thousands of Column objects.
+    probs = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
+    quantiles = F.expr(f"percentile_approx(v, array({probs}), {max(10_000, 4 * wanted)})")
+    row = number.agg(F.max(F.abs("v")).alias("largest"), quantiles.alias("q")).first()
     picked = row["q"]
     repeated = {a for a, b in zip(picked, picked[1:]) if a == b}
     heavy = sorted(repeated) if _exact_in_double(df, name, row["largest"]) else []
@@ -274,7 +272,11 @@ def led(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
     offset: int = 1, rows_per_slice: int | None = None,
 ) -> DataFrame:
-    """``LEAD``, as a lag over the opposite order."""
+    """``LEAD``; over sliced keys as a lag in the opposite order."""
+    laid = layout(df, keys, order, rows_per_slice)
+    if not laid.sliced:
+        w = laid.window()
+        return df.withColumns({new: F.lead(old, offset).over(w) for new, old in columns.items()})
     return lagged(df, keys, flipped(order), columns, offset, rows_per_slice)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and read it from there afterwards.
 
-    Used where a frame feeds several jobs or a loop; the copy outlives lost executors.
+    Used where a frame feeds several jobs or a loop. The copy outlives lost executors, cuts the
+    lineage, and, being Parquet, later jobs read only the columns they need.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
