@@ -1,5 +1,5 @@
 """Registered queries with the SQL that gives the same rows."""
 
-from checks import basics, changes, monitoring, reports
+from checks import basics, changes, monitoring, reports, storage
 
-MODULES = [reports, basics, changes, monitoring]
+MODULES = [reports, basics, changes, monitoring, storage]

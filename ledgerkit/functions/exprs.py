@@ -121,7 +121,7 @@ def stuff(col: Column | str, start: int, length: int, new: str) -> Column:
 def items(col: Column | str, sep: str = ",") -> Column:
     """Parts of a separated list, trimmed, empty parts dropped."""
     parts = F.split(_c(col), F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
 
 
 def money(col: Column | str, sign: str = "$") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,7 +156,12 @@ def search_page(
     if min_balance is not None:
         out = out.filter(F.col("balance") >= min_balance)
     out = cut_page(out, orders.get(order, ["client_id"]), page, size)
-    return out._explain_string(mode="formatted") if debug else out
+    if not debug:
+        return out
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        out.explain("formatted")
+    return text.getvalue()
 
 
 def count_where(registry: Registry, name: str, column: str | None = None, value=None) -> DataFrame:

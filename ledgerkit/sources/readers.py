@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkit.session import settle
+
 CORRUPT = "_corrupt_record"
 
 
@@ -59,15 +61,15 @@ def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
 def load_csv(
     spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",",
 ) -> tuple[DataFrame, DataFrame]:
-    """Bulk load: the rows that fit the schema, and the raw text of those that do not."""
+    """Bulk load: the rows that fit the schema, and the raw text of those that do not.
+
+    The parsed rows are settled first: read from the file directly, Spark would parse only the
+    columns a later step asks for and take bad rows for good ones.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(wide).option("header", header).option("sep", sep).option(
-        "mode", "PERMISSIVE"
-    ).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    # A bare select of the corrupt column is not allowed on a CSV scan, hence the other columns.
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.filter(F.col(CORRUPT).isNotNull())
-    return good, bad
+    raw = settle(spark.read.schema(wide).option("header", header).option("sep", sep).option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.filter(F.col(CORRUPT).isNotNull())
 
 
 def load_log_files(spark: SparkSession, glob: str, kind: str = "text", schema=None) -> DataFrame:
