@@ -12,6 +12,7 @@ from ledgerkit.functions import exprs as x
 from ledgerkit.functions import predicates as p
 from ledgerkit.operators import aggs, govern, joins, ordered, paging, reshape, search
 from ledgerkit.plans.reports import balances, per_client
+from ledgerkit.session import settle
 from ledgerkit.sources import bank as views
 from ledgerkit.sources import generate as g
 from ledgerkit.sources.readers import load, rows_by_key, table_counts
@@ -29,8 +30,9 @@ def totals(b):
 
 
 def client_ranks(b):
-    out = ordered.with_ranks(totals(b), [], "-amount", "rank", "dense", "percent")
-    return ordered.with_ntile(out, [], ["-amount", "client_id"], 4, "quartile")
+    rows = settle(totals(b))
+    out = ordered.with_ntile(rows, [], ["-amount", "client_id"], 4, "quartile")
+    return ordered.with_ranks(out, [], "-amount", "rank", "dense", "percent", source=rows)
 
 
 def scalar_subquery(b):

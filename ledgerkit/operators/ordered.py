@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkit.session import settle
+
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 20_000
 MAX_HOT_KEYS = 10_000
@@ -92,12 +94,17 @@ def _exact_in_double(df: DataFrame, name: str, largest: float) -> bool:
     return largest * 10**scale < 2**53
 
 
-def _edges(df: DataFrame, name: str, rows_per_slice: int) -> tuple[list[float], list[float]]:
-    """Slice edges over the sort column and the values that fill a slice on their own."""
+def _edges(
+    df: DataFrame, name: str, rows_per_slice: int,
+) -> tuple[list[float], list[float], bool]:
+    """Slice edges over the sort column, the values that fill a slice on their own, and whether
+    the nulls alone would fill one."""
     number = df.select(as_number(df, name).alias("v"))
-    wanted = min(MAX_SLICES, math.ceil(number.filter("v IS NOT NULL").count() / rows_per_slice))
+    size = number.agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    many_nulls = size["rows"] - size["n"] > rows_per_slice
+    wanted = min(MAX_SLICES, math.ceil(size["n"] / rows_per_slice))
     if wanted < 2:
-        return [], []
+        return [], [], many_nulls
     # As text: the array is one parsed literal instead of thousands of Column objects.
     probs = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
     quantiles = F.expr(f"percentile_approx(v, array({probs}), {max(10_000, 4 * wanted)})")
@@ -106,7 +113,7 @@ def _edges(df: DataFrame, name: str, rows_per_slice: int) -> tuple[list[float],
     repeated = {a for a, b in zip(picked, picked[1:]) if a == b}
     heavy = sorted(repeated) if _exact_in_double(df, name, row["largest"]) else []
     edges = set(picked) | {math.nextafter(v, math.inf) for v in heavy}
-    return sorted(v for v in edges if math.isfinite(v)), heavy
+    return sorted(v for v in edges if math.isfinite(v)), heavy, many_nulls
 
 
 def _bucket(df: DataFrame, name: str, edges: Sequence[float], target: str) -> DataFrame:
@@ -150,15 +157,14 @@ def layout(
     else:
         is_hot = F.lit(True)
     hot_rows = df.filter(is_hot) if keys else df
-    edges, heavy = _edges(hot_rows, lead, rows_per_slice)
-    many_nulls = hot_rows.filter(F.col(lead).isNull()).count() > rows_per_slice
+    edges, heavy, many_nulls = _edges(hot_rows, lead, rows_per_slice)
     if not edges and not many_nulls:
         return plain
     out = _bucket(df, lead, edges, _S1).withColumn(_S2, F.lit(0).cast("long"))
     second = column_name(order[1]) if len(order) > 1 else None
     if (heavy or many_nulls) and second and isinstance(df.schema[second].dataType, _NUMERIC):
         is_heavy = F.coalesce(as_number(df, lead).isin(heavy), F.lit(True))
-        inner, _ = _edges(hot_rows.filter(is_heavy), second, rows_per_slice)
+        inner, _, _ = _edges(hot_rows.filter(is_heavy), second, rows_per_slice)
         out = _bucket(out, second, inner, "__inner")
         sign = -1 if order[1].startswith("-") else 1
         out = out.withColumn(
@@ -292,13 +298,16 @@ def moving(
 def with_ranks(
     df: DataFrame, keys: Sequence[str], value: str, rank: str | None = None,
     dense: str | None = None, percent: str | None = None, rows_per_slice: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """``RANK``, ``DENSE_RANK`` and ``PERCENT_RANK`` by one value (``"-x"`` ranks downwards).
 
     Where a group is too large for one task the ranks come from the counts per distinct value,
-    so any number of ties stays one row until the final join.
+    so any number of ties stays one row until the final join. ``source`` may name a cheaper
+    frame with the same keys and values to count on.
     """
-    laid = layout(df, keys, [value], rows_per_slice)
+    source = df if source is None else source
+    laid = layout(source, keys, [value], rows_per_slice)
     name = column_name(value)
     if not laid.sliced:
         w = laid.window()
@@ -307,7 +316,7 @@ def with_ranks(
             n: (fn.over(w) if n == percent else fn.over(w).cast("long"))
             for n, fn in wanted.items() if n
         })
-    counts = df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("__n"))
+    counts = settle(source.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("__n")))
     table = with_running(
         counts, keys, [value], {"__upto": F.col("__n"), "__dense": F.lit(1).cast("long")},
         rows_per_slice,
@@ -360,9 +369,9 @@ def exact_percentiles(
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """``PERCENTILE_CONT`` per key: exact, interpolated, from the counts per distinct value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    counts = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n")
-    )
+    ))
     table = with_running(counts, keys, [value], {"__upto": F.col("__n")}, rows_per_slice)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"))
     if keys:

@@ -123,13 +123,13 @@ def monthly_report(
 
 
 def _with_standing(rows: DataFrame) -> DataFrame:
-    """Ranking by amount, running amount, shares and category over all rows of a report."""
+    """Ranking by amount, running amount, shares and category over all (settled) report rows."""
     total = rows.agg(F.sum("amount").alias("t")).scalar()
     out = ordered.with_running(
         rows, [], ["-amount", "client_id"],
         {"ranking": F.lit(1).cast("long"), "running_amount": F.col("amount")},
     )
-    out = ordered.with_ranks(out, [], "amount", percent="standing")
+    out = ordered.with_ranks(out, [], "amount", percent="standing", source=rows)
     return out.select(
         "*", percent("amount", total).alias("share_pct"),
         percent("running_amount", total).alias("running_share_pct"),
@@ -143,7 +143,7 @@ def top_clients(bank: Bank, n: int, lo, hi) -> DataFrame:
     totals = per_client(bank, tx, _count(), _total())
     rows = settle(bank.clients.select("client_id", "name", "segment").join(totals, "client_id"))
     out = _with_standing(rows)
-    out = ordered.with_ranks(out, [], "-amount", dense="dense_ranking")
+    out = ordered.with_ranks(out, [], "-amount", dense="dense_ranking", source=rows)
     # Only the first n rows are shown, so the gap needs no window over all of them.
     head = out.filter(F.col("ranking") <= n)
     before = head.select((F.col("ranking") + 1).alias("ranking"), F.col("amount").alias("above"))
