@@ -180,8 +180,8 @@ def post_withdrawals(
     earlier = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__funds") - F.coalesce(F.sum("taken").over(earlier), F.lit(0))
     short = taken.withColumn("left", before).filter(F.col("left") < F.col("taken"))
-    turn = short.groupBy("account_id").agg(
-        F.min("day").alias("__from"), F.min_by("left", "day").alias("__left"))
+    turn = settle(short.groupBy("account_id").agg(
+        F.min("day").alias("__from"), F.min_by("left", "day").alias("__left")))
     split = by_day.join(turn, "account_id", "left")
     fine = split.filter(F.col("__from").isNull() | (F.col("day") < F.col("__from")))
     tight = split.filter(F.col("day") >= F.col("__from")).withColumn("room", F.col("__left"))

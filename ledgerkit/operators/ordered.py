@@ -141,11 +141,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> list[int]:
 
 def layout(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
-    rows_per_slice: int | None = None,
+    rows_per_slice: int | None = None, size: int | None = None,
 ) -> Layout:
-    """Cut the hot keys of ``df`` along ``order``."""
+    """Cut the hot keys of ``df`` along ``order``. A known ``size`` may save the counting."""
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     plain = Layout(df, tuple(keys), tuple(order), False)
+    if size is not None and size <= rows_per_slice:
+        return plain
     lead = column_name(order[0])
     if not isinstance(df.schema[lead].dataType, _NUMERIC):
         raise TypeError(f"first sort column {lead!r} must be numeric, a date or a timestamp")
@@ -190,10 +192,10 @@ def _carry_on(laid: Layout, carried: DataFrame) -> DataFrame:
 
 def with_running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],
-    rows_per_slice: int | None = None,
+    rows_per_slice: int | None = None, size: int | None = None,
 ) -> DataFrame:
     """Running sums up to and including the row (``ROWS UNBOUNDED PRECEDING``)."""
-    laid = layout(df, keys, order, rows_per_slice)
+    laid = layout(df, keys, order, rows_per_slice, size)
     return _running(laid, sums)
 
 
@@ -298,7 +300,7 @@ def moving(
 def with_ranks(
     df: DataFrame, keys: Sequence[str], value: str, rank: str | None = None,
     dense: str | None = None, percent: str | None = None, rows_per_slice: int | None = None,
-    source: DataFrame | None = None,
+    source: DataFrame | None = None, size: int | None = None,
 ) -> DataFrame:
     """``RANK``, ``DENSE_RANK`` and ``PERCENT_RANK`` by one value (``"-x"`` ranks downwards).
 
@@ -307,7 +309,7 @@ def with_ranks(
     frame with the same keys and values to count on.
     """
     source = df if source is None else source
-    laid = layout(source, keys, [value], rows_per_slice)
+    laid = layout(source, keys, [value], rows_per_slice, size)
     name = column_name(value)
     if not laid.sliced:
         w = laid.window()

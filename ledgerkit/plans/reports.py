@@ -109,7 +109,7 @@ def monthly_report(
 ) -> DataFrame:
     """One page of the top clients of a month with rank, shares, change and category."""
     rows = settle(month_over_month(bank, year, month))
-    ranked = _with_standing(rows)
+    ranked = _with_standing(rows, rows.count())
     chosen = ranked.filter(F.col("ranking") <= top)
     listed = F.least(F.lit(top), rows.agg(F.count(F.lit(1)).alias("n")).scalar())
     first = (page - 1) * size
@@ -122,14 +122,14 @@ def monthly_report(
     ).orderBy("ranking")
 
 
-def _with_standing(rows: DataFrame) -> DataFrame:
+def _with_standing(rows: DataFrame, size: int) -> DataFrame:
     """Ranking by amount, running amount, shares and category over all (settled) report rows."""
     total = rows.agg(F.sum("amount").alias("t")).scalar()
     out = ordered.with_running(
         rows, [], ["-amount", "client_id"],
-        {"ranking": F.lit(1).cast("long"), "running_amount": F.col("amount")},
+        {"ranking": F.lit(1).cast("long"), "running_amount": F.col("amount")}, size=size,
     )
-    out = ordered.with_ranks(out, [], "amount", percent="standing", source=rows)
+    out = ordered.with_ranks(out, [], "amount", percent="standing", source=rows, size=size)
     return out.select(
         "*", percent("amount", total).alias("share_pct"),
         percent("running_amount", total).alias("running_share_pct"),
@@ -142,8 +142,9 @@ def top_clients(bank: Bank, n: int, lo, hi) -> DataFrame:
     tx = bank.tx.filter(p.in_range("ts", lo, hi) & (F.col("state") == DONE))
     totals = per_client(bank, tx, _count(), _total())
     rows = settle(bank.clients.select("client_id", "name", "segment").join(totals, "client_id"))
-    out = _with_standing(rows)
-    out = ordered.with_ranks(out, [], "-amount", dense="dense_ranking", source=rows)
+    size = rows.count()
+    out = _with_standing(rows, size)
+    out = ordered.with_ranks(out, [], "-amount", dense="dense_ranking", source=rows, size=size)
     # Only the first n rows are shown, so the gap needs no window over all of them.
     head = out.filter(F.col("ranking") <= n)
     before = head.select((F.col("ranking") + 1).alias("ranking"), F.col("amount").alias("above"))

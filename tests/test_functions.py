@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ledgerkit.functions import exprs as x
 from ledgerkit.functions import predicates as p
 from ledgerkit.operators import aggs, govern, joins, ordered, paging, quality, reshape, search
-from ledgerkit.plans import fraud, logs, reports
+from ledgerkit.plans import fraud, logs, process, reports
 from ledgerkit.sources import bank as views
 from ledgerkit.sources import generate, readers
 
@@ -315,3 +315,12 @@ def test_top_per_group_beyond_the_limit(bank, monkeypatch, rows):
     want = rows(ordered.top_per_group(bank.tx, ["type"], ["-ts", "account_id", "line", "part_id", "supplier_id"], 30))
     monkeypatch.setattr(ordered, "GROUP_LIMIT", 10)
     assert rows(ordered.top_per_group(bank.tx, ["type"], ["-ts", "account_id", "line", "part_id", "supplier_id"], 30)) == want
+
+
+def test_log_outlives_a_failure(spark):
+    def fails():
+        raise ValueError("no funds")
+
+    results, log = process.run_logged(spark, [("read", lambda: 5), ("post", fails), ("report", lambda: 6)])
+    assert results == [5]
+    assert [tuple(r)[2:] for r in log.orderBy("step").collect()] == [("DONE", None), ("ERROR", "no funds"), ("SKIPPED", None)]
