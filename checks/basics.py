@@ -284,8 +284,8 @@ SQL = {
  round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""",
     "percentiles_all": f"""{STAR} SELECT round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS p50,
  round(quantile_cont(CAST(amount AS DOUBLE), 0.95), 4) AS p95, round(quantile_cont(CAST(amount AS DOUBLE), 0.99), 4) AS p99 FROM tx""",
-    "string_agg": "SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS items FROM events GROUP BY 1",
-    "string_agg_all": f"{STAR} SELECT client_id, string_agg(CAST(account_id AS VARCHAR), ';' ORDER BY account_id) AS items FROM acc GROUP BY 1",
+    "string_agg": "SELECT user_id, CAST(1 AS BIGINT) AS part, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS items FROM events GROUP BY 1",
+    "string_agg_all": f"{STAR} SELECT client_id, CAST(1 AS BIGINT) AS part, string_agg(CAST(account_id AS VARCHAR), ';' ORDER BY account_id) AS items FROM acc GROUP BY 1",
     "avg_last5": """SELECT user_id, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS average, count(*) AS used FROM (SELECT user_id,
  CAST(value AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 GROUP BY 1""",
     "number_rows": f"{STAR} SELECT {TX_COLS}, row_number() OVER (ORDER BY ts, account_id, tx.line, part_id, supplier_id) AS rn FROM tx",

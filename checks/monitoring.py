@@ -259,7 +259,7 @@ SQL = {
     "compliance_ops": f"""WITH {AUDIT} SELECT CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS operation, count(*) AS operations,
  count(DISTINCT "user") AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM audit WHERE {_PERIOD} GROUP BY 1""",
     "compliance_users": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, {_OPS} FROM audit WHERE {_PERIOD} GROUP BY 1 ORDER BY operations DESC, "user" LIMIT 10""",
-    "compliance_nights": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S')) AS times
+    "compliance_nights": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, CAST(1 AS BIGINT) AS part, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S')) AS times
  FROM audit WHERE {_PERIOD} AND (hour(ts) < 8 OR hour(ts) >= 18) GROUP BY 1""",
     "compliance_weekdays": f"WITH {AUDIT} SELECT dayofweek(ts) + 1 AS weekday, dayname(ts) AS day_name, count(*) AS operations FROM audit WHERE {_PERIOD} GROUP BY 1, 2",
     "compliance_retention": f"WITH {AUDIT} SELECT count(*) AS records, min(ts) AS oldest, max(ts) AS newest, date_diff('day', min(ts), max(ts)) AS days FROM audit",

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerkit.functions.exprs import percent
 from ledgerkit.operators import ordered
+from ledgerkit.session import settle
 
-# One row must hold the joined text of a group.
+# Items of a joined text in one row.
 LIST_ITEMS = 1_000_000
 
 
@@ -38,18 +39,22 @@ def string_agg(
 ) -> DataFrame:
     """``STRING_AGG`` in the order of the values.
 
-    The text of a group is one cell, so a group that cannot fit is refused before it is built.
+    One cell cannot hold the list of a very large group, so a list goes on in further rows after
+    every LIST_ITEMS items; ``part`` numbers them from 1. Nearly always there is one part.
     """
-    counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(col).isNotNull())
-    per_group = counts.groupBy(*keys).agg(
-        F.sum(F.lit(1) if distinct else F.col("__n")).alias("items"))
-    if per_group.filter(F.col("items") > LIST_ITEMS).limit(1).count():
-        raise ValueError(f"a group of {list(keys)} has more than {LIST_ITEMS} values of {col}")
-    text = F.col(col).cast("string")
-    repeated = text if distinct else F.array_join(F.array_repeat(text, F.col("__n").cast("int")), sep)
-    packed = counts.select(*keys, F.struct(F.col(col).alias("v"), repeated.alias("t")).alias("x"))
+    counts = settle(df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(
+        (F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("__n")))
+    placed = ordered.with_running(counts, keys, [col], {"__upto": F.col("__n")})
+    first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
+    bound = F.lit(LIST_ITEMS).cast("long")
+    parts = F.sequence(F.floor(first / bound), F.floor(last / bound))
+    rows = placed.withColumn("part", F.explode(parts))
+    start, end = F.col("part") * bound, (F.col("part") + 1) * bound - 1
+    inside = (F.least(last, end) - F.greatest(first, start) + 1).cast("int")
+    text = F.array_join(F.array_repeat(F.col(col).cast("string"), inside), sep)
+    packed = rows.select(*keys, (F.col("part") + 1).alias("part"), F.struct(F.col(col).alias("v"), text.alias("t")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), sep)
-    return packed.groupBy(*keys).agg(joined.alias("items"))
+    return packed.groupBy(*keys, "part").agg(joined.alias("items"))
 
 
 def latency_percentiles(df: DataFrame, keys: Sequence[str], col: str, ps: Sequence[float]) -> DataFrame:

@@ -33,7 +33,7 @@ MAX_HOT_KEYS = 10_000
 GROUP_LIMIT = 1_000  # Spark's default bound for limiting groups before the shuffle
 
 _S1, _S2, _HALO = "__slice", "__subslice", "__halo"
-_NUMERIC = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
 
 
 @dataclass(frozen=True)
@@ -74,8 +74,11 @@ def flipped(order: Sequence[str]) -> list[str]:
     return [item[1:] if item.startswith("-") else "-" + item for item in order]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The sort column as a double that rises with it."""
+def as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """The sort column as a double that never falls where it rises.
+
+    Text gives the number of its six bytes after the first ``skip``, which all rows share.
+    """
     kind = df.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, T.TimestampNTZType):
@@ -85,21 +88,41 @@ def as_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(col).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.hex(F.substring(F.encode(col, "UTF-8"), skip + 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return col.cast("double")
 
 
+def _shared_bytes(df: DataFrame, name: str) -> int:
+    """Length of the beginning all texts have in common: that of the smallest and the largest."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return 0
+    ends = df.agg(F.min(name), F.max(name)).first()
+    if ends[0] is None:
+        return 0
+    low, high = (e.encode() for e in ends)
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return same
+
+
 def _exact_in_double(df: DataFrame, name: str, largest: float) -> bool:
+    """Whether different values always give different numbers."""
     kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return False
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
     return largest * 10**scale < 2**53
 
 
 def _edges(
-    df: DataFrame, name: str, rows_per_slice: int,
+    df: DataFrame, name: str, rows_per_slice: int, skip: int = 0,
 ) -> tuple[list[float], list[float], bool]:
     """Slice edges over the sort column, the values that fill a slice on their own, and whether
     the nulls alone would fill one."""
-    number = df.select(as_number(df, name).alias("v"))
+    number = df.select(as_number(df, name, skip).alias("v"))
     size = number.agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     many_nulls = size["rows"] - size["n"] > rows_per_slice
     wanted = min(MAX_SLICES, math.ceil(size["n"] / rows_per_slice))
@@ -116,7 +139,9 @@ def _edges(
     return sorted(v for v in edges if math.isfinite(v)), heavy, many_nulls
 
 
-def _bucket(df: DataFrame, name: str, edges: Sequence[float], target: str) -> DataFrame:
+def _bucket(
+    df: DataFrame, name: str, edges: Sequence[float], target: str, skip: int = 0,
+) -> DataFrame:
     """Number of the slice a value falls into; nulls before everything else."""
     if not edges:
         return df.withColumn(target, F.lit(0).cast("long"))
@@ -125,7 +150,7 @@ def _bucket(df: DataFrame, name: str, edges: Sequence[float], target: str) -> Da
         splits=[-math.inf, *edges, math.inf], inputCol=source, outputCol=target + "_b",
         handleInvalid="keep",
     )
-    out = split.transform(df.withColumn(source, as_number(df, name)))
+    out = split.transform(df.withColumn(source, as_number(df, name, skip)))
     number = F.when(F.col(source).isNull(), -1).otherwise(F.col(target + "_b").cast("long"))
     return out.withColumn(target, number.cast("long")).drop(source, target + "_b")
 
@@ -149,8 +174,8 @@ def layout(
     if size is not None and size <= rows_per_slice:
         return plain
     lead = column_name(order[0])
-    if not isinstance(df.schema[lead].dataType, _NUMERIC):
-        raise TypeError(f"first sort column {lead!r} must be numeric, a date or a timestamp")
+    if not isinstance(df.schema[lead].dataType, _SORTABLE):
+        raise TypeError(f"first sort column {lead!r} must be a number, a time or text")
     if keys:
         hot = hot_keys(df, keys, rows_per_slice)
         if not hot:
@@ -159,12 +184,13 @@ def layout(
     else:
         is_hot = F.lit(True)
     hot_rows = df.filter(is_hot) if keys else df
-    edges, heavy, many_nulls = _edges(hot_rows, lead, rows_per_slice)
+    skip = _shared_bytes(hot_rows, lead)
+    edges, heavy, many_nulls = _edges(hot_rows, lead, rows_per_slice, skip)
     if not edges and not many_nulls:
         return plain
-    out = _bucket(df, lead, edges, _S1).withColumn(_S2, F.lit(0).cast("long"))
+    out = _bucket(df, lead, edges, _S1, skip).withColumn(_S2, F.lit(0).cast("long"))
     second = column_name(order[1]) if len(order) > 1 else None
-    if (heavy or many_nulls) and second and isinstance(df.schema[second].dataType, _NUMERIC):
+    if (heavy or many_nulls) and second and isinstance(df.schema[second].dataType, _SORTABLE):
         is_heavy = F.coalesce(as_number(df, lead).isin(heavy), F.lit(True))
         inner, _, _ = _edges(hot_rows.filter(is_heavy), second, rows_per_slice)
         out = _bucket(out, second, inner, "__inner")

@@ -235,9 +235,10 @@ def test_reshape_and_lists(spark, monkeypatch):
     assert reshape.to_attributes(df, ["id"], ["k", "v"]).count() == 7
     got = {r["id"]: r["items"] for r in aggs.string_agg(df, ["id"], "k", "|").collect()}
     assert got[1] == "x|x|y"
-    monkeypatch.setattr(aggs, "LIST_ITEMS", 2)
-    with pytest.raises(ValueError):
-        aggs.string_agg(df, ["id"], "k")
+    long = spark.createDataFrame([(1, w) for w in "dabbbbbbca"] + [(2, "z")], "id int, k string")
+    monkeypatch.setattr(aggs, "LIST_ITEMS", 4)
+    parts = sorted((r["id"], r["part"], r["items"]) for r in aggs.string_agg(long, ["id"], "k", "").collect())
+    assert parts == [(1, 1, "aabb"), (1, 2, "bbbb"), (1, 3, "cd"), (2, 1, "z")]
 
 
 def test_masks_and_rows(spark):

@@ -91,3 +91,14 @@ def test_first_last_top_latest(data, rows):
     top = data.withColumn("rn", F.row_number().over(w).cast("long")).filter("rn <= 3")
     assert rows(o.top_per_group(data, ["k"], ["d", "id"], 3)) == rows(top)
     assert o.latest(data, ["k"], ["d", "id"]).count() == data.select("k").distinct().count()
+
+
+def test_text_order_is_sliced(spark, rows):
+    df = spark.range(300).select(
+        (F.col("id") % 2).alias("k"), F.concat(F.lit("2024-01-"), F.lpad((F.col("id") * 7 % 31).cast("string"), 2, "0")).alias("t"), "id")
+    assert o.layout(df, ["k"], ["t", "id"], 20).df.select("__slice").distinct().count() > 3
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.withColumn("rn", F.row_number().over(w).cast("long"))
+    assert rows(o.number_rows(df, ["k"], ["t", "id"], "rn", rows_per_slice=20)) == rows(want)
+    down = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "id")).cast("long"))
+    assert rows(o.number_rows(df, ["k"], ["-t", "id"], "rn", rows_per_slice=20)) == rows(down)
