@@ -138,6 +138,15 @@ def bound(spark, folder):
  WHERE type = :kind AND balance >= :low""", t="ledgerkit_accounts", kind="2-HIGH", low=150000)
 
 
+def from_function(spark, folder):
+    """Accounts of a state over a bound through a table function, called with bound values."""
+    views.accounts(spark, folder).createOrReplaceTempView("ledgerkit_accounts")
+    search.table_function(
+        spark, "ledgerkit_large", "wanted STRING, low DECIMAL(18,2)",
+        "SELECT account_id, client_id, state, type, balance, opened FROM ledgerkit_accounts WHERE state = wanted AND balance >= low")
+    return search.run_sql(spark, "SELECT * FROM ledgerkit_large(:state, CAST(:low AS DECIMAL(18,2)))", state="O", low=200000)
+
+
 def rated(spark, folder):
     """Accounts with the rate of their type, from inline rows."""
     rates = readers.inline(spark, "type string, rate string", [("1-URGENT", "0.02"), ("5-LOW", "0.04")])
@@ -162,6 +171,7 @@ QUERIES = {
     "consolidate": on_bank(consolidated),
     "month_calendar": on_tables(calendar),
     "bound_values": on_tables(bound),
+    "table_function": on_tables(from_function),
     "inline_rates": on_tables(rated),
     "balance_lookup": on_bank(lambda b: reports.balance(b, 77)),
     "list_ordered": on_bank(lambda b: search.list_ordered(b.clients.select("client_id", "name"), {"name": "client_id"}, "other", "client_id")),
@@ -194,6 +204,7 @@ SQL = {
     "month_calendar": """SELECT strftime(d, '%Y-%m-%d') AS date, count(o_orderkey) AS orders
  FROM (SELECT unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON CAST(o_orderdate AS DATE) = d GROUP BY 1""",
     "bound_values": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE type = '2-HIGH' AND acc.balance >= 150000",
+    "table_function": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE state = 'O' AND acc.balance >= 200000",
     "inline_rates": """SELECT o_orderkey AS account_id, o_orderpriority AS type, CASE o_orderpriority WHEN '1-URGENT' THEN '0.02' WHEN '5-LOW' THEN '0.04' END AS r_rate FROM orders""",
     "balance_lookup": f"{STAR} SELECT account_id, CAST(acc.balance AS DOUBLE) AS balance, state FROM acc WHERE account_id = 77",
     "list_ordered": f"{STAR} SELECT client_id, name FROM cli",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import date_diff
 from ledgerkit.operators import ordered
+from ledgerkit.session import settle
 
 # The open end of a version, and the operation codes of a change feed.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -42,7 +43,8 @@ def scd2_apply(
         lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col("__" + c)) for c in tracked])
     action = F.when(F.col(key).isNull(), "NEW").when(F.col("__key").isNull(), "ABSENT").when(
         differs, "CHANGE").otherwise("SAME")
-    both = both.withColumn("action", action)
+    # Read by the numbering, both parts of the dimension and the actions.
+    both = settle(both.withColumn("action", action))
     changed = F.col("action") == "CHANGE"
     existing = both.filter(F.col("action") != "NEW").select(
         "sk", key, *tracked, "start",

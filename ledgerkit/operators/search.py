@@ -33,6 +33,16 @@ def out_value(df: DataFrame):
     return row[0] if row else None
 
 
+def table_function(spark: SparkSession, name: str, parameters: str, query: str) -> None:
+    """A table with parameters, for use in SQL of this session: ``SELECT * FROM name(1, 'x')``.
+
+    The definition is written by the developer; values go in as arguments of the call.
+    """
+    if not name.isidentifier():
+        raise UnknownName(f"function {name!r}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE RETURN {query}")
+
+
 def table(registry: Registry, name: str) -> DataFrame:
     if name not in registry:
         raise UnknownName(f"table {name!r}")

@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs one more shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Merge the sessions of a busy key on the map side before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, database
+from ledgerkit.operators import ordered
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -24,3 +25,10 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf, con, name):
     assert compare(spark, con, sf, QUERIES[name], SQL[name]) is None
+
+
+@pytest.mark.parametrize("name", ["top_clients", "client_ranks", "number_rows", "percentiles", "string_agg_all", "versions", "travel"])
+def test_query_with_everything_sliced(spark, sf, con, name, monkeypatch):
+    """The same rows when nearly every key counts as hot."""
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 10)
+    assert compare(spark, con, sf, QUERIES[name], SQL[name]) is None
