@@ -24,9 +24,25 @@ def bank_star(bank: Bank) -> DataFrame:
     return bank.tx.join(accounts, "account_id").join(clients, "client_id")
 
 
+def keys_of(df: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """The distinct keys, combined on the map side: a hot key arrives as one row per map task."""
+    return df.select(*([on] if isinstance(on, str) else on)).distinct()
+
+
+def left_many(left: DataFrame, right: DataFrame, on: str, listed: DataFrame | None = None) -> DataFrame:
+    """Left join to a side with many rows per key.
+
+    Spark can split a hot key of the many side in an inner join, not as the right of an outer
+    join. So this is the inner join and the left rows without a partner. ``listed`` may name a
+    cheaper frame with the same keys as ``right``.
+    """
+    alone = left.join(keys_of(right if listed is None else listed, on), on, "left_anti")
+    return left.join(right, on).unionByName(alone, allowMissingColumns=True)
+
+
 def left_in_period(left: DataFrame, right: DataFrame, on: str, when: Column) -> DataFrame:
     """Left join with a condition on the right side: every left row stays."""
-    return left.join(right.filter(when), on, "left")
+    return left_many(left, right.filter(when), on)
 
 
 def with_lookups(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str, str]]) -> DataFrame:
@@ -41,11 +57,11 @@ def with_lookups(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str, str
 
 
 def having_any(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return left.join(right, on, "left_semi")
+    return left.join(keys_of(right, on), on, "left_semi")
 
 
 def without_any(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return left.join(right, on, "left_anti")
+    return left.join(keys_of(right, on), on, "left_anti")
 
 
 def having_any_by_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -70,7 +86,8 @@ def not_in(left: DataFrame, col: str, right: DataFrame, key: str) -> DataFrame:
 
 
 def is_in(left: DataFrame, col: str, right: DataFrame, key: str) -> DataFrame:
-    return left.join(right.select(F.col(key).alias("__key")), F.col(col) == F.col("__key"), "left_semi")
+    listed = right.select(F.col(key).alias("__key")).distinct()
+    return left.join(listed, F.col(col) == F.col("__key"), "left_semi")
 
 
 def duplicate_pairs(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -123,7 +140,7 @@ def hinted_join(
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is in a list handed over as a table."""
-    return df.join(ids.select(key), key, "left_semi")
+    return df.join(keys_of(ids, key), key, "left_semi")
 
 
 def hierarchy(df: DataFrame, id_col: str, parent: str) -> DataFrame:

@@ -118,7 +118,7 @@ def archive_older(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to append to the archive, rows that stay). Rows archived before are not added twice."""
     stay, old = delete_where(df, F.col(ts) < p.literal(cutoff))
-    return old.join(archive.select(*keys), list(keys), "left_anti"), stay
+    return old.join(archive.select(*keys).distinct(), list(keys), "left_anti"), stay
 
 
 def mark_inactive(accounts: DataFrame, tx: DataFrame, days: int, as_of, state: str = "I") -> DataFrame:

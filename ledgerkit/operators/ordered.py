@@ -38,12 +38,23 @@ _SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.S
 
 @dataclass(frozen=True)
 class Layout:
-    """A frame with slice columns. ``sliced`` is False when no key needed cutting."""
+    """A frame with slice columns, and the condition of the rows of cut keys.
+
+    ``hot`` is None when no key needed cutting.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    sliced: bool
+    hot: Column | None = None
+
+    @property
+    def sliced(self) -> bool:
+        return self.hot is not None
+
+    def hot_rows(self) -> DataFrame:
+        """Only these have rows in more than one slice."""
+        return self.df.filter(self.hot)
 
     def window(self) -> WindowSpec:
         parts = [*self.keys, _S1, _S2] if self.sliced else list(self.keys)
@@ -170,7 +181,7 @@ def layout(
 ) -> Layout:
     """Cut the hot keys of ``df`` along ``order``. A known ``size`` may save the counting."""
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
-    plain = Layout(df, tuple(keys), tuple(order), False)
+    plain = Layout(df, tuple(keys), tuple(order))
     if size is not None and size <= rows_per_slice:
         return plain
     lead = column_name(order[0])
@@ -200,7 +211,7 @@ def layout(
         ).drop("__inner")
     sign = -1 if order[0].startswith("-") else 1
     out = out.withColumn(_S1, F.when(is_hot, F.col(_S1) * sign).otherwise(F.lit(0)).cast("long"))
-    return Layout(out, tuple(keys), tuple(order), True)
+    return Layout(out, tuple(keys), tuple(order), is_hot)
 
 
 def _carry_on(laid: Layout, carried: DataFrame) -> DataFrame:
@@ -230,7 +241,7 @@ def _running(laid: Layout, sums: Mapping[str, Column]) -> DataFrame:
     if not laid.sliced:
         return laid.df.withColumns({n: F.sum(c).over(frame) for n, c in sums.items()})
     before = laid.slice_window().rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = laid.df.groupBy(*laid.keys, _S1, _S2).agg(
+    per_slice = laid.hot_rows().groupBy(*laid.keys, _S1, _S2).agg(
         *[F.sum(c).alias("__p_" + n) for n, c in sums.items()]
     )
     carried = per_slice.select(
@@ -270,7 +281,7 @@ def with_preceding(
     if not laid.sliced:
         return df.withColumns({name: fn(laid.window()) for name, fn in exprs.items()})
     tail_order = Window.partitionBy(*laid.keys, _S1, _S2).orderBy(*sort_columns(order, flip=True))
-    tails = laid.df.withColumn("__back", F.row_number().over(tail_order)).filter(
+    tails = laid.hot_rows().withColumn("__back", F.row_number().over(tail_order)).filter(
         F.col("__back") <= n
     )
     # At most n rows per slice: the arrays below hold n and n * n rows.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import date_diff, percent, tier
 from ledgerkit.operators import ordered
+from ledgerkit.operators.joins import left_many
 from ledgerkit.session import settle
 from ledgerkit.sources.bank import Bank
 
@@ -198,10 +199,10 @@ def statement(bank: Bank, client_ids: Sequence[int] | None, lo, hi) -> DataFrame
     if client_ids is not None:
         moves = moves.join(accounts.select("account_id"), "account_id", "left_semi")
     signed = F.when(F.col("type") == DEPOSIT, F.col("amount")).otherwise(-F.col("amount"))
-    moves = ordered.with_running(
+    running = ordered.with_running(
         moves, ["account_id"], ["ts", "line", "part_id", "supplier_id"], {"running": signed}
     )
-    return accounts.join(moves, "account_id", "left")
+    return left_many(accounts, running, "account_id", listed=moves)
 
 
 def concentration(bank: Bank, lo, hi) -> tuple[DataFrame, DataFrame]:
