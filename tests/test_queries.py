@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import MODULES
 from checks.compare import compare, database
 from ledgerkit.operators import ordered
 
@@ -15,7 +16,8 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) <= set(QUERIES)
+    for module in MODULES:
+        assert set(module.SQL) == set(module.QUERIES)
 
 
 def test_entry(spark):
