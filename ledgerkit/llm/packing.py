@@ -17,10 +17,12 @@ a null id is carried as it is; an empty table gives no rows. Other columns are n
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,32 @@ from ledgerkit.llm.common import chunks
 WINDOW = 4096
 END_ID = 2
 OPEN_TOKENS = 4 << 20  # ids held in open windows before they are closed
-CACHED_WORDS = 300_000  # words whose ids a task remembers
-# White space to str.split() but not to the tokenizer: texts with them are tokenized whole.
-_OTHER_SPACE = re.compile("[\x1c-\x1f]")
+CACHED_WORDS = 500_000  # pieces whose ids a Python worker remembers
+# Texts that take the plain path through the tokenizer: characters beyond Latin letters, white space
+# that Python and the tokenizer see differently, and the vocabulary's special tokens.
+_PLAIN_PATH = re.compile("[^\x00-\u024f]|[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+# The vocabulary's own split into pieces, for Latin text in lower case (numbers are single signs).
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
 
 
 class WordTokenizer:
-    """Ids of whole texts, tokenizing each distinct word once.
+    """Ids of whole texts, tokenizing each distinct piece once.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words one after the other. Special tokens are words like others to the tokenizer's own rules.
+    The vocabulary's normal form and split into pieces are applied to Latin texts here (they have
+    no combining marks, so lower case is all there is to do); the tokenizer then gives the ids of
+    pieces it has not met. All other texts go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        spec["normalizer"], spec["added_tokens"] = None, []
+        spec["pre_tokenizer"] = next(
+            p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
+        self.pieces = Tokenizer.from_str(json.dumps(spec))
         self.codes: dict[str, int] = {}
         self._clear()
 
@@ -60,11 +72,11 @@ class WordTokenizer:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        """Give codes to the words without one."""
-        new = [w for w in dict.fromkeys(words) if w not in self.codes]
+        """Give codes to the pieces without one."""
+        new = list(set(words).difference(self.codes))
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ids = [e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
@@ -79,26 +91,32 @@ class WordTokenizer:
         """The ids of each text as unsigned 32-bit arrays."""
         if len(self.codes) > CACHED_WORDS:
             self._clear()
-        split = [t.split() if t and not _OTHER_SPACE.search(t) else [] for t in texts]
+        plain = [bool(t) and _PLAIN_PATH.search(t) is not None for t in texts]
+        split = [_PIECES.findall(t.lower()) if t and not p else [] for t, p in zip(texts, plain, strict=True)]
         words = [w for s in split for w in s]
         self._learn(words)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[codes] if len(words) else np.zeros(0, np.int64)
+        sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
-        flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - sizes), sizes) if len(words) else np.zeros(0, np.int64)
-        ids = self.flat[flat]
-        out, at = [], 0
+        first = np.repeat(self.starts[codes] - (ends - sizes), sizes)
+        ids = self.flat[np.arange(len(first)) + first]
         bounds = np.concatenate([[0], ends])
-        for text, s in zip(texts, split, strict=True):
-            if text and not s:
-                whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(whole, np.uint32))
+        out, at = [], 0
+        for text, s, p in zip(texts, split, plain, strict=True):
+            if p:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(ids[bounds[at]:bounds[at + len(s)]])
                 at += len(s)
         return out
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer, with the pieces it has met, for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 class SumOfSquares:
     """Open windows by fill level. A piece is (document, start, ids)."""
 
@@ -183,7 +201,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         base = TaskContext.get().partitionId() << 40
         id_type = [pa.int64()]
 
