@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def id_remainder(column: str, modulus: int) -> Column:
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive slices of about ``limit`` bytes of text, each with its first row number."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(texts).to_pylist()
+    lengths = pc.binary_length(texts).to_pylist()
     for row, length in enumerate(lengths):
         if row > start and size + (length or 0) > limit:
             yield start, texts.slice(start, row - start)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkit import session
-from ledgerkit.llm import packing, quality, shards
+from ledgerkit.llm import decontaminate, packing, quality, secrets, shards, toxicity
 from ledgerkit.llm.common import id_remainder, table
 
 
@@ -33,10 +33,31 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels")
+    network = toxicity.train(docs.where("not held_out"), labels.where(id_remainder("doc_id", 5) != 0))
+    return toxicity.predict(docs, network)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = session.settle(secrets.findings(table(spark, sf_dir, "documents")))
+    forest = secrets.train(secrets.weak_labels(found))
+    return secrets.judge(found, forest).where("is_secret").select("doc_id", "start", "end", "value", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
