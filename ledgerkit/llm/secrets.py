@@ -9,7 +9,7 @@ path, and the words beside it.
 Training takes findings with labels: a table with the columns of ``findings`` and ``label``. Where none
 is at hand, ``weak_labels`` labels findings by their form: a known key format, or a random value that a
 key word is set to, is a secret; runs of plain digits, of dictionary words and of paths are not. At most
-``MAX_LABELLED`` labelled findings, first in the order of their hash, are fitted, with their
+``MAX_LABELLED`` labelled findings, of at most ``MAX_VALUE`` characters, first in the order of their hash, are fitted, with their
 neighbouring text; the forest, its dictionary and its letter pairs come from them. All findings are
 scored.
 
@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
 MAX_LABELLED = 20_000
+MAX_VALUE = 4_096  # longer findings do not train; all are scored
 TREES, DEPTH, BINS, LEAF = 25, 8, 32, 3
 CONTEXT = 60  # characters kept on each side of a candidate
 MASK = "<SECRET>"
@@ -44,7 +45,10 @@ _SET = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"',;<>]{6,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 _KEY_WORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\w-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_-]{10,}|-----BEGIN")
-_FINDING = T.StructType.fromDDL("start long, end long, value string, left string, right string")
+_FINDING = T.StructType([
+    *[T.StructField(name, T.LongType()) for name in ("start", "end")],
+    *[T.StructField(name, T.StringType()) for name in ("value", "left", "right")],
+])
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
@@ -119,7 +123,7 @@ def _ordinary(text: str) -> list[str]:
 
 def _features(value: str, left: str, right: str, pairs: dict[str, float], words: set[str]) -> list[float]:
     n = len(value)
-    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value[:4096]]
+    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value]
     shares = np.bincount(kinds, minlength=4) / max(1, len(kinds))
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1)
     lower = value.lower()
@@ -237,8 +241,8 @@ def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> Forest:
     order = F.xxhash64("value", "left", "right")
     rows = []
     for label in (0, 1):
-        part = labelled.where(F.col("label") == label).orderBy(order, "value", "left", "right").limit(limit // 2)
-        rows += part.select(F.substring("value", 1, 4096).alias("value"), "left", "right", "label").collect()
+        part = labelled.where((F.col("label") == label) & (F.length("value") <= MAX_VALUE)).orderBy(order, "value", "left", "right").limit(limit // 2)
+        rows += part.select("value", "left", "right", "label").collect()
     return fit([r["value"] for r in rows], [r["left"] for r in rows], [r["right"] for r in rows],
                [r["label"] for r in rows])
 

@@ -51,7 +51,7 @@ def words_of(text: str | None) -> list[str]:
 
 def pair_buckets(word: str) -> list[int]:
     """Buckets of the character pairs of a word with its edges marked."""
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     return [(ord(a) * 131 + ord(b)) % PAIRS for a, b in zip(marked, marked[1:], strict=False)]
 
 
