@@ -23,6 +23,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ from ledgerkit.llm.common import chunks
 WINDOW = 4096
 END_ID = 2
 OPEN_TOKENS = 4 << 20  # ids held in open windows before they are closed
-CACHED_WORDS = 500_000  # pieces whose ids a Python worker remembers
-# Texts that take the plain path through the tokenizer: characters beyond Latin letters, white space
-# that Python and the tokenizer see differently, and the vocabulary's special tokens.
-_PLAIN_PATH = re.compile("[^\x00-\u024f]|[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
-# The vocabulary's own split into pieces, for Latin text in lower case (numbers are single signs).
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
+CACHED_WORDS = 700_000  # pieces whose ids a Python worker remembers
+# White space that Python and the tokenizer see differently.
+_OTHER_SPACE = bytes(range(0x1C, 0x20))
+# The vocabulary's own split into pieces, for Latin-1 text in lower case (numbers are single signs).
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 class WordTokenizer:
@@ -63,17 +64,16 @@ class WordTokenizer:
         spec["pre_tokenizer"] = next(
             p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.codes: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.codes.clear()
+        self.codes: dict[str, int] = {}  # number of a piece; its ids are in flat, from starts, sizes long
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Give codes to the pieces without one."""
-        new = list(set(words).difference(self.codes))
+    def _learn(self, pieces: list[str]) -> None:
+        """Give numbers to the pieces without one."""
+        new = list(set(pieces).difference(self.codes))
         if not new:
             return
         ids = [e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False)]
@@ -81,7 +81,7 @@ class WordTokenizer:
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used:self.used + total] = [i for x in ids for i in x]
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += total
@@ -91,7 +91,7 @@ class WordTokenizer:
         """The ids of each text as unsigned 32-bit arrays."""
         if len(self.codes) > CACHED_WORDS:
             self._clear()
-        plain = [bool(t) and _PLAIN_PATH.search(t) is not None for t in texts]
+        plain = [bool(t) and _plain_path(t) for t in texts]
         split = [_PIECES.findall(t.lower()) if t and not p else [] for t, p in zip(texts, plain, strict=True)]
         words = [w for s in split for w in s]
         self._learn(words)
@@ -111,6 +111,15 @@ class WordTokenizer:
         return out
 
 
+def _plain_path(text: str) -> bool:
+    """Whether a text must go through the tokenizer whole: signs beyond Latin-1, or special tokens."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return len(raw.translate(None, _OTHER_SPACE)) < len(raw) or "<|startoftext|>" in text or "<|endoftext|>" in text
+
+
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
     """One tokenizer, with the pieces it has met, for all tasks of a Python worker."""
