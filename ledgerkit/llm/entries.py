@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkit import session
-from ledgerkit.llm import decontaminate, jaccard, licenses, lines, packing, quality, secrets, shards, toxicity
+from ledgerkit.llm import decontaminate, jaccard, licenses, lines, packing, quality, repeats, secrets, shards, toxicity
 from ledgerkit.llm.common import id_remainder, table
 
 
@@ -27,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.matches(table(spark, sf_dir, "documents"))
 
 
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_license_scan": op3_license_scan,
+    "op4_repeat_removal": op4_repeat_removal,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,

@@ -270,11 +270,12 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     grams = ordered.select(F.explode("grams").alias("g")).select(place(F.col("g")).alias("p"))
     cuts = grams.agg(F.percentile_approx("p", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000)).first()[0]
     fragment = lambda g: sum((place(g) > c).cast("int") for c in cuts)
-    parts = settle(ordered.select("id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("fragment"), F.transform(
-            F.filter("grams", lambda g, i=i: fragment(g) == i), lambda g: g["gram"]).alias("grams"))
-        for i in range(FRAGMENTS)
-    ])).alias("s")).select("id", "s.fragment", "s.grams").where(F.size("grams") > 0))
+
+    def part(i: int) -> Column:
+        mine = F.filter("grams", lambda g: fragment(g) == i)
+        return F.struct(F.lit(i).alias("fragment"), F.transform(mine, lambda g: g["gram"]).alias("grams"))
+
+    parts = settle(ordered.select("id", F.explode(F.array(*map(part, range(FRAGMENTS)))).alias("s")).select("id", "s.fragment", "s.grams").where(F.size("grams") > 0))
     sizes = ordered.select("id", "n")
 
     links, comps, before, turn = None, None, None, 0
