@@ -14,8 +14,8 @@ All suffixes of a corpus are too many to sort, so the refinement works on those
    everything up to ``LENGTH`` bytes away) are covered from end to end.
 3. The others are refined by identifiers of the bytes at later and earlier offsets: first for ranges
    of leads (``CELL`` wide). Places that share a range's common core stay in one bucket, those that
-   share its whole hull need no further step, and only buckets between the two are refined to
-   single leads. From the largest and the smallest lead that is shared follows what a place
+   share its whole hull need no further step, and only buckets with others among them are refined
+   to single leads. From the largest and the smallest lead that is shared follows what a place
    covers, since all its strings contain the place.
 
 Bucket identifiers are hashes of the bytes (64 bits beside the bucket's own 64) instead of ranks, for
@@ -190,10 +190,15 @@ def _shared(names: DataFrame) -> DataFrame:
 
 def refine(around: DataFrame) -> DataFrame:
     """(mid, low, high): the smallest and the largest lead of a place that another place shares."""
-    shared = settle(_shared(_names(around, _ranges)).groupBy("mid", "low", "high").agg(F.max("whole").alias("whole")))
-    open_cells = shared.where("not whole").groupBy("mid").agg(F.collect_list("low").alias("cells"))
+    shared = settle(_shared(_names(around, _ranges)))
+    done = shared.where("whole").select("mid", "low", "high")
+    # A core with a place whose hull is its own is refined, by all places that have the core.
+    cores = settle(shared.where("not whole").join(
+        done.select("mid", "low", F.lit(True).alias("done")), ["mid", "low"], "left"))
+    undecided = cores.where("done is null").select("h", "name").distinct()
+    open_cells = cores.join(undecided, ["h", "name"]).groupBy("mid").agg(F.collect_list("low").alias("cells"))
     leads = _shared(_names(around.join(open_cells, "mid"), _single_leads))
-    return shared.where("whole").select("mid", "low", "high").unionAll(leads.select("mid", "low", "high")).groupBy("mid").agg(
+    return done.unionAll(leads.select("mid", "low", "high")).groupBy("mid").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
 
 
