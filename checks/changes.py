@@ -206,8 +206,25 @@ val AS (SELECT req.*, CASE WHEN amount <= 0 THEN 50001 WHEN amount > 1000000 THE
  WHEN d.state <> 'ACTIVE' THEN 50009 END AS code FROM req LEFT JOIN la s ON s.account_id = source LEFT JOIN la d ON d.account_id = dest)"""
 
 
+TRANSFER_ORDER = ["line", "supplier_id", "dest", "amount"]
+# Each request of a source sees what the accepted ones before it have left.
+POSTED = TRANSFERS + """,
+step AS (SELECT req.*, s.balance AS funds, row_number() OVER (PARTITION BY source ORDER BY line, supplier_id, dest, amount) AS rn,
+ CASE WHEN amount <= 0 THEN 50001 WHEN amount > 1000000 THEN 50002 WHEN source = dest THEN 50003 WHEN s.state IS NULL THEN 50004
+ WHEN s.state <> 'ACTIVE' THEN 50005 WHEN s.type = 'TERM' THEN 50006 END AS f, CASE WHEN d.state IS NULL THEN 50008 WHEN d.state <> 'ACTIVE' THEN 50009 END AS l
+ FROM req LEFT JOIN la s ON s.account_id = source LEFT JOIN la d ON d.account_id = dest),
+walk AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS rn, CAST(funds AS DECIMAL(38,2)) AS rest, CAST(NULL AS INTEGER) AS code FROM step
+ UNION ALL SELECT v.source, v.rn, CAST(w.rest - CASE WHEN f IS NULL AND l IS NULL AND amount <= w.rest THEN amount ELSE 0 END AS DECIMAL(38,2)),
+ CASE WHEN f IS NOT NULL THEN f WHEN amount > w.rest THEN 50007 ELSE l END FROM walk w JOIN step v ON v.source = w.source AND v.rn = w.rn + 1),
+posted AS (SELECT step.* EXCLUDE (funds, rn, f, l), walk.code FROM step JOIN walk ON step.source = walk.source AND step.rn = walk.rn)"""
+
+
+def posted_transfers(s, d):
+    return ledger.post_transfers(transfer_requests(s, d), ledger_accounts(s, d), TRANSFER_ORDER)
+
+
 def accepted_transfers(s, d):
-    return ledger.validate_transfers(transfer_requests(s, d), ledger_accounts(s, d)).filter("code IS NULL")
+    return posted_transfers(s, d).filter("code IS NULL")
 
 
 def deposit_requests(spark, folder):
@@ -288,6 +305,7 @@ QUERIES = {
     "dup_keys": on(lambda s, d: quality.dup_keys(load(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])),
     "profile_types": on(lambda s, d: quality.profile_types(load(s, d, "lineitem"))),
     "validate_transfers": on(lambda s, d: ledger.validate_transfers(transfer_requests(s, d), ledger_accounts(s, d))),
+    "post_transfers": on(posted_transfers),
     "validate_deposits": on(lambda s, d: ledger.validate_deposits(deposit_requests(s, d), ledger_accounts(s, d), ["CASH", "CHEQUE"])),
     "apply_postings": on(lambda s, d: ledger.apply_postings(ledger_accounts(s, d), accepted_transfers(s, d))),
     "post_withdrawals": on(lambda s, d: ledger.post_withdrawals(withdrawal_requests(s, d), supplier_accounts(s, d), ORDER)),
@@ -388,9 +406,10 @@ SQL = {
  SELECT account_id, part_id, line, CAST(amount AS DOUBLE) AS amount, origin, CASE WHEN r.amount <= 0 THEN 'AMOUNT' WHEN origin = 'OTHER' THEN 'ORIGIN'
  WHEN origin = 'CASH' AND r.amount > 50000 THEN 'NEEDS_APPROVAL' WHEN la.state IS NULL THEN 'UNKNOWN_ACCOUNT' WHEN la.state <> 'ACTIVE' THEN 'NOT_ACTIVE'
  ELSE 'OK' END AS status FROM r LEFT JOIN la USING (account_id)""",
-    "apply_postings": f"""WITH {TRANSFERS}, n AS (SELECT id, sum(c) AS net FROM (SELECT source AS id, -amount AS c FROM val WHERE code IS NULL
- UNION ALL SELECT dest, amount FROM val WHERE code IS NULL) GROUP BY 1) SELECT account_id, state, type, CAST(balance + coalesce(net, 0) AS DOUBLE) AS balance
+    "apply_postings": f"""WITH RECURSIVE {POSTED}, n AS (SELECT id, sum(c) AS net FROM (SELECT source AS id, -amount AS c FROM posted WHERE code IS NULL
+ UNION ALL SELECT dest, amount FROM posted WHERE code IS NULL) GROUP BY 1) SELECT account_id, state, type, CAST(balance + coalesce(net, 0) AS DOUBLE) AS balance
  FROM la LEFT JOIN n ON id = account_id""",
+    "post_transfers": f"WITH RECURSIVE {POSTED} SELECT source, dest, CAST(amount AS DOUBLE) AS amount, line, supplier_id, CAST(code AS BIGINT) AS code FROM posted",
     "post_withdrawals": """WITH RECURSIVE req AS (SELECT l_suppkey AS account_id, strftime(l_shipdate, '%Y-%m-01') AS day, l_shipdate AS ts, l_orderkey AS order_id,
  CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part_id, CAST(round(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) / 10.0) AS BIGINT) AS cents,
  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -34,22 +35,64 @@ def _case(rules: Sequence[tuple[Column, int | str]], other=None) -> Column:
     return out
 
 
-def validate_transfers(
-    req: DataFrame, accounts: DataFrame, active: str = "ACTIVE", term: str = "TERM",
-) -> DataFrame:
-    """Requests (source, dest, amount) with the code of the first failing rule, null when good."""
+def _transfer_rules(req: DataFrame, accounts: DataFrame, active: str, term: str) -> DataFrame:
+    """Requests with the first failing rule before (``__first``) and after (``__last``) that of funds."""
     side = lambda name: accounts.select(
-        F.col("account_id").alias(name), F.col("state").alias(name + "_state"),
-        F.col("type").alias(name + "_type"), F.col("balance").alias(name + "_balance"))
+        F.col("account_id").alias(name), F.col("state").alias(f"__{name}_state"),
+        F.col("type").alias(f"__{name}_type"), F.col("balance").alias(f"__{name}_balance"))
     rows = req.join(side("source"), "source", "left").join(side("dest"), "dest", "left")
-    code = _case([
+    first = _case([
         (F.col("amount") <= 0, 50001), (F.col("amount") > TRANSFER_LIMIT, 50002),
-        (F.col("source") == F.col("dest"), 50003), (F.col("source_state").isNull(), 50004),
-        (F.col("source_state") != active, 50005), (F.col("source_type") == term, 50006),
-        (F.col("source_balance") < F.col("amount"), 50007), (F.col("dest_state").isNull(), 50008),
-        (F.col("dest_state") != active, 50009),
+        (F.col("source") == F.col("dest"), 50003), (F.col("__source_state").isNull(), 50004),
+        (F.col("__source_state") != active, 50005), (F.col("__source_type") == term, 50006),
     ])
-    return rows.select(*req.columns, code.cast("int").alias("code"))
+    last = _case([(F.col("__dest_state").isNull(), 50008), (F.col("__dest_state") != active, 50009)])
+    return rows.select(
+        *req.columns, F.col("__source_balance").alias("__funds"), first.cast("int").alias("__first"),
+        last.cast("int").alias("__last"))
+
+
+def validate_transfers(
+    req: DataFrame, accounts: DataFrame, active: str = "ACTIVE", term: str = "TERM",
+) -> DataFrame:
+    """Requests (source, dest, amount), each by itself, with the first failing rule of CODES.
+
+    The code is null when the request is good. Funds are those of the opening balance; for
+    requests that follow one another see ``post_transfers``.
+    """
+    rows = _transfer_rules(req, accounts, active, term)
+    short = F.when(F.col("__funds") < F.col("amount"), 50007)
+    return rows.select(*req.columns, F.coalesce("__first", short, "__last").alias("code"))
+
+
+def post_transfers(
+    req: DataFrame, accounts: DataFrame, order: Sequence[str], active: str = "ACTIVE", term: str = "TERM",
+    group_rows: int = 1_000_000,
+) -> DataFrame:
+    """Transfers in ``order``: each sees the balance its source has left; adds ``code`` (null: accepted).
+
+    What a batch brings to an account cannot be spent in the same batch, so sources are
+    independent of each other and no balance ends below zero. ``order`` is unique per source.
+    """
+    names = req.columns
+    rows = settle(_transfer_rules(req, accounts, active, term).withColumns({
+        "cents": (F.col("amount") * 100).cast("long"), "room": (F.col("__funds") * 100).cast("long")}))
+    failed = rows.filter("__first IS NOT NULL").select(*names, F.col("__first").alias("code"))
+    good = rows.filter("__first IS NULL AND __last IS NULL")
+    decided = settle(accept_in_order(good, ["source"], order, group_rows))
+    code = F.when(~F.col("accepted"), 50007).cast("int").alias("code")
+    # A request without a good destination takes nothing, but funds are checked before that.
+    lost = rows.filter("__first IS NULL AND __last IS NOT NULL")
+    spent = F.when(F.col("accepted"), F.col("cents")).otherwise(F.lit(0))
+    both = decided.withColumn("__spent", spent).unionByName(
+        lost.withColumns({"accepted": F.lit(None).cast("boolean"), "__spent": F.lit(0).cast("long")}))
+    # Only sources with such requests need the running sum.
+    both = both.join(lost.select("source").distinct(), "source", "left_semi")
+    sums = ordered.with_running(both, ["source"], order, {"__used": F.col("__spent")}, group_rows)
+    sums = sums.filter("__last IS NOT NULL")
+    short = F.when(F.col("room") - F.col("__used") < F.col("cents"), 50007)
+    return failed.unionByName(decided.select(*names, code)).unionByName(
+        sums.select(*names, F.coalesce(short, "__last").alias("code")))
 
 
 def validate_deposits(
@@ -69,6 +112,21 @@ def validate_deposits(
 
 # Acceptance in order
 
+def _accept_run(cents: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """Accept what fits, one after the other; whole runs at once from the running sum."""
+    taken = np.zeros(len(cents), dtype=bool)
+    sums = np.cumsum(cents)
+    at = 0
+    while at < len(cents) and left > 0:
+        before = int(sums[at] - cents[at])
+        end = int(np.searchsorted(sums, left + before, "right"))
+        if end > at:
+            taken[at:end] = True
+            left -= int(sums[end - 1]) - before
+        at = max(end, at) + 1  # the row at ``end`` does not fit
+    return taken, left
+
+
 def _accept_in_stream(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Walk the sorted rows of each partition once, carrying what is left of the current group."""
     names = rows.columns
@@ -78,21 +136,18 @@ def _accept_in_stream(rows: DataFrame, group: Sequence[str], order: Sequence[str
         for batch in batches:
             if batch.empty:
                 continue
-            cents, room = batch["cents"].tolist(), batch["room"].tolist()
+            cents, room = batch["cents"].to_numpy(), batch["room"].to_numpy()
             first = np.zeros(len(batch), dtype=bool)
             for g in group:
                 values = batch[g].to_numpy()
                 first[1:] |= values[1:] != values[:-1]
-            last = tuple(batch[g].iloc[0] for g in group)
-            first[0] = last != current
-            taken = []
-            for starts, amount, space in zip(first.tolist(), cents, room):
-                if starts:
-                    left = space
-                ok = amount <= left
-                if ok:
-                    left -= amount
-                taken.append(ok)
+            first[0] = tuple(batch[g].iloc[0] for g in group) != current
+            taken = np.zeros(len(batch), dtype=bool)
+            starts = np.flatnonzero(first).tolist()
+            for start, end in zip([0, *starts], [*starts, len(batch)]):
+                if end > start:
+                    left = int(room[start]) if first[start] else left
+                    taken[start:end], left = _accept_run(cents[start:end], left)
             current = tuple(batch[g].iloc[-1] for g in group)
             yield batch.assign(accepted=taken)[[*names, "accepted"]]
 
@@ -109,36 +164,43 @@ def accept_in_order(
     ``rows`` carries positive ``cents`` and the group's ``room``. Whether a row fits depends on
     the rows accepted before it, so this is no window function:
 
-    - rows above the room can never fit and are settled at once,
-    - groups of up to ``group_rows`` rows are walked in order, many groups per task,
-    - in a larger group a distributed running sum accepts everything up to the first row that
-      does not fit. What is left goes round again with less room and without the rows that have
-      become too large.
+    - rows above the room can never fit, and groups whose sum fits are accepted whole,
+    - other groups of up to ``group_rows`` rows are walked in order, many groups per task,
+    - a larger group is cut into slices of ``group_rows`` rows in its order. Round i walks slice
+      i of all large groups and carries what each has left, so the number of rounds is known
+      beforehand: the largest group's rows by ``group_rows``.
     """
+    rows = settle(rows)
+    keys = list(group)
     fits = F.col("cents") <= F.col("room")
-    open_ = rows.filter(fits)
     out = rows.filter(~fits).withColumn("accepted", F.lit(False))
-    hot = ordered.hot_keys(open_, group, group_rows)
-    if not hot:
-        return out.unionByName(_accept_in_stream(open_, group, order))
-    is_hot = F.xxhash64(*group).isin(hot)
+    open_ = rows.filter(fits)
+    named = [F.col(k).alias("__k_" + k) for k in keys]
+    sums = settle(open_.groupBy(*named).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("cents").alias("__sum"), F.max("room").alias("__room")))
+    on = [F.col(k).eqNullSafe(F.col("__k_" + k)) for k in keys]
+    kind = F.when(F.col("__sum") <= F.col("__room"), 0).when(F.col("__n") <= group_rows, 1).otherwise(2)
+    marks = sums.select(*["__k_" + k for k in keys], kind.alias("__kind"))
+    marked = open_.join(marks, on).select(*rows.columns, "__kind")
     plain = lambda df: df.select(*rows.columns)
-    out = out.unionByName(_accept_in_stream(open_.filter(~is_hot), group, order))
-    summed = settle(ordered.with_running(
-        open_.filter(is_hot), group, order, {"__cum": F.col("cents")}, group_rows))
-    inside = F.col("__cum") <= F.col("room")
-    position = F.struct(*order)
-    turn = summed.groupBy(*group).agg(
-        F.max(F.when(inside, F.col("__cum"))).alias("__used"),
-        F.min(F.when(~inside, position)).alias("__stop"),
-    )
-    after = summed.filter(~inside).join(turn, list(group))
-    stopped = position == F.col("__stop")
-    out = out.unionByName(plain(summed.filter(inside)).withColumn("accepted", F.lit(True)))
-    out = out.unionByName(plain(after.filter(stopped)).withColumn("accepted", F.lit(False)))
-    less = (F.col("room") - F.coalesce("__used", F.lit(0))).cast(rows.schema["room"].dataType)
-    rest = settle(plain(after.filter(~stopped).withColumn("room", less)))
-    return out.unionByName(accept_in_order(rest, group, order, group_rows))
+    out = out.unionByName(plain(marked.filter("__kind = 0")).withColumn("accepted", F.lit(True)))
+    out = out.unionByName(_accept_in_stream(plain(marked.filter("__kind = 1")), group, order))
+    largest = sums.filter(kind == 2).agg(F.max("__n")).first()[0]
+    if not largest:
+        return out
+    numbered = ordered.number_rows(plain(marked.filter("__kind = 2")), group, order, "__rn", group_rows)
+    sliced = settle(numbered.withColumn("__slice_no", F.floor((F.col("__rn") - 1) / group_rows)).drop("__rn"))
+    left = None
+    for number in range(math.ceil(largest / group_rows)):
+        part = sliced.filter(F.col("__slice_no") == number).drop("__slice_no")
+        if left is not None:
+            room = F.coalesce("__left", "room").cast(rows.schema["room"].dataType)
+            part = plain(part.join(left, on, "left").withColumn("room", room))
+        walked = settle(_accept_in_stream(part, group, order))
+        out = out.unionByName(walked)
+        left = settle(walked.groupBy(*named).agg(
+            (F.max("room") - F.coalesce(F.sum(F.when(F.col("accepted"), F.col("cents"))), F.lit(0))).alias("__left")))
+    return out
 
 
 def post_withdrawals(
@@ -269,7 +331,7 @@ def close_day(tx: DataFrame, day, pending: str, done: str) -> tuple[DataFrame, D
     closed = update_where(tx, today & (F.col("state") == pending), {"state": F.lit(done)})
     rows = closed.filter(today & (F.col("state") == done))
     sums = rows.groupBy("type").agg(F.count(F.lit(1)).alias("tx_count"), F.sum("amount").alias("amount"))
-    whole = rows.agg(F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"))
+    whole = sums.agg(F.sum("amount").alias("a"), F.sum("tx_count").alias("n"))
     summary = sums.select(
         "type", "tx_count", "amount",
         (F.col("amount").cast("double") / F.col("tx_count")).alias("average"),

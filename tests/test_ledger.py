@@ -49,6 +49,43 @@ def test_withdrawals_in_order(spark, seed, group_rows):
     assert {r["request_id"]: r["status"] for r in got.collect()} == loop(requests, accounts, 1000)
 
 
+def test_alternating_amounts_in_a_hot_group_take_the_known_rounds(spark, monkeypatch):
+    """One, all that is left, one, all that is left: a run of one row after the other."""
+    rows = [(i, 1, 1 if i % 2 == 0 else 1000 - i // 2, 1000) for i in range(40)]
+    walks = []
+    walk = ledger._accept_in_stream
+    monkeypatch.setattr(ledger, "_accept_in_stream", lambda *a: walks.append(1) or walk(*a))
+    df = spark.createDataFrame(rows, "id long, g long, cents long, room long")
+    got = {r["id"]: r["accepted"] for r in ledger.accept_in_order(df, ["g"], ["id"], group_rows=10).collect()}
+    left, want = 1000, {}
+    for i, _, cents, _ in rows:
+        want[i] = cents <= left
+        left -= cents if want[i] else 0
+    assert got == want and len(walks) == 1 + 4  # the groups walked whole, and 40 rows in slices of 10
+
+
+@pytest.mark.parametrize("group_rows", [1_000_000, 4])
+def test_transfers_in_order(spark, group_rows):
+    rng = random.Random(7)
+    state = {1: Decimal(100), 2: Decimal(100), 5: Decimal(900)}
+    requests = [(i, rng.choice([1, 1, 1, 2, 5, 77]), rng.choice([1, 2, 3, 5, 99]), Decimal(rng.choice([-1, 5, 30, 80, 95])))
+                for i in range(60)]
+    acc = spark.createDataFrame(
+        [(k, 1, "CURRENT", "ACTIVE", v) for k, v in state.items()] + [(3, 1, "CURRENT", "CLOSED", Decimal(0))], ACC)
+    df = spark.createDataFrame(requests, "request_id long, source int, dest int, amount decimal(18,2)")
+    got = ledger.post_transfers(df, acc, ["request_id"], group_rows=group_rows)
+    want, left = {}, dict(state)
+    for rid, source, dest, amount in requests:
+        code = (50001 if amount <= 0 else 50003 if source == dest else 50004 if source not in left
+                else 50007 if left[source] < amount else 50008 if dest == 99 else 50009 if dest == 3 else None)
+        if code is None:
+            left[source] -= amount
+        want[rid] = code
+    assert {r["request_id"]: r["code"] for r in got.collect()} == want
+    after = ledger.apply_postings(acc, got.filter("code IS NULL"))
+    assert after.filter("balance < 0").count() == 0
+
+
 def accounts(spark):
     return spark.createDataFrame([
         (1, 1, "SAVINGS", "ACTIVE", Decimal("5000")), (2, 1, "CURRENT", "ACTIVE", Decimal("100")),
