@@ -8,10 +8,12 @@ Equal sets become one class first, so copies cost nothing further. Then:
 2. Global order: the grams of the sets that stay, rarest first; grams of one set only are dropped and
    the sets keep their number. A set with fewer than ceil(t n) others' grams can have no link.
 3. Candidates share a gram of their prefixes in that order and pass the length and position filters.
-   Within a gram's bucket every set is first compared with one hub; linked sets form components, and
-   only sets of different components are compared further: by more hubs while that helps, then all
-   that lie outside the bucket's largest component with the rest. So a group of m near copies costs
-   about m pairs, and no pair of different components is left out.
+   In a round every bucket has a hub (first the set with the fewest grams of its own, as copies of
+   one text are nearest to that), and every set is compared with the hub it shares most buckets
+   with. Linked sets form components, and only sets of different components are compared further:
+   by more rounds while that helps, then all that lie outside their bucket's largest component with
+   the rest. So a group of m near copies costs about m pairs a round, and no pair of different
+   components is left out.
 4. Verification: the order is cut into ``FRAGMENTS``; each pair's common grams are counted per fragment
    and the partial counts are summed.
 
@@ -39,7 +41,8 @@ GRAM, PERCENT = 5, 75
 FRAGMENTS = 4
 BUCKET_GRAMS = 2_000_000  # grams of a prefilter bucket, and of a task's own share before it is sent
 CACHED_WORDS = 300_000
-PAIRS_PER_ROW = 50  # remaining comparisons per prefix row that end the rounds of hubs
+PAIRS_PER_ROW = 2  # remaining comparisons per prefix row that end the rounds of hubs
+IDLE_ROUNDS = 2  # rounds in a row without a tenth less to compare that end them, too
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -261,7 +264,8 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefix = settle(ordered.select(
         "id", "n", dropped.alias("dropped"),
         F.posexplode(F.slice("grams", F.lit(1), F.size("grams") - F.col("need") + 1))
-    ).select("id", "n", (F.col("dropped") + F.col("pos")).alias("at"), F.col("col.gram").alias("gram")))
+    ).select("id", "n", (F.col("dropped") + F.col("pos")).alias("at"), F.col("col.gram").alias("gram"),
+             (F.col("dropped") / F.col("n")).alias("rare")))
     n_rows = prefix.count()
     if not n_rows:
         return sets.sparkSession.createDataFrame([], "id long, comp long")
@@ -278,7 +282,7 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = settle(ordered.select("id", F.explode(F.array(*map(part, range(FRAGMENTS)))).alias("s")).select("id", "s.fragment", "s.grams").where(F.size("grams") > 0))
     sizes = ordered.select("id", "n")
 
-    links, comps, before, turn = None, None, None, 0
+    links, comps, before, turn, idle = None, None, None, 0, 0
     while True:
         members = prefix.withColumn("comp", F.col("id"))
         if comps is not None:
@@ -291,17 +295,24 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         work = stats.agg(F.sum((F.col("m") - F.col("c")) * F.col("m").cast("double"))).first()[0] or 0.0
         if not work:
             break
-        last = work <= PAIRS_PER_ROW * n_rows or (before is not None and work > 0.9 * before)
-        outside = members.join(stats.select("gram", "top"), "gram").where(F.col("comp") != F.col("top"))
+        idle = idle + 1 if before is not None and work > 0.9 * before else 0
+        last = turn > 0 and (work <= PAIRS_PER_ROW * n_rows or idle >= IDLE_ROUNDS)
+        open_ = members.join(stats.select("gram", "top"), "gram")
+        outside = open_.where(F.col("comp") != F.col("top"))
         if last:
             joined = outside.alias("x").join(members.alias("y"), F.col("x.gram") == F.col("y.gram"))
+            pairs = _pairs(joined.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)))
         else:
-            hub = outside.groupBy("gram").agg(
-                F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "at", "comp")).alias("s")
-            ).select("gram", "s.*")
-            joined = members.alias("x").join(hub.alias("y"), F.col("x.gram") == F.col("y.gram"))
-        joined = joined.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
-        found = settle(verify(settle(_pairs(joined)), parts, sizes, percent))
+            # By turns the most central set, any set, and the most central outside the largest component.
+            rank = F.xxhash64("id", F.lit(turn)).cast("double") if turn % 2 else F.col("rare")
+            hub = (outside if turn and turn % 2 == 0 else open_).groupBy("gram").agg(
+                F.min(F.struct(rank.alias("rank"), "id", "n", "at", "comp")).alias("s")).select("gram", "s.*")
+            joined = open_.alias("x").join(hub.alias("y"), F.col("x.gram") == F.col("y.gram"))
+            joined = joined.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
+            nearest = joined.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+                F.count(F.lit(1)).alias("grams")).groupBy("a").agg(F.max(F.struct("grams", "b")).alias("s"))
+            pairs = nearest.select(F.least("a", "s.b").alias("a"), F.greatest("a", "s.b").alias("b")).distinct()
+        found = settle(verify(settle(pairs), parts, sizes, percent))
         links = found if links is None else links.unionAll(found)
         comps = settle(components(links))
         if last:
