@@ -12,11 +12,14 @@ All suffixes of a corpus are too many to sort, so the refinement works on those
 2. A string of ``LENGTH`` bytes around a place is named by its lead l, the bytes before the place. Places
    of a bucket whose whole surroundings are equal (first refinement, by an identifier of
    everything up to ``LENGTH`` bytes away) are covered from end to end.
-3. The others are refined by identifiers of the bytes at later and earlier offsets: first for ranges
-   of leads (``CELL`` wide). Places that share a range's common core stay in one bucket, those that
-   share its whole hull need no further step, and only buckets with others among them are refined
-   to single leads. From the largest and the smallest lead that is shared follows what a place
-   covers, since all its strings contain the place.
+3. The others are refined by identifiers of the bytes at later and earlier offsets, lead by lead:
+   in a bucket the places are sorted on the identifier of a lead, which is that of the lead before
+   with one byte less and one more. From the largest and the smallest lead that is shared follows
+   what a place covers, since all its strings contain the place.
+4. Buckets of more than ``BUCKET_PLACES`` different surroundings are refined by Spark, first for ranges of
+   leads (``CELL`` wide): places that share a range's common core stay in one bucket, those that share
+   its whole hull need no further step, and only cores with others among them are refined to
+   single leads.
 
 Bucket identifiers are hashes of the bytes (64 bits beside the bucket's own 64) instead of ranks, for
 ranks would need a global sort; places of a bucket are counted by map-side combined sums and joined
@@ -44,7 +47,10 @@ from ledgerkit.session import settle
 LENGTH, GRAM, CELL = 400, 128, 14
 REACH = LENGTH - GRAM  # largest lead
 CHUNK = 1 << 18
+BUCKET_PLACES = 100_000  # places that one task refines together: 672 bytes each
+BLOCK_PLACES = 4_096  # places of small buckets refined at once
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_WEIGHTS = np.random.Generator(np.random.PCG64(4)).integers(0, 1 << 63, REACH + LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * _C1) ^ ((np.arange(1, 257, dtype=np.uint64) * _C2) >> np.uint64(31))
 
 
@@ -142,6 +148,61 @@ def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "mid long, h long, single boolean, left long, right long, raw binary")
 
 
+def shared_leads(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest lead that each place shares with another of its bucket; -1 for none.
+
+    The surroundings stand below each other, so a string of one lead covers the same columns in
+    all rows; its identifier is their sum with random weights, moved on by one column per lead.
+    """
+    n = len(raws)
+    rows = np.zeros((n, REACH + LENGTH), np.uint8)
+    for row, raw, start in zip(rows, raws, (REACH - left).tolist(), strict=True):
+        row[start:start + len(raw)] = np.frombuffer(raw, np.uint8)
+    name = bucket.view(np.uint64) * _C2
+    for at in range(0, n, 4096):
+        name[at:at + 4096] += (rows[at:at + 4096, :LENGTH].astype(np.uint64) * _WEIGHTS[:LENGTH]).sum(1, dtype=np.uint64)
+    low, high = np.full(n, -1), np.full(n, -1)
+    for lead in range(REACH, -1, -1):
+        own = np.flatnonzero((left >= lead) & (right >= LENGTH - lead))
+        order = own[np.argsort(name[own], kind="stable")]
+        same = name[order[1:]] == name[order[:-1]]
+        hit = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+        low[hit] = lead
+        high[hit] = np.maximum(high[hit], lead)
+        if lead:
+            first = REACH - lead
+            name += rows[:, first + LENGTH] * _WEIGHTS[first + LENGTH] - rows[:, first] * _WEIGHTS[first]
+    return low, high
+
+
+def refine_buckets(around: DataFrame) -> DataFrame:
+    """(mid, low, high) for places of buckets that fit a task, many buckets at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> pa.RecordBatch:
+            columns = {c: table.column(c).combine_chunks() for c in ("mid", "h", "left", "right")}
+            mid, h, left, right = (columns[c].to_numpy() for c in ("mid", "h", "left", "right"))
+            low, high = shared_leads(h, left, right, table.column("raw").to_pylist())
+            keep = low >= 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(mid[keep]), pa.array(low[keep].astype(np.int32)), pa.array(high[keep].astype(np.int32))],
+                ["mid", "low", "high"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            h = held.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last bucket may go on
+            if cut >= BLOCK_PLACES:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, "mid long, low int, high int")
+
+
 def _names(around: DataFrame, leads) -> DataFrame:
     """(h, name, mid, low, high, whole): identifiers by which ``leads`` refine each place's bucket."""
 
@@ -188,8 +249,8 @@ def _shared(names: DataFrame) -> DataFrame:
     return names.join(twice, ["h", "name"])
 
 
-def refine(around: DataFrame) -> DataFrame:
-    """(mid, low, high): the smallest and the largest lead of a place that another place shares."""
+def refine_by_names(around: DataFrame) -> DataFrame:
+    """(mid, low, high) for places of buckets of any size: identifiers are counted by Spark."""
     shared = settle(_shared(_names(around, _ranges)))
     done = shared.where("whole").select("mid", "low", "high")
     # A core with a place whose hull is its own is refined, by all places that have the core.
@@ -210,17 +271,20 @@ def spans(docs: DataFrame) -> DataFrame:
     classes = settle(places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"), F.min(
         F.struct("doc", "tag", "at")).alias("first")))
     mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where(
-        "n > 1 and least = 1").select("h")
+        "n > 1 and least = 1").select("h", "n")
     left, right = F.shiftright("at", 10).bitwiseAND(1023), F.col("at").bitwiseAND(1023)
     place = F.shiftright("at", 20)
     whole = places.join(classes.where("size > 1").select("h", "c"), ["h", "c"]).where(left + right >= LENGTH).select(
         "doc", "tag", (place - left).alias("start"), (place + right).alias("end"))
     # Places alone in their class, and one of each larger class that they may share strings with.
     open_places = settle(classes.join(mixed, "h").select(
-        "h", (F.col("size") == 1).alias("single"), "first.*").where(left + right >= LENGTH).withColumn(
+        "h", "n", (F.col("size") == 1).alias("single"), "first.*").where(left + right >= LENGTH).withColumn(
         "mid", F.monotonically_increasing_id()))
-    around = settle(surroundings(docs, open_places).dropDuplicates(["mid"]))
-    found = open_places.where("single").join(refine(around), "mid").select(
+    small, large = open_places.where(F.col("n") <= BUCKET_PLACES), open_places.where(F.col("n") > BUCKET_PLACES)
+    leads = refine_buckets(surroundings(docs, small))
+    if not large.isEmpty():
+        leads = leads.unionAll(refine_by_names(settle(surroundings(docs, large))))
+    found = open_places.where("single").join(leads, "mid").select(
         "doc", "tag", (place - F.col("high")).alias("start"), (place - F.col("low") + LENGTH).alias("end"))
     return whole.unionAll(found)
 

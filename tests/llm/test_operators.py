@@ -114,8 +114,10 @@ def repeated_passages(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_against_all_strings(spark, seed):
+@pytest.mark.parametrize("seed,bucket_places", [(1, 100_000), (2, 100_000), (1, 1), (2, 4)])
+def test_repeats_against_all_strings(spark, seed, bucket_places, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_PLACES", bucket_places)  # larger buckets are refined by Spark
+    monkeypatch.setattr(repeats, "BLOCK_PLACES", 8)
     texts = repeated_passages(seed)
     found = repeats.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()}
