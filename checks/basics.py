@@ -11,6 +11,7 @@ from checks.reports import STAR
 from ledgerkit.functions import exprs as x
 from ledgerkit.functions import predicates as p
 from ledgerkit.operators import aggs, govern, joins, ordered, paging, reshape, search
+from ledgerkit.plans import reports
 from ledgerkit.plans.reports import balances, per_client
 from ledgerkit.session import settle
 from ledgerkit.sources import bank as views
@@ -140,6 +141,12 @@ QUERIES = {
         b.accounts.select("account_id"), b.tx.filter(p.in_year("ts", 2001)).select("account_id", "amount", "ts", "line", "part_id", "supplier_id"),
         "account_id", ["-ts", "line", "part_id", "supplier_id"], 2, outer=True)),
     "join_by_ids": on_bank(lambda b: joins.by_ids(b.accounts, b.clients.filter("branch_id = 5"), "client_id")),
+    "hinted_join_merge": on_bank(lambda b: joins.hinted_join(
+        b.accounts.select("account_id", "client_id"), b.clients.select("client_id", "segment"), "client_id", "merge")),
+    "hinted_join_loop": on_bank(lambda b: joins.hinted_join(
+        b.accounts.select("account_id", "client_id"), b.clients.select("client_id", "segment"), "client_id", "loop")),
+    "like_starts": on_tables(lambda s, d: p.like_filter(load(s, d, "part", ["p_partkey", "p_name", "p_type"]), "p_type", "SMALL%")),
+    "like_ends": on_tables(lambda s, d: p.like_filter(load(s, d, "part", ["p_partkey", "p_name", "p_type"]), "p_type", "%STEEL")),
     "hinted_join": on_bank(lambda b: joins.hinted_join(
         b.accounts.select("account_id", "client_id"), b.clients.select("client_id", "segment"), "client_id", "hash")),
     "hierarchy": on_tables(lambda s, d: joins.hierarchy(org(s, d), "id", "parent")),
@@ -154,6 +161,9 @@ QUERIES = {
     "percentiles": on_tables(lambda s, d: aggs.latency_percentiles(load(s, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])),
     "percentiles_all": on_bank(lambda b: aggs.latency_percentiles(b.tx, [], "amount", [0.5, 0.95, 0.99])),
     "string_agg": on_tables(lambda s, d: aggs.string_agg(load(s, d, "events"), ["user_id"], "event_type", ", ", distinct=True)),
+    "ordered_items": on_bank(lambda b: aggs.ordered_items(b.accounts, ["client_id"], "account_id")),
+    "accounts_with_counts": on_bank(lambda b: reports.accounts_with_counts(b, "2-HIGH")),
+    "accounts_with_counts_all": on_bank(reports.accounts_with_counts),
     "string_agg_all": on_bank(lambda b: aggs.string_agg(b.accounts, ["client_id"], "account_id", ";")),
     "avg_last5": on_tables(lambda s, d: aggs.avg_last_n(
         load(s, d, "events").withColumn("value", F.col("value").cast("decimal(18,2)")), ["user_id"], ["ts", "event_id"], "value", 5)),
@@ -264,6 +274,10 @@ SQL = {
  SELECT acc.account_id AS account_id, CAST(amount AS DOUBLE) AS amount, ts, CAST(line AS BIGINT) AS line, part_id, supplier_id, rn
  FROM acc LEFT JOIN t ON t.account_id = acc.account_id AND rn <= 2""",
     "join_by_ids": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE client_id IN (SELECT client_id FROM cli WHERE branch_id = 5)",
+    "hinted_join_merge": f"{STAR} SELECT account_id, client_id, segment FROM acc JOIN cli USING (client_id)",
+    "hinted_join_loop": f"{STAR} SELECT account_id, client_id, segment FROM acc JOIN cli USING (client_id)",
+    "like_starts": "SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE 'SMALL%'",
+    "like_ends": "SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%STEEL'",
     "hinted_join": f"{STAR} SELECT account_id, client_id, segment FROM acc JOIN cli USING (client_id)",
     "hierarchy": """WITH RECURSIVE org AS (SELECT 'r' || r_regionkey AS id, NULL AS parent FROM region
  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
@@ -284,8 +298,13 @@ SQL = {
  round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""",
     "percentiles_all": f"""{STAR} SELECT round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 4) AS p50,
  round(quantile_cont(CAST(amount AS DOUBLE), 0.95), 4) AS p95, round(quantile_cont(CAST(amount AS DOUBLE), 0.99), 4) AS p99 FROM tx""",
-    "string_agg": "SELECT user_id, CAST(1 AS BIGINT) AS part, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS items FROM events GROUP BY 1",
-    "string_agg_all": f"{STAR} SELECT client_id, CAST(1 AS BIGINT) AS part, string_agg(CAST(account_id AS VARCHAR), ';' ORDER BY account_id) AS items FROM acc GROUP BY 1",
+    "string_agg": "SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS items FROM events GROUP BY 1",
+    "ordered_items": f"{STAR} SELECT client_id, account_id, row_number() OVER (PARTITION BY client_id ORDER BY account_id) AS position FROM acc",
+    "accounts_with_counts": f"""{STAR} SELECT account_id, type, state, CAST(acc.balance AS DOUBLE) AS balance, client_id, name, segment, coalesce(n, 0) AS tx_count FROM acc
+ LEFT JOIN cli USING (client_id) LEFT JOIN (SELECT account_id, count(*) AS n FROM tx GROUP BY 1) USING (account_id) WHERE type = '2-HIGH'""",
+    "accounts_with_counts_all": f"""{STAR} SELECT account_id, type, state, CAST(acc.balance AS DOUBLE) AS balance, client_id, name, segment, coalesce(n, 0) AS tx_count FROM acc
+ LEFT JOIN cli USING (client_id) LEFT JOIN (SELECT account_id, count(*) AS n FROM tx GROUP BY 1) USING (account_id)""",
+    "string_agg_all": f"{STAR} SELECT client_id, string_agg(CAST(account_id AS VARCHAR), ';' ORDER BY account_id) AS items FROM acc GROUP BY 1",
     "avg_last5": """SELECT user_id, round(CAST(sum(v) AS DOUBLE) / count(*), 4) AS average, count(*) AS used FROM (SELECT user_id,
  CAST(value AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 GROUP BY 1""",
     "number_rows": f"{STAR} SELECT {TX_COLS}, row_number() OVER (ORDER BY ts, account_id, tx.line, part_id, supplier_id) AS rn FROM tx",

@@ -273,6 +273,7 @@ QUERIES = {
     "upsert_delete": on(lambda s, d: merged("delete")(s, d).target.select("part_id", "name", "brand", "price")),
     "update_where": on_bank(lambda b: merge.update_where(b.accounts, (F.col("state") == "P") & (F.col("balance") > 100000), {"state": F.lit("B")})),
     "delete_where": on_bank(lambda b: merge.delete_where(b.accounts, F.col("balance") < 50000)[1]),
+    "delete_where_kept": on_bank(lambda b: merge.delete_where(b.accounts, F.col("balance") < 50000)[0]),
     "resegment": on_bank(resegmented),
     "apply_net": on_bank(lambda b: merge.apply_net(b.accounts, b.tx.filter("ts >= '1998-01-01' AND ts < '1998-02-01'"), "A")),
     "renumber": on_bank(lambda b: merge.renumber(b.clients.select("client_id", "name", "credit"), ["-credit", "client_id"])),
@@ -293,6 +294,8 @@ QUERIES = {
     "record_history": on(lambda s, d: history.record_history(
         json_before(s, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "part", "14").drop("before", "after")),
     "all_changes": on(lambda s, d: history.all_changes(feed(s, d), 500, 4000)),
+    "changes_between": on(lambda s, d: history.changes_between(
+        feed(s, d).join(load(s, d, "events").select(F.col("event_id").alias("seq"), "ts"), "seq"), "2024-01-10", "2024-01-12").drop("ts")),
     "net_changes": on(lambda s, d: history.net_changes(feed(s, d), ["key"], 500, 100000000)),
     "clean_import": on(lambda s, d: quality.clean_import(dirty(s, d), FIELDS)),
     "error_summary": on(lambda s, d: quality.error_summary(quality.clean_import(dirty(s, d), FIELDS))),
@@ -331,6 +334,7 @@ SQL = {
  n_name AS inserted_name, n_brand AS inserted_brand, CAST(n_price AS DOUBLE) AS inserted_price FROM m WHERE action <> 'KEEP'""",
     "upsert_delete": f"WITH {PARTS} SELECT part_id, name, brand, CAST(price AS DOUBLE) AS price FROM new",
     "update_where": f"{STAR} SELECT account_id, client_id, CASE WHEN state = 'P' AND acc.balance > 100000 THEN 'B' ELSE state END AS state, type, CAST(acc.balance AS DOUBLE) AS balance, opened FROM acc",
+    "delete_where_kept": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE acc.balance >= 50000",
     "delete_where": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE acc.balance < 50000",
     "resegment": f"""{STAR}, s AS (SELECT client_id, sum(balance) AS b FROM acc GROUP BY 1) SELECT client_id, name,
  CASE WHEN b >= 2500000 THEN 'PREMIUM' WHEN b >= 1000000 THEN 'GOLD' WHEN b IS NOT NULL THEN 'BASIC' ELSE segment END AS segment,
@@ -370,6 +374,9 @@ SQL = {
  SELECT account_id, CAST(balance AS DOUBLE) AS old_value, CAST(balance + net AS DOUBLE) AS new_value, CAST(net AS DOUBLE) AS difference
  FROM acc JOIN n USING (account_id) WHERE net <> 0""",
     "record_history": f"""WITH {PARTS} SELECT 'U' AS op, 'part' AS "table", '14' AS key, TIMESTAMP '2024-01-01' AS ts, 'Update' AS operation FROM m WHERE part_id = 14 AND action = 'UPDATE'""",
+    "changes_between": f"""WITH {FEED} SELECT feed.seq, CAST(op AS BIGINT) AS op, key, kind, CAST(amount AS DOUBLE) AS amount,
+ CASE op WHEN 1 THEN 'DELETE' WHEN 2 THEN 'INSERT' WHEN 3 THEN 'UPDATE BEFORE' ELSE 'UPDATE AFTER' END AS operation
+ FROM feed WHERE seq BETWEEN (SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-10') AND (SELECT max(event_id) FROM events WHERE ts <= TIMESTAMP '2024-01-12')""",
     "all_changes": f"""WITH {FEED} SELECT seq, CAST(op AS BIGINT) AS op, key, kind, CAST(amount AS DOUBLE) AS amount, CASE op WHEN 1 THEN 'DELETE' WHEN 2 THEN 'INSERT'
  WHEN 3 THEN 'UPDATE BEFORE' ELSE 'UPDATE AFTER' END AS operation FROM feed WHERE seq BETWEEN 500 AND 4000""",
     "net_changes": f"WITH {FEED}, {NET} SELECT CAST(op AS BIGINT) AS op, key, seq, kind, CAST(amount AS DOUBLE) AS amount FROM net WHERE op IS NOT NULL",

@@ -97,7 +97,7 @@ def runs(spark, folder):
 
 
 def schedule(spark, folder):
-    return load(spark, folder, "events").filter("event_id % 10 = 0").select(
+    return load(spark, folder, "events").select(
         F.concat(F.lit("job_"), F.col("user_id") % 10).alias("job"), F.col("ts").alias("next_run"))
 
 
@@ -180,12 +180,16 @@ QUERIES = {
     "compliance_ops": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[0]),
     "compliance_users": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[1]),
     "compliance_nights": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[2]),
-    "compliance_weekdays": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[3]),
-    "compliance_retention": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[4]),
+    "compliance_night_times": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[3]),
+    "compliance_weekdays": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[4]),
+    "compliance_retention": on_tables(lambda s, d: fraud.compliance_report(audit(s, d), "2024-01-05", "2024-01-20")[5]),
     "large_count": on_bank(lambda b: fraud.large_count(b.tx, "1998-03-02", 30000)),
     "purge": on_tables(lambda s, d: fraud.purge_table(load(s, d, "events"), "ts", 10, NOW)),
     "purge_count": on_tables(lambda s, d: fraud.purge_table(load(s, d, "events"), "ts", 10, NOW, count_only=True)),
     "purge_audit": on_tables(lambda s, d: fraud.purge_audit(audit(s, d), 10, NOW, dry_run=False)[1]),
+    "purge_audit_rows": on_tables(lambda s, d: fraud.purge_audit(audit(s, d), 10, NOW, dry_run=False)[0]),
+    "retain_archived": on_tables(lambda s, d: fraud.retain_audit(
+        audit(s, d), audit(s, d).filter("ts < '2024-01-03'"), ["event_id"], 10, NOW, dry_run=False)[0]),
     "retain_audit": on_tables(lambda s, d: fraud.retain_audit(
         audit(s, d), audit(s, d).filter("ts < '2024-01-03'"), ["event_id"], 10, NOW, dry_run=False)[2]),
     "slowest": on_tables(lambda s, d: logs.slowest(query_log(s, d), 25, "event_id")),
@@ -259,14 +263,17 @@ SQL = {
     "compliance_ops": f"""WITH {AUDIT} SELECT CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS operation, count(*) AS operations,
  count(DISTINCT "user") AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM audit WHERE {_PERIOD} GROUP BY 1""",
     "compliance_users": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, {_OPS} FROM audit WHERE {_PERIOD} GROUP BY 1 ORDER BY operations DESC, "user" LIMIT 10""",
-    "compliance_nights": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, CAST(1 AS BIGINT) AS part, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S')) AS times
- FROM audit WHERE {_PERIOD} AND (hour(ts) < 8 OR hour(ts) >= 18) GROUP BY 1""",
+    "compliance_nights": f"""WITH {AUDIT} SELECT "user", count(*) AS operations FROM audit WHERE {_PERIOD} AND (hour(ts) < 8 OR hour(ts) >= 18) GROUP BY 1""",
+    "compliance_night_times": f"""WITH {AUDIT} SELECT "user", strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, row_number() OVER (PARTITION BY "user" ORDER BY ts) AS position
+ FROM audit WHERE {_PERIOD} AND (hour(ts) < 8 OR hour(ts) >= 18)""",
     "compliance_weekdays": f"WITH {AUDIT} SELECT dayofweek(ts) + 1 AS weekday, dayname(ts) AS day_name, count(*) AS operations FROM audit WHERE {_PERIOD} GROUP BY 1, 2",
     "compliance_retention": f"WITH {AUDIT} SELECT count(*) AS records, min(ts) AS oldest, max(ts) AS newest, date_diff('day', min(ts), max(ts)) AS days FROM audit",
     "large_count": f"{STAR} SELECT count(*) AS transactions, CAST(sum(tx.amount) AS DOUBLE) AS amount FROM tx WHERE ts = DATE '1998-03-02' AND tx.amount > 30000",
     "purge": "SELECT event_id, ts, user_id, event_type, round(value, 4) AS value, props FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'",
     "purge_count": "SELECT count(*) AS rows FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00'",
     "purge_audit": "SELECT 'PURGE' AS action, count(*) AS rows, TIMESTAMP '2024-01-15 12:00:00' AS cutoff FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00'",
+    "purge_audit_rows": f"""WITH {AUDIT} SELECT event_id, "table", "user", op, ts FROM audit WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'""",
+    "retain_archived": f"""WITH {AUDIT} SELECT event_id, "table", "user", op, ts FROM audit WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-15 12:00:00'""",
     "retain_audit": """SELECT 'total' AS stage, count(*) AS rows FROM events UNION ALL SELECT 'archived', count(*) FROM events
  WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-15 12:00:00' UNION ALL SELECT 'kept', count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'""",
     "slowest": f"""WITH {QLOG} SELECT event_id, ts, object, app, CAST(q.duration AS DOUBLE) AS duration, query_id, plan_id, session, name,
@@ -296,7 +303,7 @@ SQL = {
  SELECT o.job AS job, max(run_ts) FILTER (rn = 1) AS last_run, max({_RESULT}) FILTER (rn = 1) AS last_result,
  round(CAST(sum(seconds) FILTER (rn <= 5) AS DOUBLE) / count(*) FILTER (rn <= 5), 4) AS average_seconds,
  round(count(*) FILTER (status = 1 AND run_ts >= TIMESTAMP '2023-12-25 12:00:00') * CAST(100.0 AS DOUBLE) / count(*) FILTER (run_ts >= TIMESTAMP '2023-12-25 12:00:00'), 4) AS success_pct,
- (SELECT min(ts) FROM events e WHERE e.event_id % 10 = 0 AND 'job_' || e.user_id % 10 = o.job AND e.ts > TIMESTAMP '2024-01-25 12:00:00') AS next_run
+ (SELECT min(ts) FROM events e WHERE 'job_' || e.user_id % 10 = o.job AND e.ts > TIMESTAMP '2024-01-25 12:00:00') AS next_run
  FROM o GROUP BY o.job""",
     "slow_stream": f"WITH {LOG} SELECT event_id, account_id, ts, place, CAST(log.amount AS DOUBLE) AS duration FROM log WHERE log.amount >= 20",
     "frequency_stream": f"""WITH {LOG}, w AS (SELECT account_id, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM log)

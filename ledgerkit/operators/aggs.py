@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerkit.functions.exprs import percent
 from ledgerkit.operators import ordered
-from ledgerkit.session import settle
-
-# Items of a joined text in one row.
-LIST_ITEMS = 1_000_000
-
 
 def by_period(df: DataFrame, ts: str, unit: str, *aggs: Column) -> DataFrame:
     """Group by a part of a time: year, month (with its year), day, hour or weekday."""
@@ -28,33 +23,31 @@ def by_period(df: DataFrame, ts: str, unit: str, *aggs: Column) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Sum per key with its share of the grand total; the total is a scalar subquery."""
+    """Sum per key with its share of the grand total; the total is that of the sums, so ``df`` is read once."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("total"))
-    whole = df.agg(F.sum(value).alias("whole")).scalar()
+    whole = sums.agg(F.sum("total").alias("whole")).scalar()
     return sums.withColumn("share_pct", percent("total", whole))
 
 
 def string_agg(
     df: DataFrame, keys: Sequence[str], col: str, sep: str = ",", distinct: bool = False,
 ) -> DataFrame:
-    """``STRING_AGG`` in the order of the values.
+    """``STRING_AGG`` in the order of the values: one row per key, whatever the list's length.
 
-    One cell cannot hold the list of a very large group, so a list goes on in further rows after
-    every LIST_ITEMS items; ``part`` numbers them from 1. Nearly always there is one part.
+    Equal values reach the key's task as one row with their number. The text must fit one cell;
+    for lists beyond that see ``ordered_items``.
     """
-    counts = settle(df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(
-        (F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("__n")))
-    placed = ordered.with_running(counts, keys, [col], {"__upto": F.col("__n")})
-    first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    bound = F.lit(LIST_ITEMS).cast("long")
-    parts = F.sequence(F.floor(first / bound), F.floor(last / bound))
-    rows = placed.withColumn("part", F.explode(parts))
-    start, end = F.col("part") * bound, (F.col("part") + 1) * bound - 1
-    inside = (F.least(last, end) - F.greatest(first, start) + 1).cast("int")
-    text = F.array_join(F.array_repeat(F.col(col).cast("string"), inside), sep)
-    packed = rows.select(*keys, (F.col("part") + 1).alias("part"), F.struct(F.col(col).alias("v"), text.alias("t")).alias("x"))
+    n = F.lit(1) if distinct else F.count(F.lit(1))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(n.cast("int").alias("n"))
+    text = F.array_join(F.array_repeat(F.col(col).cast("string"), F.col("n")), sep)
+    packed = counts.select(*keys, F.struct(F.col(col).alias("v"), text.alias("t")).alias("x"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), sep)
-    return packed.groupBy(*keys, "part").agg(joined.alias("items"))
+    return packed.groupBy(*keys).agg(joined.alias("items"))
+
+
+def ordered_items(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """The items of each key's list as rows with their position, for lists of any length."""
+    return ordered.number_rows(df.filter(F.col(col).isNotNull()).select(*keys, col), keys, [col], "position")
 
 
 def latency_percentiles(df: DataFrame, keys: Sequence[str], col: str, ps: Sequence[float]) -> DataFrame:

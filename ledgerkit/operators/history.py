@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import date_diff
 from ledgerkit.operators import ordered
+from ledgerkit.operators.merge import assert_unique
 from ledgerkit.session import settle
 
 # The open end of a version, and the operation codes of a change feed.
@@ -33,8 +35,9 @@ def scd2_apply(
 
     ``dim`` has ``sk``, the key, the tracked columns, ``start``, ``end`` and ``current``. Returns
     the new dimension and (key, action) with NEW, CHANGE or SAME. Keys missing in the source
-    stay as they are.
+    stay as they are; a key that is twice in the source is an error.
     """
+    assert_unique(source, [key])
     day = p.literal(as_of).cast("date")
     history, live = dim.filter(~F.col("current")), dim.filter("current")
     incoming = source.select(F.col(key).alias("__key"), *[F.col(c).alias("__" + c) for c in tracked])
@@ -156,7 +159,7 @@ def record_history(audit: DataFrame, table: str, key: str) -> DataFrame:
 
 # Change feed: seq, op and the columns of the table
 
-def all_changes(feed: DataFrame, lo: int, hi: int) -> DataFrame:
+def all_changes(feed: DataFrame, lo: int | Column, hi: int | Column) -> DataFrame:
     """Every change in a range of sequence numbers, operation in words."""
     name = F.lit(None).cast("string")
     for code, text in OPERATIONS.items():
@@ -164,6 +167,27 @@ def all_changes(feed: DataFrame, lo: int, hi: int) -> DataFrame:
     return feed.filter(F.col("seq").between(lo, hi)).withColumn("operation", name)
 
 
+RELATIONS = ("smallest greater than", "smallest greater than or equal",
+             "largest less than", "largest less than or equal")
+
+
+def seq_at(feed: DataFrame, when, relation: str, ts: str = "ts") -> Column:
+    """The sequence number next to a time as a scalar; null when there is none on that side."""
+    if relation not in RELATIONS:
+        raise ValueError(relation)
+    at, time = F.col(ts), p.literal(when)
+    equal = relation.endswith("equal")
+    if relation.startswith("smallest"):
+        return feed.filter(at >= time if equal else at > time).agg(F.min("seq").alias("seq")).scalar()
+    return feed.filter(at <= time if equal else at < time).agg(F.max("seq").alias("seq")).scalar()
+
+
+def changes_between(feed: DataFrame, lo, hi, ts: str = "ts") -> DataFrame:
+    """Every change from the first one at or after ``lo`` to the last one at or before ``hi``."""
+    return all_changes(
+        feed, seq_at(feed, lo, "smallest greater than or equal", ts), seq_at(feed, hi, "largest less than or equal", ts))
+
+
 def net_changes(feed: DataFrame, keys: Sequence[str], lo: int | None = None, hi: int | None = None) -> DataFrame:
     """One row per key with the effect of all its changes together.
 
@@ -193,7 +217,7 @@ def apply_changes(table: DataFrame, net: DataFrame, keys: Sequence[str]) -> Data
     return rest.unionByName(net.filter(F.col("op") != DELETE).select(*table.columns))
 
 
-LOG_SCHEMA = "run long, first_seq long, last_seq long, state string"
+LOG_SCHEMA = "run long, first_seq long, last_seq long, state string, rows long, noted timestamp_ntz"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -204,17 +228,21 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def consume_changes(
-    feed: DataFrame, state_path: str, fn: Callable[[DataFrame, int], None],
+    feed: DataFrame, state_path: str, fn: Callable[[DataFrame, int], None], now: datetime | None = None,
 ) -> DataFrame:
     """Hand the changes since the last run to ``fn`` (with the run number); returns the log.
 
+    The log has a row for the plan and one for the end of each run, with the number of changes
+    and the time (``now``, or the clock's).
+
     The range is written down before the work, so a run that broke off is repeated over the
     same range under the same number; ``fn`` must overwrite what it wrote for that number.
     """
     spark = feed.sparkSession
 
     def note(run: int, lo: int, hi: int, state: str) -> None:
-        row = spark.createDataFrame([(run, lo, hi, state)], LOG_SCHEMA)
+        count = feed.filter(F.col("seq").between(lo, hi)).count()
+        row = spark.createDataFrame([(run, lo, hi, state, count, now or datetime.now())], LOG_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{state_path}/run={run:08d}/state={state}")
 
     log = read_log(spark, state_path)

@@ -11,7 +11,6 @@ from ledgerkit.operators import ordered
 from ledgerkit.session import settle
 from ledgerkit.sources.bank import Bank
 
-BROADCAST_ROWS, BROADCAST_CHARS = 1_000_000, 100_000_000
 
 
 def bank_star(bank: Bank) -> DataFrame:
@@ -128,13 +127,12 @@ def top_n_per(
 def hinted_join(
     a: DataFrame, b: DataFrame, on: str | Sequence[str], strategy: str, how: str = "inner",
 ) -> DataFrame:
-    """Join with a chosen strategy. ``loop`` ships ``b`` to all tasks only if rows and text are few."""
+    """Join with a chosen strategy. ``loop`` is left to Spark, which ships a small side to all tasks.
+
+    ``hash`` builds a table of one side's partition in memory, so ``b`` must be the smaller side.
+    """
     if strategy == "loop":
-        size = b.limit(BROADCAST_ROWS + 1).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*b.columns)))).alias("chars")
-        ).first()
-        small = size["n"] <= BROADCAST_ROWS and (size["chars"] or 0) <= BROADCAST_CHARS
-        return a.join(F.broadcast(b) if small else b.hint("merge"), on, how)
+        return a.join(b, on, how)
     return a.join(b.hint({"hash": "shuffle_hash", "merge": "merge"}[strategy]), on, how)
 
 

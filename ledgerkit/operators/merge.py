@@ -34,6 +34,12 @@ def delete_where(df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(~hit), df.filter(hit)
 
 
+def assert_unique(source: DataFrame, keys: Sequence[str]) -> None:
+    """Refuse a source with the same key twice."""
+    if source.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"source has more than one row for a value of {list(keys)}")
+
+
 class Merge(NamedTuple):
     target: DataFrame
     actions: DataFrame
@@ -51,9 +57,7 @@ def upsert(
     if on_missing not in ("keep", "delete", "deactivate"):
         raise ValueError(on_missing)
     if check:
-        twice = source.groupBy(*keys).count().filter("count > 1").limit(1).count()
-        if twice:
-            raise ValueError(f"source has more than one row for a value of {list(keys)}")
+        assert_unique(source, keys)
     old = target.withColumnsRenamed({c: "t_" + c for c in target.columns}).withColumn("in_t", F.lit(True))
     new = source.select(*keys, *cols).withColumnsRenamed(
         {c: "s_" + c for c in (*keys, *cols)}).withColumn("in_s", F.lit(True))
@@ -131,7 +135,7 @@ def mark_inactive(accounts: DataFrame, tx: DataFrame, days: int, as_of, state: s
 
 # Restartable batches
 
-STATE_SCHEMA = "batch long, last_key double, rows long, state string"
+STATE_SCHEMA = "batch long, last_key string, rows long, state string"
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -142,17 +146,16 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STATE_SCHEMA)
 
 
-def batch_bounds(df: DataFrame, key: str, size: int) -> list[float]:
-    """Upper key of each batch of about ``size`` rows, from quantiles in one pass."""
-    row = df.agg(F.count(key).alias("n"), F.max(key).cast("double").alias("top")).first()
+def batch_bounds(df: DataFrame, key: str, size: int) -> list:
+    """Upper key of each batch of about ``size`` rows, in the key's own type, from one pass."""
+    row = df.agg(F.count(key).alias("n"), F.max(key).alias("top")).first()
     if not row["n"]:
         return []
-    wanted = min(ordered.MAX_SLICES, math.ceil(row["n"] / size))
+    wanted = math.ceil(row["n"] / size)
     if wanted < 2:
         return [row["top"]]
     probs = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
-    cuts = df.select(F.col(key).cast("double").alias("v")).agg(
-        F.expr(f"percentile_approx(v, array({probs}), {max(10_000, 4 * wanted)})")).first()[0]
+    cuts = df.agg(F.percentile_approx(key, F.expr(f"array({probs})"), max(10_000, 4 * wanted))).first()[0]
     return sorted({*cuts, row["top"]})
 
 
@@ -163,21 +166,23 @@ def run_batches(
     """Process ``df`` in key ranges, one written folder and one state row per finished batch.
 
     A run that broke off goes on after the last finished batch; the folder of a batch that was
-    half written is overwritten. ``key`` is numeric, not null. Returns the state table.
+    half written is overwritten. ``key`` is numeric, not null; its bounds reach the scan as
+    filters, so on data laid out by the key a batch reads its own part. Returns the state table.
     """
-    spark = df.sparkSession
-    done = read_state(spark, path).agg(F.max("batch").alias("b"), F.max("last_key").alias("k")).first()
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    bound = lambda value: F.lit(str(value)).cast(kind)
+    done = read_state(spark, path).agg(F.max("batch").alias("b"), F.max_by("last_key", "batch").alias("k")).first()
     number, last = (done["b"] or 0), done["k"]
-    rest = df if last is None else df.filter(F.col(key) > last)
+    rest = df if last is None else df.filter(F.col(key) > bound(last))
     for upper in batch_bounds(rest, key, size)[:max_batches]:
         number += 1
-        part = df.filter(F.col(key) <= upper)
+        part = df.filter(F.col(key) <= bound(upper))
         if last is not None:
-            part = part.filter(F.col(key) > last)
+            part = part.filter(F.col(key) > bound(last))
         folder = f"{path}/data/batch={number}"
         fn(part).write.mode("overwrite").parquet(folder)
         rows = spark.read.parquet(folder).count()
-        state = spark.createDataFrame([(number, float(upper), rows, "DONE")], STATE_SCHEMA)
+        state = spark.createDataFrame([(number, str(upper), rows, "DONE")], STATE_SCHEMA)
         state.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch={number:08d}")
         last = upper
     return read_state(spark, path)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -29,10 +30,9 @@ from ledgerkit.session import settle
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 20_000
-MAX_HOT_KEYS = 10_000
 GROUP_LIMIT = 1_000  # Spark's default bound for limiting groups before the shuffle
 
-_S1, _S2, _HALO = "__slice", "__subslice", "__halo"
+_S1, _S2, _HALO, _HOT = "__slice", "__subslice", "__halo", "__hot"
 _SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
 
 
@@ -64,7 +64,7 @@ class Layout:
         return Window.partitionBy(*self.keys).orderBy(_S1, _S2)
 
     def done(self, df: DataFrame) -> DataFrame:
-        return df.drop(_S1, _S2, _HALO)
+        return df.drop(_S1, _S2, _HALO, _HOT)
 
 
 def column_name(item: str) -> str:
@@ -166,13 +166,10 @@ def _bucket(
     return out.withColumn(target, number.cast("long")).drop(source, target + "_b")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> list[int]:
-    """Hashes of the keys with more than ``rows`` rows, hottest first, at most MAX_HOT_KEYS.
-
-    Only the layout depends on the list, so a hash collision or the bound costs speed at worst.
-    """
-    counted = df.groupBy(F.xxhash64(*keys).alias("h")).count().filter(F.col("count") > rows)
-    return [r["h"] for r in counted.orderBy(F.desc("count"), "h").limit(MAX_HOT_KEYS).collect()]
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The keys with more than ``rows`` rows, as a settled frame with ``__h_<key>`` columns."""
+    named = [F.col(k).alias("__h_" + k) for k in keys]
+    return settle(df.groupBy(*named).count().filter(F.col("count") > rows).drop("count"))
 
 
 def layout(
@@ -189,12 +186,15 @@ def layout(
         raise TypeError(f"first sort column {lead!r} must be a number, a time or text")
     if keys:
         hot = hot_keys(df, keys, rows_per_slice)
-        if not hot:
+        if hot.isEmpty():
             return plain
-        is_hot = F.xxhash64(*keys).isin(hot)
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("__h_" + k)) for k in keys])
+        df = df.join(hot.withColumn(_HOT, F.lit(True)), on, "left").drop(*hot.columns)
+        df = df.withColumn(_HOT, F.coalesce(_HOT, F.lit(False)))
     else:
-        is_hot = F.lit(True)
-    hot_rows = df.filter(is_hot) if keys else df
+        df = df.withColumn(_HOT, F.lit(True))
+    is_hot = F.col(_HOT)
+    hot_rows = df.filter(is_hot)
     skip = _shared_bytes(hot_rows, lead)
     edges, heavy, many_nulls = _edges(hot_rows, lead, rows_per_slice, skip)
     if not edges and not many_nulls:
@@ -297,7 +297,8 @@ def with_preceding(
     size = F.size("last")
     halo = halo.withColumn("last", F.slice("last", F.greatest(size - n + 1, F.lit(1)), F.lit(n)))
     halo = halo.select(_S1, _S2, F.explode("last").alias("x")).select("x.r.*", _S1, _S2)
-    rows = laid.df.withColumn(_HALO, F.lit(False)).unionByName(halo.withColumn(_HALO, F.lit(True)))
+    halo = halo.withColumns({_HOT: F.lit(True), _HALO: F.lit(True)})
+    rows = laid.df.withColumn(_HALO, F.lit(False)).unionByName(halo)
     out = rows.withColumns({name: fn(laid.window()) for name, fn in exprs.items()})
     return laid.done(out.filter(~F.col(_HALO)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerkit.functions.exprs import parse_date, parse_number, percent, try_date, try_number
+from ledgerkit.session import settle
 from ledgerkit.sources.readers import append_rows
 
 # Culture per country code; other countries use the ISO forms.
@@ -100,18 +101,23 @@ class TooManyErrors(RuntimeError):
 
 def migrate(
     source: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str,
-    max_error_rate: float = 0.05,
+    max_error_rate: float = 0.05, run: int = 1,
 ) -> DataFrame:
-    """Split, check the error rate, then append the valid rows; returns the stage report."""
+    """Split, check the error rate, then write the valid rows of a run; returns the stage report.
+
+    The split is evaluated once, into a settled copy. The rows go to the folder of the run's
+    number, so a run that is repeated replaces its rows.
+    """
     good, bad = split(source)
-    counts = good.select(F.lit(1).alias("g")).unionByName(bad.select(F.lit(0).alias("g"))).agg(
-        F.count(F.lit(1)).alias("total"), F.sum("g").alias("good")).first()
-    failed = counts["total"] - (counts["good"] or 0)
+    copy = settle(good.withColumn("__good", F.lit(True)).unionByName(
+        bad.withColumn("__good", F.lit(False)), allowMissingColumns=True))
+    counts = copy.agg(F.count(F.lit(1)).alias("total"), F.count_if("__good").alias("good")).first()
+    failed = counts["total"] - counts["good"]
     if counts["total"] and failed / counts["total"] > max_error_rate:
         raise TooManyErrors(f"{failed} of {counts['total']} rows are bad")
-    append_rows(good, path)
+    copy.filter("__good").select(*good.columns).write.mode("overwrite").parquet(f"{path}/run={run}")
     return source.sparkSession.createDataFrame(
-        [("read", counts["total"]), ("rejected", failed), ("written", counts["good"] or 0)],
+        [("read", counts["total"]), ("rejected", failed), ("written", counts["good"])],
         "stage string, rows long")
 
 
@@ -134,9 +140,8 @@ def dup_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def assert_none(df: DataFrame, cond: Column, message: str = "rows found") -> None:
     """Fail when any row meets the condition."""
-    n = df.filter(cond).count()
-    if n:
-        raise ValueError(f"{n} {message}")
+    if df.filter(cond).limit(1).count():
+        raise ValueError(message)
 
 
 # Largest whole number per type and its bytes.

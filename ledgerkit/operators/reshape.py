@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from ledgerkit.functions.exprs import MONTH_NAMES, month_name
 from ledgerkit.functions.predicates import in_range, in_year
 
-MAX_COLUMNS = 1_000
-
-
 def pivot_values(df: DataFrame, col: str) -> list:
-    """The values that become columns, in order; refused when there are too many."""
-    found = [r[0] for r in df.select(col).distinct().orderBy(col).limit(MAX_COLUMNS + 1).collect()]
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"{col} has more than {MAX_COLUMNS} values")
+    """The values that become columns, in order; at most Spark's own ``spark.sql.pivotMaxValues``."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = [r[0] for r in df.select(col).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more values than spark.sql.pivotMaxValues = {most}; give the values")
     return [v for v in found if v is not None]
 
 

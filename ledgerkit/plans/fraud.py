@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import date_diff, day_name, money
 from ledgerkit.operators import ordered
-from ledgerkit.operators.aggs import by_period, string_agg
+from ledgerkit.operators.aggs import by_period, ordered_items
 from ledgerkit.operators.merge import archive_older, delete_where
 from ledgerkit.operators.paging import order_by_label
 
@@ -83,7 +83,7 @@ def impossible_travel(
 def first_seen(log: DataFrame, key: str, device: str) -> DataFrame:
     """First use of each device per key; ``is_new`` for all but the key's very first device."""
     first = log.groupBy(key, device).agg(F.min("ts").alias("first_ts"))
-    start = log.groupBy(key).agg(F.min("ts").alias("key_start"))
+    start = first.groupBy(key).agg(F.min("first_ts").alias("key_start"))
     rows = first.join(start, key)
     return rows.withColumn("is_new", F.col("first_ts") > F.col("key_start")).drop("key_start")
 
@@ -150,7 +150,7 @@ def suspicious(audit: DataFrame, as_of, bound: int = 100, hours: int = 24, delet
 
 
 def compliance_report(audit: DataFrame, lo, hi, top: int = 10):
-    """By operation, top users, off-hours with the times, by weekday, retention."""
+    """By operation, top users, off-hours per user, the off-hours one by one, by weekday, retention."""
     rows = audit.filter(p.between_days("ts", lo, hi))
     word = F.lit(None).cast("string")
     for code, text in OPERATIONS.items():
@@ -160,11 +160,11 @@ def compliance_report(audit: DataFrame, lo, hi, top: int = 10):
     users = rows.groupBy("user").agg(_n(), _op("I", "inserts"), _op("U", "updates"), _op("D", "deletes"))
     users = users.orderBy(F.desc("operations"), "user").limit(top)
     late = rows.filter(outside("ts", 8, 18)).withColumn("time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    listed = string_agg(late, ["user"], "time", ", ").withColumnRenamed("items", "times")
-    night = late.groupBy("user").agg(_n()).join(listed, "user")
+    times = ordered_items(late, ["user"], "time")
+    night = late.groupBy("user").agg(_n())
     weekday = rows.groupBy(F.dayofweek("ts").alias("weekday"), day_name("ts").alias("day_name")).agg(_n())
     ends = audit.agg(_n("records"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
-    return by_op, users, night, weekday, ends.withColumn("days", date_diff("day", "oldest", "newest"))
+    return by_op, users, night, times, weekday, ends.withColumn("days", date_diff("day", "oldest", "newest"))
 
 
 def large_count(tx: DataFrame, day, bound: float) -> DataFrame:
@@ -189,8 +189,9 @@ def retain_audit(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows to archive, rows that stay, statistics)."""
     fresh, kept = archive_older(audit, archive, keys, "ts", p.shift(as_of, -days, "day"))
-    count = lambda df, name: df.agg(_n("rows")).select(F.lit(name).alias("stage"), "rows")
-    stats = count(audit, "total").unionByName(count(fresh, "archived")).unionByName(count(kept, "kept"))
+    old = F.coalesce(F.col("ts") < p.literal(p.shift(as_of, -days, "day")), F.lit(False))
+    both = audit.agg(_n("total"), F.count_if(~old).alias("kept")).unpivot([], ["total", "kept"], "stage", "rows")
+    stats = both.unionByName(fresh.agg(_n("archived")).unpivot([], ["archived"], "stage", "rows"))
     if dry_run:
         return fresh.limit(0), audit, stats
     return fresh, kept, stats

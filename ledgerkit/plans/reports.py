@@ -7,10 +7,9 @@ on the map side, and no join ever multiplies balances.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerkit.functions import predicates as p
@@ -110,8 +109,7 @@ def monthly_report(
 ) -> DataFrame:
     """One page of the top clients of a month with rank, shares, change and category."""
     rows = settle(month_over_month(bank, year, month))
-    ranked = _with_standing(rows, rows.count())
-    chosen = ranked.filter(F.col("ranking") <= top)
+    chosen = _head(rows, top)
     listed = F.least(F.lit(top), rows.agg(F.count(F.lit(1)).alias("n")).scalar())
     first = (page - 1) * size
     shown = chosen.filter((F.col("ranking") > first) & (F.col("ranking") <= first + size))
@@ -123,14 +121,28 @@ def monthly_report(
     ).orderBy("ranking")
 
 
-def _with_standing(rows: DataFrame, size: int) -> DataFrame:
-    """Ranking by amount, running amount, shares and category over all (settled) report rows."""
-    total = rows.agg(F.sum("amount").alias("t")).scalar()
-    out = ordered.with_running(
-        rows, [], ["-amount", "client_id"],
-        {"ranking": F.lit(1).cast("long"), "running_amount": F.col("amount")}, size=size,
-    )
-    out = ordered.with_ranks(out, [], "amount", percent="standing", source=rows, size=size)
+def _head(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest of all (settled) report rows, with ranking, shares, gap and category.
+
+    All of these follow from the head itself, the number and sum of all rows, and the number of
+    rows that tie with the head's last; so no window runs over more than ``n`` rows.
+    """
+    head = settle(rows.orderBy(F.desc("amount"), "client_id").limit(n))
+    ends = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total"))
+    last = head.agg(F.min("amount").alias("last")).scalar()
+    reached = rows.filter(F.col("amount") >= last).agg(F.count(F.lit(1)).alias("n")).scalar()
+    down = Window.orderBy(F.desc("amount"), "client_id")
+    ties = Window.orderBy(F.desc("amount")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    count = ends.select("rows").scalar()
+    not_below = F.when(F.col("amount") == last, reached).otherwise(F.count(F.lit(1)).over(ties))
+    out = head.withColumns({
+        "ranking": F.row_number().over(down).cast("long"),
+        "dense_ranking": F.dense_rank().over(Window.orderBy(F.desc("amount"))).cast("long"),
+        "running_amount": F.sum("amount").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "gap": F.coalesce(F.col("amount") - F.lag("amount").over(down), F.lit(0).cast(rows.schema["amount"].dataType)),
+        "standing": F.when(count > 1, (count - not_below) / (count - 1)).otherwise(F.lit(0.0)),
+    })
+    total = ends.select("total").scalar()
     return out.select(
         "*", percent("amount", total).alias("share_pct"),
         percent("running_amount", total).alias("running_share_pct"),
@@ -143,17 +155,9 @@ def top_clients(bank: Bank, n: int, lo, hi) -> DataFrame:
     tx = bank.tx.filter(p.in_range("ts", lo, hi) & (F.col("state") == DONE))
     totals = per_client(bank, tx, _count(), _total())
     rows = settle(bank.clients.select("client_id", "name", "segment").join(totals, "client_id"))
-    size = rows.count()
-    out = _with_standing(rows, size)
-    out = ordered.with_ranks(out, [], "-amount", dense="dense_ranking", source=rows, size=size)
-    # Only the first n rows are shown, so the gap needs no window over all of them.
-    head = out.filter(F.col("ranking") <= n)
-    before = head.select((F.col("ranking") + 1).alias("ranking"), F.col("amount").alias("above"))
-    head = head.join(before, "ranking", "left")
-    return head.select(
+    return _head(rows, n).select(
         "ranking", "dense_ranking", "client_id", "name", "segment", "tx_count", "amount",
-        "share_pct", "running_amount", "running_share_pct",
-        (F.col("amount") - F.coalesce("above", "amount")).alias("gap"), "category",
+        "share_pct", "running_amount", "running_share_pct", "gap", "category",
     ).orderBy("ranking")
 
 
@@ -219,7 +223,7 @@ def concentration(bank: Bank, lo, hi) -> tuple[DataFrame, DataFrame]:
         F.sum("withdrawals").alias("withdrawals"), F.sum("volume").alias("volume"),
         (F.sum("tx_count").cast("double") / F.count(F.lit(1))).alias("average_tx"),
     )
-    whole = clients.agg(F.sum("volume").alias("v")).scalar()
+    whole = segments.agg(F.sum("volume").alias("v")).scalar()
     share = percent("volume", whole)
     segments = segments.withColumn("share_pct", share).withColumn(
         "risk", F.when(share > 40, "HIGH").when(share > 20, "MEDIUM").otherwise("LOW")
@@ -403,37 +407,35 @@ def find_transactions(
 
 
 def alert_queue(alerts: DataFrame, as_of, severity: int = 3, n: int = 100):
-    """Open alerts of high severity, counts per analyst, fraud alerts of the last month."""
+    """Worklist (open alerts of high severity, newest first), counts, fraud alerts of the last month.
+
+    The counts are per analyst, type and state.
+    """
     open_ = alerts.filter((F.col("state") == "OPEN") & (F.col("severity") >= severity))
-    per_analyst = alerts.groupBy("analyst", "state").agg(F.count(F.lit(1)).alias("alerts"))
+    per_analyst = alerts.groupBy("analyst", "type", "state").agg(F.count(F.lit(1)).alias("alerts"))
     fraud = alerts.filter((F.col("type") == "FRAUD") & p.last("ts", 1, "month", as_of))
-    queue = open_.orderBy(F.desc("severity"), "ts", "alert_id").limit(n)
+    queue = open_.orderBy(F.desc("ts"), F.desc("severity"), "alert_id").limit(n)
     return queue, per_analyst, fraud
 
 
 def client_reports(
-    df: DataFrame, fn: Callable[[dict], str], key: str = "client_id",
+    df: DataFrame, report: Column, rules: Sequence[tuple[Column, str]] = (), key: str = "client_id",
 ) -> DataFrame:
-    """Call ``fn`` for each row; a failing row gives its error instead of ending the job."""
-    names = df.columns
-
-    def run(batches):
-        for batch in batches:
-            keys, texts, errors = [], [], []
-            for row in batch.itertuples(index=False):
-                record = dict(zip(names, row))
-                text, error = None, None
-                try:
-                    text = fn(record)
-                except Exception as problem:  # noqa: BLE001 - any failure is the row's result
-                    error = str(problem)
-                keys.append(record[key])
-                texts.append(text)
-                errors.append(error)
-            yield pd.DataFrame({key: keys, "report": texts, "error": errors})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.mapInPandas(run, f"{key} {kind}, report string, error string")
+    """A text per row; a row that breaks one of ``rules`` (condition, error) gets its error instead."""
+    error = F.lit(None).cast("string")
+    for broken, text in reversed(rules):
+        error = F.when(broken, text).otherwise(error)
+    return df.select(key, F.when(error.isNull(), report).alias("report"), error.alias("error"))
+
+
+def accounts_with_counts(bank: Bank, kind: str | None = None) -> DataFrame:
+    """Accounts, of one type or of all, with their client and number of transactions (0 for none)."""
+    accounts = bank.accounts if kind is None else bank.accounts.filter(F.col("type") == kind)
+    counts = bank.tx.groupBy("account_id").agg(_count())
+    named = accounts.join(bank.clients.select("client_id", "name", "segment"), "client_id", "left")
+    return named.join(counts, "account_id", "left").select(
+        "account_id", "type", "state", "balance", "client_id", "name", "segment",
+        F.coalesce("tx_count", F.lit(0)).cast("long").alias("tx_count"))
 
 
 def report_counts(reports: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerkit.functions.exprs import date_diff
 from ledgerkit.operators import ordered
@@ -62,11 +62,31 @@ def session_stream(stream: DataFrame, gap: str, watermark: str, key: str = "acco
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark, over all recent batches."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress for op in progress["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that each query dropped behind its watermark, over its whole run.
+
+    Add it to ``spark.streams`` before the query starts.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event):  # noqa: N802
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event):  # noqa: N802
+        run = str(event.progress.runId)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
+
+    def rows(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.runId), 0)
 
 
 # Tables kept by batch number. A batch that is run again overwrites its own folder only.
@@ -86,15 +106,16 @@ def _last_rows(spark: SparkSession, path: str, batch: int, names: Sequence[T.Str
 
 
 def version(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame | None:
-    """The newest version of a table of versions, or the newest before a batch."""
-    try:
-        numbers = spark.read.parquet(path).select("version").distinct()
-    except AnalysisException:
+    """The newest version of a table of versions, or the newest before a batch; lists folders only."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
         return None
-    if batch is not None:
-        numbers = numbers.filter(F.col("version") < batch)
-    newest = numbers.agg(F.max("version")).first()[0]
-    return None if newest is None else spark.read.parquet(f"{path}/version={newest}")
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    numbers = [n for n in numbers if (batch is None or n < batch) and files.exists(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
 
 
 def cdc_stream(
