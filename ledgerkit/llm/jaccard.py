@@ -297,10 +297,11 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         idle = idle + 1 if before is not None and work > 0.9 * before else 0
         last = turn > 0 and (work <= PAIRS_PER_ROW * n_rows or idle >= IDLE_ROUNDS)
-        open_ = members.join(stats.select("gram", "top"), "gram")
+        # Components only grow, so a bucket with one of them is done.
+        open_ = settle(members.join(stats.select("gram", "top"), "gram"))
         outside = open_.where(F.col("comp") != F.col("top"))
         if last:
-            joined = outside.alias("x").join(members.alias("y"), F.col("x.gram") == F.col("y.gram"))
+            joined = outside.alias("x").join(open_.alias("y"), F.col("x.gram") == F.col("y.gram"))
             pairs = _pairs(joined.where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)))
         else:
             # By turns the most central set, any set, and the most central outside the largest component.
@@ -317,6 +318,7 @@ def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         comps = settle(components(links))
         if last:
             break
+        prefix = open_.drop("comp", "top")
         before, turn = work, turn + 1
     return comps if comps is not None else sets.sparkSession.createDataFrame([], "id long, comp long")
 
