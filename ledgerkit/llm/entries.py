@@ -103,4 +103,20 @@ SQL: dict[str, str] = {
         comps AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN comps USING (doc_id)
     """,
+    "op4_repeat_removal": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n FROM d),
+        places AS (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM b),
+        strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS m FROM places),
+        twice AS (SELECT m FROM strings GROUP BY m HAVING count(*) > 1),
+        hits AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM strings SEMI JOIN twice USING (m)),
+        runs AS (SELECT doc_id, p, count(*) FILTER (before IS NULL OR p > before + 400) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+        spans AS (SELECT doc_id, min(p) AS s, max(p) + 400 AS e FROM runs GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f FROM spans),
+        cut AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+            string_agg(substr(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS head FROM gaps JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM b LEFT JOIN cut USING (doc_id)
+    """,
 }
