@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerkit.operators import ordered
-from ledgerkit.session import settle
+from ledgerkit.session import discard, settle
 from ledgerkit.sources.bank import Bank
 
 
@@ -168,7 +168,8 @@ def hierarchy(df: DataFrame, id_col: str, parent: str) -> DataFrame:
             (F.col("steps") + F.col("more")).alias("steps"), F.col("next_root").alias("root"),
         )
         # Nodes under a missing parent drop out here; nodes in a cycle wait until the end.
-        nodes = settle(nodes.filter("root IS NOT NULL").unionByName(moved))
+        before, nodes = nodes, settle(nodes.filter("root IS NOT NULL").unionByName(moved))
+        discard(before)
         waiting, span = nodes.filter("root IS NULL").count(), span * 2
     return nodes.filter("root IS NOT NULL").select(
         F.col("id").alias(id_col), "root", (F.col("steps") + 1).alias("level")

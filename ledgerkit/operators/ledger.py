@@ -13,7 +13,7 @@ from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import percent
 from ledgerkit.operators import ordered
 from ledgerkit.operators.merge import update_where
-from ledgerkit.session import settle
+from ledgerkit.session import discard, settle
 
 MONEY = "decimal(18,2)"
 
@@ -198,8 +198,9 @@ def accept_in_order(
             part = plain(part.join(left, on, "left").withColumn("room", room))
         walked = settle(_accept_in_stream(part, group, order))
         out = out.unionByName(walked)
-        left = settle(walked.groupBy(*named).agg(
+        before, left = left, settle(walked.groupBy(*named).agg(
             (F.max("room") - F.coalesce(F.sum(F.when(F.col("accepted"), F.col("cents"))), F.lit(0))).alias("__left")))
+        discard(before)
     return out
 
 

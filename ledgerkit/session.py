@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,9 @@ RUNTIME = {
 }
 
 
+_scratch: list[list[str]] = []
+
+
 def build(app: str = "ledgerkit", master: str | None = None, **conf: str) -> SparkSession:
     """A session for scripts and tests. On a cluster the master comes from spark-submit."""
     builder = SparkSession.builder.appName(app)
@@ -58,9 +63,38 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and read it from there afterwards.
 
     Used where a frame feeds several jobs or a loop. The copy outlives lost executors, cuts the
-    lineage, and, being Parquet, later jobs read only the columns they need.
+    lineage, and, being Parquet, later jobs read only the columns they need. A copy stays until
+    ``discard`` or the end of the ``scratch`` block it was made in.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove settled copies that nothing reads any more, as in a loop; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove all copies made inside at its end. Results that read them are written before that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerkit import session
+from ledgerkit.operators import joins, ledger
 from ledgerkit.operators import ordered as o
 
 
@@ -102,3 +104,16 @@ def test_text_order_is_sliced(spark, rows):
     assert rows(o.number_rows(df, ["k"], ["t", "id"], "rn", rows_per_slice=20)) == rows(want)
     down = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "id")).cast("long"))
     assert rows(o.number_rows(df, ["k"], ["-t", "id"], "rn", rows_per_slice=20)) == rows(down)
+
+
+def test_copies_are_removed(spark, monkeypatch, tmp_path):
+    """A loop leaves its last copy, and the end of a scratch block nothing."""
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: str(tmp_path))
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(20)], "id int, up int")
+    levels = joins.hierarchy(tree, "id", "up")
+    assert levels.count() == 20 and len(list(tmp_path.iterdir())) == 1
+    with session.scratch(spark):
+        rows = spark.createDataFrame([(i, 1, 40, 100) for i in range(9)], "id long, g long, cents long, room long")
+        assert ledger.accept_in_order(rows, ["g"], ["id"], group_rows=3).filter("accepted").count() == 2
+        assert len(list(tmp_path.iterdir())) > 1
+    assert len(list(tmp_path.iterdir())) == 1
