@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import chunks
-from ledgerkit.session import settle
+from ledgerkit.session import discard, settle
 
 GRAM, PERCENT = 5, 75
 FRAGMENTS = 4
@@ -213,11 +213,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = settle(large.where("u <> v").distinct())
+        before, large = edges, settle(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         edges = settle(small.select("u", F.col("m").alias("v")).unionAll(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == state:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
@@ -255,7 +256,8 @@ def verify(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -
 def link(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, comp) of all sets (id, n, grams) that link with another; steps 2 to 4."""
     rows = sets.select("id", "n", F.explode("grams").alias("gram"))
-    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Settled, as further below, so that both sides of a join are plain shuffles that Spark can split.
+    counts = settle(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     ordered = rows.join(counts, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     need = (percent * F.col("n") + 99 - (percent * F.col("n") + 99) % 100) / 100
     ordered = settle(ordered.withColumn("need", need.cast("int")).where(F.size("grams") >= F.col("need")))
@@ -341,8 +343,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     smallest = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     # The right side has one row per class, so only rows of the left can be many for a key.
     linked = joined.join(smallest, "comp").select("sid", "component_id")
-    whole = classes.select("sid", "rep").join(linked, "sid", "left").select(
-        "sid", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = settle(classes.select("sid", "rep").join(linked, "sid", "left").select(
+        "sid", F.coalesce("component_id", "rep").alias("component_id")))
     return described.join(whole, "sid", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))

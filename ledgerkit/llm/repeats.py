@@ -266,7 +266,8 @@ def refine_by_names(around: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc, tag, start, end): what is covered, in overlapping pieces."""
     places = anchors(docs)
-    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h")
+    # Settled, so that both sides of the join are plain shuffles and Spark can split a hot bucket.
+    twice = settle(places.groupBy("h").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h"))
     places = settle(places.join(twice, "h"))
     classes = settle(places.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"), F.min(
         F.struct("doc", "tag", "at")).alias("first")))
