@@ -145,7 +145,12 @@ def _edges(
     row = number.agg(F.max(F.abs("v")).alias("largest"), quantiles.alias("q")).first()
     picked = row["q"]
     repeated = {a for a, b in zip(picked, picked[1:]) if a == b}
-    heavy = sorted(repeated) if _exact_in_double(df, name, row["largest"]) else []
+    heavy = sorted(repeated)
+    if heavy and not _exact_in_double(df, name, row["largest"]):
+        # Different values may share a number: only numbers of one value can be cut further.
+        v = as_number(df, name, skip)
+        single = df.filter(v.isin(heavy)).groupBy(v.alias("v")).agg((F.min(name) == F.max(name)).alias("one"))
+        heavy = sorted(r["v"] for r in single.filter("one").collect())
     edges = set(picked) | {math.nextafter(v, math.inf) for v in heavy}
     return sorted(v for v in edges if math.isfinite(v)), heavy, many_nulls
 
@@ -202,9 +207,11 @@ def layout(
     out = _bucket(df, lead, edges, _S1, skip).withColumn(_S2, F.lit(0).cast("long"))
     second = column_name(order[1]) if len(order) > 1 else None
     if (heavy or many_nulls) and second and isinstance(df.schema[second].dataType, _SORTABLE):
-        is_heavy = F.coalesce(as_number(df, lead).isin(heavy), F.lit(True))
-        inner, _, _ = _edges(hot_rows.filter(is_heavy), second, rows_per_slice)
-        out = _bucket(out, second, inner, "__inner")
+        is_heavy = F.coalesce(as_number(df, lead, skip).isin(heavy), F.lit(True))
+        tied = hot_rows.filter(is_heavy)
+        skip_second = _shared_bytes(tied, second)
+        inner, _, _ = _edges(tied, second, rows_per_slice, skip_second)
+        out = _bucket(out, second, inner, "__inner", skip_second)
         sign = -1 if order[1].startswith("-") else 1
         out = out.withColumn(
             _S2, F.when(is_hot & is_heavy, F.col("__inner") * sign).otherwise(F.lit(0)).cast("long")

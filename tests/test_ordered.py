@@ -117,3 +117,14 @@ def test_copies_are_removed(spark, monkeypatch, tmp_path):
         assert ledger.accept_in_order(rows, ["g"], ["id"], group_rows=3).filter("accepted").count() == 2
         assert len(list(tmp_path.iterdir())) > 1
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_repeated_text_is_cut_by_the_next_column(spark):
+    rows = [(1, "Customer#0001" if i % 3 else "Customer#0002", f"Item#{i * 7919 % 4000:06d}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, name string, item string, v int")
+    laid = o.layout(df, ["k"], ["name", "item"], rows_per_slice=100)
+    sizes = [r["count"] for r in laid.df.groupBy("__slice", "__subslice").count().collect()]
+    assert max(sizes) <= 300 and sum(sizes) == 4000
+    got = o.number_rows(df, ["k"], ["name", "item"], "rn", 100)
+    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("name", "item")))
+    assert sorted(map(tuple, got.select("v", "rn").collect())) == sorted(map(tuple, plain.select("v", "rn").collect()))
