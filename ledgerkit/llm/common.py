@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+# Rows that go to a Python task together. Texts are long, so fewer than Spark's default.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also bounds the batches that Python tasks of the session receive."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,8 +39,8 @@ from ledgerkit.session import discard, settle
 
 GRAM, PERCENT = 5, 75
 FRAGMENTS = 4
-BUCKET_GRAMS = 2_000_000  # grams of a prefilter bucket, and of a task's own share before it is sent
-CACHED_WORDS = 300_000
+BUCKET_GRAMS = 1_000_000  # grams of a prefilter bucket, and of a task's own share before it is sent
+CACHED_WORDS = 100_000
 PAIRS_PER_ROW = 2  # remaining comparisons per prefix row that end the rounds of hubs
 IDLE_ROUNDS = 2  # rounds in a row without a tenth less to compare that end them, too
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -22,7 +22,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +38,7 @@ from ledgerkit.llm.common import chunks
 WINDOW = 4096
 END_ID = 2
 OPEN_TOKENS = 4 << 20  # ids held in open windows before they are closed
-CACHED_WORDS = 700_000  # pieces whose ids a Python worker remembers
+CACHED_WORDS = 250_000  # pieces whose ids a Python worker remembers
 # White space that Python and the tokenizer see differently.
 _OTHER_SPACE = bytes(range(0x1C, 0x20))
 # The vocabulary's own split into pieces, for Latin-1 text in lower case (numbers are single signs).
@@ -59,13 +59,20 @@ class WordTokenizer:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.path = path
         spec["normalizer"], spec["added_tokens"] = None, []
         spec["pre_tokenizer"] = next(
             p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.pieces = Tokenizer.from_str(json.dumps(spec))
         self._clear()
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _clear(self) -> None:
         self.codes: dict[str, int] = {}  # number of a piece; its ids are in flat, from starts, sizes long
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
