@@ -8,7 +8,10 @@ path, and the words beside it.
 
 Training takes findings with labels: a table with the columns of ``findings`` and ``label``. Where none
 is at hand, ``weak_labels`` labels findings by their form: a known key format, or a random value that a
-key word is set to, is a secret; runs of plain digits, of dictionary words and of paths are not. At most
+key word is set to, is a secret; runs of plain digits, of dictionary words and of paths are not, nor are
+UUIDs and named digests (``commit``, ``sha256`` and the like before hexadecimal digits) without a key word,
+which score 0. Other random values are undecided and do not train. So that the forest can judge them by
+their own form, every random secret trains a second time without the key word before it. At most
 ``MAX_LABELLED`` labelled findings, of at most ``MAX_VALUE`` characters, first in the order of their hash, are fitted, with their
 neighbouring text; the forest, its dictionary and its letter pairs come from them. All findings are
 scored.
@@ -45,6 +48,10 @@ _SET = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"',;<>]{6,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 _KEY_WORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\w-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_-]{10,}|-----BEGIN")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_DIGEST = re.compile(r"(?i)(?:commit|revision|sha-?\d{1,3}|md5|digest|checksum|integrity|etag)[\"']?\s{0,3}[:= ]\s{0,3}[\"']?$")
+_HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+_PIECE = re.compile(r"[^\W_]+")
 _FINDING = T.StructType([
     *[T.StructField(name, T.LongType()) for name in ("start", "end")],
     *[T.StructField(name, T.StringType()) for name in ("value", "left", "right")],
@@ -89,6 +96,27 @@ def rule(value: str, left: str) -> bool:
     return bool(_KEY_WORD.search(left)) and len(value) >= 8 and not value.isalpha() and not value.isdigit()
 
 
+def mixed(value: str) -> bool:
+    """Whether a run of letters and digits changes between the two like no word or number does."""
+    for piece in _PIECE.findall(value):
+        digits = [c.isdigit() for c in piece]
+        changes = sum(a != b for a, b in zip(digits, digits[1:], strict=False))
+        if changes >= 3 or changes and len(piece) >= 12:
+            return True
+    return False
+
+
+def plain(value: str, left: str) -> bool:
+    """Plain digits, words, paths and names at a host."""
+    return value.isdigit() or value.isalpha() or len(set(value)) < 5 or "@" in left[-1:] or not mixed(value)
+
+
+def harmless(value: str, left: str) -> bool:
+    """Random by nature but no secret: UUIDs and digests that are named so, without a key word."""
+    named = _DIGEST.search(left) and _HEX.fullmatch(value)
+    return bool(named or _UUID.fullmatch(value)) and not rule(value, left)
+
+
 @dataclass
 class Forest:
     """Trees as arrays (feature, threshold, left, right, share of secrets) and what the features need."""
@@ -106,6 +134,7 @@ class Forest:
         if not self.trees:
             return np.array([float(rule(v, x)) for v, x in zip(values, lefts, strict=True)])
         rows = self.features(values, lefts, rights)
+        clean = np.array([harmless(v, x) for v, x in zip(values, lefts, strict=True)], bool)
         total = np.zeros(len(rows))
         for feature, threshold, low, high, share in self.trees:
             node = np.zeros(len(rows), np.int64)
@@ -114,7 +143,7 @@ class Forest:
                 goes_low = rows[np.arange(len(rows)), feature[node]] <= threshold[node]
                 node = np.where(inner, np.where(goes_low, low[node], high[node]), node)
             total += share[node]
-        return total / len(self.trees)
+        return np.where(clean, 0.0, total / len(self.trees))
 
 
 def _ordinary(text: str) -> list[str]:
@@ -222,18 +251,36 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.explode(_scan(F.col(text_col).cast("string"))).alias("f")).select(id_col, "f.*")
 
 
+def weak_label(value: str, left: str) -> int | None:
+    """1 for a secret, 0 for what is none by its form, nothing where the form leaves it open."""
+    if rule(value, left):
+        return 1
+    return 0 if plain(value, left) or harmless(value, left) else None
+
+
 def weak_labels(found: DataFrame) -> DataFrame:
-    """``found`` with ``label`` by the candidate's form; where the form says nothing, no row."""
+    """``found`` with ``label`` by the candidate's form; where the form says nothing, no row.
 
-    @pandas_udf(T.IntegerType())
-    def label(values: pd.Series, lefts: pd.Series) -> pd.Series:
-        out = []
-        for value, left in zip(values, lefts, strict=True):
-            plain = value.isdigit() or value.isalpha() or len(set(value)) < 5 or value[:1] in "/." or "@" in left[-1:]
-            out.append(1 if rule(value, left) else 0 if plain or not _KEY_WORD.search(left) else None)
-        return pd.Series(out, dtype="Int32")
+    A random secret has a second row whose ``left`` lacks the key word.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("label", T.IntegerType())]))
 
-    return found.withColumn("label", label("value", "left")).where("label is not null")
+    @arrow_udf(kind)
+    def label(values: pa.Array, lefts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        out = []
+        for value, left in zip(values.to_pylist(), lefts.to_pylist(), strict=True):
+            mine = weak_label(value, left)
+            rows = [] if mine is None else [{"left": left, "label": mine}]
+            bare = _KEY_WORD.sub("", left)
+            if mine and bare != left and mixed(value):
+                rows.append({"left": bare, "label": 1})
+            out.append(rows)
+        return pa.array(out, to_arrow_type(kind))
+
+    given = found.withColumn("_l", F.explode(label("value", "left")))
+    return given.withColumns({"left": F.col("_l.left"), "label": F.col("_l.label")}).drop("_l")
 
 
 def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> Forest:

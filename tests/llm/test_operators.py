@@ -321,6 +321,26 @@ def test_secrets(spark):
         assert clean[i] == (text.replace(mine[0], secrets.MASK) if mine else text)
 
 
+def test_random_values_without_a_key_word_are_no_negatives(spark):
+    rng = random.Random(5)
+    key = lambda k=40: "".join(rng.choices("abcdef0123456789", k=k))
+    for left in ("Authorization: Bearer ", "DEPLOY_CRED ", "see "):
+        assert secrets.weak_label(key(), left) is None
+    assert [secrets.weak_label(v, "see ") for v in ("4111222233334444", "/var/lib/file_2024_1.txt", "release-2024-01-02")] == [0, 0, 0]
+    assert secrets.weak_label(key(), "commit ") == 0 and secrets.weak_label(key(), "token = ") == 1
+    rows = [(i, f"words here token = \"{key()}\" and words {rng.randrange(10**15, 10**16)} there {rng.choice(WORDS)}") for i in range(60)]
+    tests = {100: "Authorization: Bearer {}", 101: "DEPLOY_CRED {}", 102: "and then {} follows"}
+    wanted = {i: key() for i in tests}
+    clean = [(200, f"commit {key()} fixes it"), (201, "id 0b5e7c1a-93d4-4f1e-8a2b-6c7d8e9f0a1b given"), (202, "see /var/lib/file_2024_1.txt")]
+    docs = spark.createDataFrame(rows + [(i, t.format(wanted[i])) for i, t in tests.items()] + clean, "doc_id long, text string")
+    found = secrets.findings(docs)
+    forest = secrets.train(secrets.weak_labels(found))
+    got = {(r["doc_id"], r["value"]) for r in secrets.judge(found, forest).where("is_secret and doc_id >= 100").collect()}
+    assert got == set(wanted.items())
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact(docs.where("doc_id >= 100"), forest).collect()}
+    assert hidden == {i: t.format(secrets.MASK) for i, t in tests.items()} | dict(clean)
+
+
 # Decontamination ------------------------------------------------------------------------------
 
 def edit_search(pattern, text):
