@@ -59,9 +59,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = session.settle(secrets.findings(table(spark, sf_dir, "documents")))
-    forest = secrets.train(secrets.weak_labels(found))
-    return secrets.judge(found, forest).where("is_secret").select("doc_id", "start", "end", "value", "score")
+    docs = table(spark, sf_dir, "documents")
+    forest = secrets.train(secrets.weak_labels(session.settle(secrets.findings(docs))))
+    return secrets.report(docs, forest)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Secret scans: wide patterns find candidates, a random forest removes the false positives.
 
 Candidates are runs of 12 or more letters, digits and ``_+/=-`` with a digit in them, values of six or
-more signs behind ``:`` or ``=``, and private key blocks. The forest (histogram splits on bootstrap
+more signs behind ``:`` or ``=``, known key formats, passwords in URLs, and private key blocks. A candidate may
+lie inside another: values are also cut at ``/ ? & : @ = # |``, and each part is judged on its own with its own
+neighbouring text. Secrets that overlap are reported and masked as one span. The forest (histogram splits on bootstrap
 samples, numpy) sees the candidate's length, its character transitions (letters to digits and back, how
 ordinary its letter pairs are, entropy), how much of it dictionary words cover, whether it looks like a
 path, and the words beside it.
@@ -10,19 +12,21 @@ Training takes findings with labels: a table with the columns of ``findings`` an
 is at hand, ``weak_labels`` labels findings by their form: a known key format, or a random value that a
 key word is set to, is a secret; runs of plain digits, of dictionary words and of paths are not, nor are
 UUIDs and named digests (``commit``, ``sha256`` and the like before hexadecimal digits) without a key word,
-which score 0. Other random values are undecided and do not train. So that the forest can judge them by
+which score 0; known key formats and passwords in addresses score 1. Other random values are undecided and do not train. So that the forest can judge them by
 their own form, every random secret trains a second time without the key word before it. At most
 ``MAX_LABELLED`` labelled findings, of at most ``MAX_VALUE`` characters, first in the order of their hash, are fitted, with their
 neighbouring text; the forest, its dictionary and its letter pairs come from them. All findings are
 scored.
 
-Defined results: null or empty texts have no candidates; the order of findings in a text is by start;
+Defined results: null or empty texts have no candidates; the order of findings in a text is by start, the
+longer first; a merged span has the highest score of its secrets;
 repeated documents are reported each; without labelled findings, or with one class only, the rule of
 ``weak_labels`` decides. Only the named columns are read; ``redact`` keeps all others.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -47,7 +51,14 @@ _RUN = re.compile(r"[A-Za-z0-9_+/=\-]{12,}")
 _SET = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"',;<>]{6,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 _KEY_WORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\w-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")
-_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_-]{10,}|-----BEGIN")
+_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){0,2}|-----BEGIN")
+_PREFIX = ("AKIA", "ASIA", "gh", "xox", "sk_live_", "AIza", "eyJ")
+_LOGIN = re.compile(r"://[^\s/:@]*:([^\s/@]{6,})@")
+_LOGIN_LEFT = re.compile(r"://[^\s/:@]*:$")
+_PATH = re.compile(r"://[^\s\"',;<>?#]*")
+_FIELD = re.compile(r"&[\w.\-\[\]]{1,64}=")
+_PART = re.compile(r"[^/?&:@=#|]{6,}")
+_FORM_PART = re.compile(r"(?<=[=])[^?&=#|]{6,}")  # base64 has / in it
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?i)(?:commit|revision|sha-?\d{1,3}|md5|digest|checksum|integrity|etag)[\"']?\s{0,3}[:= ]\s{0,3}[\"']?$")
 _HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
@@ -59,27 +70,46 @@ _FINDING = T.StructType([
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
-    """Spans of candidates in order, none inside another."""
+    """Spans of candidates in order; a part of a candidate is one as well."""
     if not text:
         return
-    found: list[tuple[int, int]] = []
+    found: set[tuple[int, int]] = set()
     if "-----BEGIN" in text:
-        found += [m.span() for m in _BLOCK.finditer(text)]
+        found.update(m.span() for m in _BLOCK.finditer(text))
+    paths = [m.span() for m in _PATH.finditer(text)] if "://" in text else []
     for m in _RUN.finditer(text):
+        while paths and paths[0][1] <= m.start():
+            paths.pop(0)
         value = m.group()
         if any(c.isdigit() for c in value):
             # A name that a value is set to is no part of the value.
             cut = value.rfind("=", 0, len(value.rstrip("=")))
             start, end = m.start() + cut + 1, m.end()
             if end - start >= 6:
-                found.append((start, end))
-    found += [m.span(1) for m in _SET.finditer(text)]
-    found.sort(key=lambda s: (s[0], -s[1]))
-    last = -1
-    for start, end in found:
-        if start >= last:
-            yield start, end
-            last = end
+                if "/" not in value or not paths or start < paths[0][0]:  # of a path only the parts
+                    found.add((start, end))
+            found.update(_parts(text, m.start(), m.end()))
+    for m in _SET.finditer(text):
+        start, end = m.span(1)
+        if not text.startswith("//", start):  # of an address only the parts
+            field = _FIELD.search(text, start, end)
+            if not field or field.start() - start >= 6:
+                found.add((start, field.start() if field else end))
+            elif _KEY_WORD.search(text, max(0, start - CONTEXT), start):
+                found.add((start, end))
+        found.update(_parts(text, start, end))
+    if "://" in text:
+        found.update(m.span(1) for m in _LOGIN.finditer(text))
+    if any(p in text for p in _PREFIX):
+        found.update(m.span() for m in _KNOWN.finditer(text) if m.group() != "-----BEGIN" and not text[m.start() - 1:m.start()].isalnum())
+    yield from sorted(found, key=lambda s: (s[0], -s[1]))
+
+
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a candidate that may be secrets of their own."""
+    for m in itertools.chain(_PART.finditer(text, start, end), _FORM_PART.finditer(text, start, end)):
+        if any(c.isdigit() for c in m.group()) or _KEY_WORD.search(text, max(0, m.start() - CONTEXT), m.start()):
+            yield m.span()
 
 
 def scan(text: str | None) -> list[dict]:
@@ -89,9 +119,21 @@ def scan(text: str | None) -> list[dict]:
     ]
 
 
-def rule(value: str, left: str) -> bool:
+def login(value: str, left: str, right: str) -> bool:
+    """Whether the value is the password of an address, and no variable."""
+    return right[:1] == "@" and bool(_LOGIN_LEFT.search(left)) and value[:1] not in "$%{["
+
+
+def certain(value: str, left: str, right: str) -> bool:
+    """A known key format or a password in an address, whether or not the forest has seen one."""
+    if value.startswith("-----BEGIN"):
+        return "PRIVATE KEY" in value
+    return bool(_KNOWN.match(value)) or login(value, left, right)
+
+
+def rule(value: str, left: str, right: str = "") -> bool:
     """Whether the form alone speaks for a secret."""
-    if _KNOWN.match(value):
+    if _KNOWN.match(value) or login(value, left, right):
         return True
     return bool(_KEY_WORD.search(left)) and len(value) >= 8 and not value.isalpha() and not value.isdigit()
 
@@ -132,7 +174,7 @@ class Forest:
 
     def scores(self, values: list[str], lefts: list[str], rights: list[str]) -> np.ndarray:
         if not self.trees:
-            return np.array([float(rule(v, x)) for v, x in zip(values, lefts, strict=True)])
+            return np.array([float(rule(*x)) for x in zip(values, lefts, rights, strict=True)])
         rows = self.features(values, lefts, rights)
         clean = np.array([harmless(v, x) for v, x in zip(values, lefts, strict=True)], bool)
         total = np.zeros(len(rows))
@@ -143,7 +185,8 @@ class Forest:
                 goes_low = rows[np.arange(len(rows)), feature[node]] <= threshold[node]
                 node = np.where(inner, np.where(goes_low, low[node], high[node]), node)
             total += share[node]
-        return np.where(clean, 0.0, total / len(self.trees))
+        sure = np.array([certain(*x) for x in zip(values, lefts, rights, strict=True)], bool)
+        return np.where(sure, 1.0, np.where(clean, 0.0, total / len(self.trees)))
 
 
 def _ordinary(text: str) -> list[str]:
@@ -172,7 +215,7 @@ def _features(value: str, left: str, right: str, pairs: dict[str, float], words:
         float(bool(_KEY_WORD.search(left))),
         float(any(k in near[0] or k in near[1] for k in ("pass", "secret", "token", "key", "auth"))),
         float(sum(w in words for w in beside)),
-        float(bool(_KNOWN.match(value))),
+        float(bool(_KNOWN.match(value))), float(rule(value, left, right)),
     ]
 
 
@@ -251,9 +294,9 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.explode(_scan(F.col(text_col).cast("string"))).alias("f")).select(id_col, "f.*")
 
 
-def weak_label(value: str, left: str) -> int | None:
+def weak_label(value: str, left: str, right: str = "") -> int | None:
     """1 for a secret, 0 for what is none by its form, nothing where the form leaves it open."""
-    if rule(value, left):
+    if rule(value, left, right):
         return 1
     return 0 if plain(value, left) or harmless(value, left) else None
 
@@ -266,12 +309,12 @@ def weak_labels(found: DataFrame) -> DataFrame:
     kind = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("label", T.IntegerType())]))
 
     @arrow_udf(kind)
-    def label(values: pa.Array, lefts: pa.Array) -> pa.Array:
+    def label(values: pa.Array, lefts: pa.Array, rights: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
         out = []
-        for value, left in zip(values.to_pylist(), lefts.to_pylist(), strict=True):
-            mine = weak_label(value, left)
+        for value, left, right in zip(values.to_pylist(), lefts.to_pylist(), rights.to_pylist(), strict=True):
+            mine = weak_label(value, left, right)
             rows = [] if mine is None else [{"left": left, "label": mine}]
             bare = _KEY_WORD.sub("", left)
             if mine and bare != left and mixed(value):
@@ -279,7 +322,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
             out.append(rows)
         return pa.array(out, to_arrow_type(kind))
 
-    given = found.withColumn("_l", F.explode(label("value", "left")))
+    given = found.withColumn("_l", F.explode(label("value", "left", "right")))
     return given.withColumns({"left": F.col("_l.left"), "label": F.col("_l.label")}).drop("_l")
 
 
@@ -304,6 +347,37 @@ def judge(found: DataFrame, forest: Forest) -> DataFrame:
     return found.withColumn("score", score("value", "left", "right")).withColumn("is_secret", F.col("score") >= 0.5)
 
 
+def secrets_of(text: str | None, forest: Forest) -> list[dict]:
+    """Start, end, value and score of the secrets of a text; overlapping ones are one."""
+    found = scan(text)
+    out: list[dict] = []
+    if not found:
+        return out
+    scores = forest.scores(*[[f[k] for f in found] for k in ("value", "left", "right")])
+    for f, score in zip(found, scores.tolist(), strict=True):
+        if score < 0.5:
+            continue
+        if out and f["start"] < out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], f["end"])
+            out[-1]["score"] = max(out[-1]["score"], score)
+        else:
+            out.append({"start": f["start"], "end": f["end"], "score": score})
+    return [{**o, "value": text[o["start"]:o["end"]]} for o in out]
+
+
+def report(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per secret: id, start, end, value, score."""
+    kind = T.ArrayType(T.StructType([*_FINDING.fields[:3], T.StructField("score", T.DoubleType())]))
+
+    @arrow_udf(kind)
+    def secret(texts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return pa.array([secrets_of(t.as_py(), forest) for t in texts], to_arrow_type(kind))
+
+    return docs.select(F.col(id_col), F.explode(secret(F.col(text_col).cast("string"))).alias("s")).select(id_col, "s.*")
+
+
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mask``; other texts stay as they are."""
 
@@ -312,14 +386,12 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", mask: str =
         out = []
         for cell in texts:
             text = cell.as_py()
-            found = scan(text)
+            found = secrets_of(text, forest)
             if found:
-                scores = forest.scores(*[[f[k] for f in found] for k in ("value", "left", "right")])
                 parts, at = [], 0
-                for f, s in zip(found, scores, strict=True):
-                    if s >= 0.5:
-                        parts += [text[at:f["start"]], mask]
-                        at = f["end"]
+                for f in found:
+                    parts += [text[at:f["start"]], mask]
+                    at = f["end"]
                 text = "".join([*parts, text[at:]])
             out.append(text)
         return pa.array(out, pa.string())

@@ -341,6 +341,24 @@ def test_random_values_without_a_key_word_are_no_negatives(spark):
     assert hidden == {i: t.format(secrets.MASK) for i, t in tests.items()} | dict(clean)
 
 
+def test_secrets_inside_addresses_and_forms(spark):
+    rng = random.Random(6)
+    key = lambda k=40: "".join(rng.choices("abcdef0123456789", k=k))
+    rows = [(i, f"words token = \"{key()}\" and {rng.randrange(10**15, 10**16)} in https://example.org/a/b_{i}?page={i} {rng.choice(WORDS)}") for i in range(60)]
+    tests = {
+        100: ("clone https://bob:{}@github.com/x.git now", "ghp_" + key(36)), 101: ("get https://h/p?id=1&token={} now", key()),
+        102: ("post a=1&token={}&b=2 now", key()), 103: ("open https://ann:{}@host.example/db now", "correct-horse"),
+        104: ("call https://h/v1/{}/send now", key()), 105: ("cookie: sid=1&k={} now", "AKIA" + "ABCDEFGHIJKLMNOP"),
+    }
+    clean = [(200, "see https://example.org/a/2024/file_12.txt?page=12&size=20 now"), (201, "at http://localhost:8080/index.html now")]
+    docs = spark.createDataFrame(rows + [(i, t.format(k)) for i, (t, k) in tests.items()] + clean, "doc_id long, text string")
+    forest = secrets.train(secrets.weak_labels(secrets.findings(docs)))
+    got = {r["doc_id"]: r["value"] for r in secrets.report(docs, forest).where("doc_id >= 100").collect()}
+    assert got == {i: k for i, (_, k) in tests.items()}
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact(docs.where("doc_id >= 100"), forest).collect()}
+    assert hidden == {i: t.format(secrets.MASK) for i, (t, _) in tests.items()} | dict(clean)
+
+
 # Decontamination ------------------------------------------------------------------------------
 
 def edit_search(pattern, text):
