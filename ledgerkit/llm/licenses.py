@@ -9,7 +9,11 @@ the template's matched words. Every candidate is aligned.
 
 A match reports the template, its ``coverage`` (matched words over the template's words), and the
 character span of the text from the first to the last matched word. Matches under ``MIN_COVERAGE`` of a
-template are not licenses.
+template are not licenses. Templates of fewer than ``STRICT`` words differ by a word or two, so all their
+words must follow each other as they do in the template (sentences of it may be apart), and the last one
+must not go on (``MIT-0`` is not ``MIT``). In the notices of ``TELLING`` the words that name the license must
+follow each other. Where matches of different templates overlap, only the one with the most matched
+words stays, at a tie the one with the higher coverage.
 
 The templates are a parameter: a list of (name, text) that is sent to the tasks, so it must be small
 (``MAX_TEMPLATE_CHARS`` in all; more raises an error). Defined results: a null or empty text and an empty
@@ -23,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +38,7 @@ from pyspark.sql.functions import arrow_udf
 GRAM, SPAN = 3, 4
 BAND = 12  # words that may be added or lost on the way
 MIN_COVERAGE = 0.6
+STRICT = 10
 MAX_TEMPLATE_CHARS = 4_000_000
 
 # The opening lines by which the licenses ask to be recognised, and short notices.
@@ -60,6 +66,12 @@ TEMPLATES = [
     ("CC-BY-NC-4.0-short", "Licensed under CC BY-NC 4.0"),
     ("All-rights-reserved", "Copyright. All rights reserved."),
 ]
+# Words by which a notice differs from those of other licenses.
+TELLING = {
+    "Apache-2.0": "apache license version 2 0", "GPL": "gnu general public license",
+    "MPL-2.0": "mozilla public license v 2 0", "CC-BY-4.0": "creative commons attribution 4 0",
+}
+_GOES_ON = re.compile(r"-\w|\.\d")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -93,6 +105,19 @@ class Index:
             raise ValueError("too many templates to send to every task")
         self.names = [n for n, _ in templates]
         self.words = [words_of(t or "") for _, t in templates]
+        # Per template the runs of its words, as places, that must be found side by side.
+        self.runs: list[list[range]] = []
+        for (name, text), words in zip(templates, self.words, strict=True):
+            runs, telling = [], TELLING.get(name, "").split()
+            if len(words) < STRICT:
+                at = 0
+                for sentence in re.split(r"\.\s", text or ""):
+                    size = len(words_of(sentence))
+                    runs.append(range(at, at + size))
+                    at += size
+            elif telling:
+                runs = [range(i, i + len(telling)) for i in range(len(words)) if words[i:i + len(telling)] == telling][:1]
+            self.runs.append(runs)
         self.vocabulary = {w for words in self.words for w in words}
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, list[int]] = defaultdict(list)
@@ -133,19 +158,58 @@ class Index:
             at = end
         out = []
         for number in sorted(hits):
-            found = [
-                align(self.words[number], words, low, high)
-                for low, high in self._regions(hits[number], len(self.words[number]))
-            ]
+            found = []
+            for low, high in self._regions(hits[number], len(self.words[number])):
+                if len(self.words[number]) < STRICT:
+                    found += self._exact(number, words, low, high)
+                else:
+                    found.append(align(self.words[number], words, low, high))
             best: list[list[int]] = []
-            for places in sorted(p for p in found if len(p) >= MIN_COVERAGE * len(self.words[number])):
+            for places in sorted(p for p in found if self._counts(number, p, words, spans, text)):
                 if best and places[0] <= best[-1][-1]:  # bands may meet the same words twice
                     best[-1] = max(best[-1], places, key=len)
                 else:
                     best.append(places)
-            out += [{"template": self.names[number], "coverage": len(p) / len(self.words[number]),
-                     "start": spans[p[0]][0], "end": spans[p[-1]][1]} for p in best]
-        return out
+            out += [(number, p) for p in best]
+        return [{"template": self.names[number], "coverage": len(p) / len(self.words[number]),
+                 "start": spans[p[0]][0], "end": spans[p[-1]][1]} for number, p in self._best(out)]
+
+    def _exact(self, number: int, words: list[str], low: int, high: int) -> Iterator[list[int]]:
+        """Places of all words of a short template, sentence by sentence."""
+        template = self.words[number]
+        for first in range(max(0, low - BAND), high + BAND + 1):
+            places: list[int] = []
+            for run in filter(len, self.runs[number]):
+                wanted = template[run[0]:run[-1] + 1]
+                tries = range(places[-1] + 1, places[-1] + BAND + 2) if places else (first,)
+                at = next((i for i in tries if words[i:i + len(wanted)] == wanted), None)
+                if at is None:
+                    break
+                places += range(at, at + len(wanted))
+            if len(places) == len(template):
+                yield places
+
+    def _counts(self, number: int, places: list[int], words: list[str], spans: list[tuple[int, int]], text: str) -> bool:
+        """Whether the matched words are enough, and those that tell the template apart side by side."""
+        template = self.words[number]
+        if len(template) < STRICT:
+            return not _GOES_ON.match(text, spans[places[-1]][1])
+        if len(places) < MIN_COVERAGE * len(template):
+            return False
+        for run in self.runs[number]:
+            wanted = template[run[0]:run[-1] + 1]
+            if not any(words[i:i + len(wanted)] == wanted for i in range(places[0], places[-1] + 1)):
+                return False
+        return True
+
+    def _best(self, found: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+        """Of overlapping matches the best one; equal templates are each kept."""
+        kept: list[tuple[int, list[int]]] = []
+        for number, places in sorted(found, key=lambda f: (-len(f[1]), len(self.words[f[0]]), f[1], f[0])):
+            if all(places[0] > p[-1] or places[-1] < p[0] or places == p and self.words[number] == self.words[n]
+                   for n, p in kept):
+                kept.append((number, places))
+        return sorted(kept, key=lambda f: (f[0], f[1]))
 
     @staticmethod
     def _regions(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:

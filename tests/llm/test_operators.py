@@ -426,6 +426,28 @@ def test_license_spans():
     assert index.scan("nothing of the kind is permitted here") == []
 
 
+def test_shared_words_are_no_license():
+    index = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [m["template"] for m in index.scan(text)]
+    for tag in ("GPL-2.0", "BSD-3-Clause", "Apache-1.1", "MIT-0", "ISC"):
+        assert names(f"SPDX-License-Identifier: {tag}\nimport os") == []
+    assert names("SPDX-License-Identifier: MIT\nimport os") == ["SPDX-MIT"]
+    assert names("// SPDX-License-Identifier: Apache-2.0") == ["SPDX-Apache-2.0"]
+    for text in ("Released under the name", "Released under the GPL License", "Licensed under CC BY 4.0",
+                 "Licensed under the Mozilla License, Version 2.0", "Creative Commons Attribution-ShareAlike License",
+                 "licensed under the GNU Lesser General Public License, version 3"):
+        assert names(text) == [], text
+    assert names("Released under the MIT License.") == ["MIT-short"]
+    assert names("Copyright 2024 Ann Bee. All rights reserved.") == ["All-rights-reserved"]
+    for name, text in licenses.TEMPLATES:
+        if len(text) < 1000:
+            assert name in names(f"so here: {text} and more"), name
+    assert names("the MIT: Released under the MIT. Released under the MIT License") == ["MIT-short"]
+    gpl = dict(licenses.TEMPLATES)["GPL"]
+    assert "GPL" not in names(gpl.replace("General", "Lesser General"))
+    assert names(dict(licenses.TEMPLATES)["Apache-2.0"]) == ["Apache-2.0"]
+
+
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=8), st.lists(st.sampled_from("abcd"), max_size=10))
 @settings(max_examples=200, deadline=None)
 def test_alignment_is_the_longest_common_subsequence(template, words):
