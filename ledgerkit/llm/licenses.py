@@ -15,6 +15,12 @@ must not go on (``MIT-0`` is not ``MIT``). In the notices of ``TELLING`` the wor
 follow each other. Where matches of different templates overlap, only the one with the most matched
 words stays, at a tie the one with the higher coverage.
 
+Long templates (whole license texts) are indexed and aligned in parts of about ``PART`` words, ``LONG_PART`` for
+texts of ``LONG`` words. Found parts of a template that follow each other in its order are one match, whose
+coverage counts the words of the whole template; so a cut text is found by the parts it still has, with the
+coverage that is left, as long as one part reaches ``MIN_COVERAGE`` of its own words. A part of which less
+remains (at the cut) adds nothing to coverage and span.
+
 The templates are a parameter: a list of (name, text) that is sent to the tasks, so it must be small
 (``MAX_TEMPLATE_CHARS`` in all; more raises an error). Defined results: a null or empty text and an empty
 template match nothing; templates with fewer words than a gram use their whole word sequence as one
@@ -26,8 +32,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +46,11 @@ GRAM, SPAN = 3, 4
 BAND = 12  # words that may be added or lost on the way
 MIN_COVERAGE = 0.6
 STRICT = 10
+PART, LONG_PART, LONG = 40, 120, 400
 MAX_TEMPLATE_CHARS = 4_000_000
 
-# The opening lines by which the licenses ask to be recognised, and short notices.
+# The opening lines by which the licenses ask to be recognised, short notices, and the
+# whole texts of ``license_texts`` (named ``…-text``; without their appendices, which hold the notices).
 TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
@@ -65,6 +74,8 @@ TEMPLATES = [
     ("GPL-3.0-short", "licensed under the GNU General Public License, version 3"),
     ("CC-BY-NC-4.0-short", "Licensed under CC BY-NC 4.0"),
     ("All-rights-reserved", "Copyright. All rights reserved."),
+    *[(f.name.removesuffix(".txt") + "-text", f.read_text("utf-8"))
+      for f in sorted((files(__package__) / "license_texts").iterdir(), key=lambda f: f.name)],
 ]
 # Words by which a notice differs from those of other licenses.
 TELLING = {
@@ -118,10 +129,16 @@ class Index:
             elif telling:
                 runs = [range(i, i + len(telling)) for i in range(len(words)) if words[i:i + len(telling)] == telling][:1]
             self.runs.append(runs)
+        # Parts: (template, first word) and the words; most templates are one part.
+        self.parts: list[tuple[int, int, list[str]]] = []
+        for number, words in enumerate(self.words):
+            n = max(1, round(len(words) / (LONG_PART if len(words) >= LONG else PART)))
+            cuts = [i * len(words) // n for i in range(n + 1)]
+            self.parts += [(number, a, words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.vocabulary = {w for words in self.words for w in words}
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, list[int]] = defaultdict(list)
-        for number, words in enumerate(self.words):
+        for number, (_, _, words) in enumerate(self.parts):
             if len(words) >= GRAM + SPAN - 1:
                 hashes = grams(words, GRAM)
                 for at in winnow(hashes):
@@ -156,24 +173,48 @@ class Index:
                         for number, place in self.places.get(value, ()):
                             hits[number].append((i - place, i))
             at = end
-        out = []
-        for number in sorted(hits):
+        aligned: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+        for part in sorted(hits):
+            number, _, template = self.parts[part]
             found = []
-            for low, high in self._regions(hits[number], len(self.words[number])):
-                if len(self.words[number]) < STRICT:
+            for low, high in self._regions(hits[part], len(template)):
+                if len(template) < STRICT:
                     found += self._exact(number, words, low, high)
-                else:
-                    found.append(align(self.words[number], words, low, high))
+                elif self._may_reach(template, words, low, high):
+                    found.append(align(template, words, low, high))
             best: list[list[int]] = []
-            for places in sorted(p for p in found if self._counts(number, p, words, spans, text)):
+            for places in sorted(p for p in found if self._counts(number, template, p, words, spans, text)):
                 if best and places[0] <= best[-1][-1]:  # bands may meet the same words twice
                     best[-1] = max(best[-1], places, key=len)
                 else:
                     best.append(places)
-            out += [(number, p) for p in best]
+            aligned[number] += [(part, p) for p in best]
+        out = [(number, places) for number, found in aligned.items() for places in self._chains(found)]
         return [{"template": self.names[number], "coverage": len(p) / len(self.words[number]),
                  "start": spans[p[0]][0], "end": spans[p[-1]][1]} for number, p in self._best(out)]
 
+    @staticmethod
+    def _may_reach(template: list[str], words: list[str], low: int, high: int) -> bool:
+        """Whether the region holds enough of the template's words in any order."""
+        there = Counter(words[max(0, low - BAND):high + BAND + len(template)])
+        return sum(min(n, there[w]) for w, n in Counter(template).items()) >= MIN_COVERAGE * len(template)
+
+    def _chains(self, found: list[tuple[int, list[int]]]) -> Iterator[list[int]]:
+        """Matched places of runs of parts in the template's order; what lies between may be lost or changed."""
+        places: list[int] = []
+        last = -1
+        for part, mine in sorted(found, key=lambda f: (f[1], f[0])):
+            missing = self.parts[part][1] - self.parts[last][1] - len(self.parts[last][2]) if places else 0
+            if places and part > last and mine[0] - places[-1] <= missing + 2 * BAND + len(self.parts[last][2]):
+                places += [p for p in mine if p > places[-1]]
+            else:
+                if places:
+                    yield places
+                places = list(mine)
+            last = part
+        if places:
+            yield places
+
     def _exact(self, number: int, words: list[str], low: int, high: int) -> Iterator[list[int]]:
         """Places of all words of a short template, sentence by sentence."""
         template = self.words[number]
@@ -189,9 +230,9 @@ class Index:
             if len(places) == len(template):
                 yield places
 
-    def _counts(self, number: int, places: list[int], words: list[str], spans: list[tuple[int, int]], text: str) -> bool:
+    def _counts(self, number: int, template: list[str], places: list[int], words: list[str],
+                spans: list[tuple[int, int]], text: str) -> bool:
         """Whether the matched words are enough, and those that tell the template apart side by side."""
-        template = self.words[number]
         if len(template) < STRICT:
             return not _GOES_ON.match(text, spans[places[-1]][1])
         if len(places) < MIN_COVERAGE * len(template):
@@ -257,6 +298,10 @@ def align(template: list[str], words: list[str], low: int, high: int) -> list[in
             i -= 1
         else:
             i, d = i - 1, min(d + 1, width - 1)
+    # The search prefers early places; a word moves up to its last occurrence before the next one.
+    for k in range(1, len(found)):
+        word = words[found[k]]
+        found[k] = next(j for j in range(found[k - 1] - 1, -1, -1) if words[j] == word)
     return found[::-1]
 
 

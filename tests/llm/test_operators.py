@@ -448,6 +448,22 @@ def test_shared_words_are_no_license():
     assert names(dict(licenses.TEMPLATES)["Apache-2.0"]) == ["Apache-2.0"]
 
 
+def test_whole_and_cut_license_texts():
+    index, texts = licenses.Index(licenses.TEMPLATES), dict(licenses.TEMPLATES)
+    around = " ".join(WORDS)
+    for name in [n for n in texts if n.endswith("-text")]:
+        text = f"{around} {texts[name]} {around}"
+        found = [m for m in index.scan(text) if m["template"] == name]
+        assert [m["coverage"] for m in found] == [1], name
+        assert licenses.words_of(text[found[0]["start"]:found[0]["end"]]) == licenses.words_of(texts[name])
+    for name in ("MIT-text", "BSD-3-Clause-text", "GPL-3.0-text", "ISC-text"):
+        half = texts[name].split()
+        half = " ".join(half[len(half) // 2:])
+        best = max(index.scan(f"{around} {half}"), key=lambda m: m["end"] - m["start"])
+        assert best["template"][:3] == name[:3] and 0.3 < best["coverage"] < 0.65
+    assert [m["template"] for m in index.scan(texts["BSD-2-Clause-text"])] == ["BSD-2-Clause-text"]
+
+
 @given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=8), st.lists(st.sampled_from("abcd"), max_size=10))
 @settings(max_examples=200, deadline=None)
 def test_alignment_is_the_longest_common_subsequence(template, words):
