@@ -4,9 +4,10 @@ starts a query with a checkpoint folder given by the caller."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -91,10 +92,10 @@ class LateRows(StreamingQueryListener):
 
 # Tables kept by batch number. A batch that is run again overwrites its own folder only.
 
-FULL_EVERY = 50  # batches after which the last rows of all keys are written together
+FULL_EVERY = 50  # batches after which the kept rows of all keys are written together
 
 
-def _last_rows(spark: SparkSession, path: str, batch: int, names: Sequence[T.StructField]) -> DataFrame | None:
+def _kept_rows(spark: SparkSession, path: str, batch: int, names: Sequence[T.StructField]) -> DataFrame | None:
     """Rows kept by earlier batches, from the last full set on."""
     schema = T.StructType([*names, T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType())])
     try:
@@ -105,6 +106,18 @@ def _last_rows(spark: SparkSession, path: str, batch: int, names: Sequence[T.Str
     return (rows if full is None else rows.filter(F.col("batch") >= full)).drop("kind", "batch")
 
 
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def _since(rows: DataFrame, mark: int | None, key: str, tie: str) -> DataFrame:
+    """The rows from ``mark`` on, and of those before it the last of each key."""
+    if mark is None:
+        return rows
+    old = ordered.latest(rows.filter(_micros() < mark), [key], ["ts", tie])
+    return rows.filter(_micros() >= mark).unionByName(old)
+
+
 def version(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame | None:
     """The newest version of a table of versions, or the newest before a batch; lists folders only."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -140,38 +153,64 @@ def cdc_stream(
 
 def travel_stream(
     stream: DataFrame, path: str, checkpoint: str, key: str = "account_id", place: str = "place",
-    minutes: int = 30, tie: str = "event_id",
+    minutes: int = 30, tie: str = "event_id", lateness: timedelta = timedelta(days=1),
 ) -> StreamingQuery:
-    """Impossible travel across batches.
-
-    A batch is put behind the last known row of each of its keys and searched with the sliced
-    lag, so a key that fills most of a batch is still spread over tasks. The last rows are kept
-    as files per batch and only for the keys of that batch.
+    """Impossible travel across batches; ``travel_alerts`` reads the result.
+
+    The watermark of a batch is the largest time of the batches before it less ``lateness``. The state
+    holds the rows from the watermark on and the last row of each key before it, so a late row meets both
+    its neighbours. A batch is put between the kept rows of its keys and searched with the sliced lag, so a
+    key that fills most of a batch is still spread over tasks; pairs with a new row on either side are
+    reported. A late row parts two rows that were a pair before: the later row's key and ``tie`` are
+    written to ``parted``, which takes its alerts of earlier batches back. Rows before the watermark cannot
+    be placed; they are written to ``late``, none is lost. Rows without a time have no pairs. A batch
+    writes the rows it adds to the state, and every ``FULL_EVERY`` batches the whole state.
     """
-    alerts, state = path + "/alerts", path + "/last"
+    slack = lateness // timedelta(microseconds=1)
+    alerts, parted, late, state = (f"{path}/{n}" for n in ("alerts", "parted", "late", "last"))
 
     def search(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         names = [key, "ts", place, tie]
-        rows = rows.select(*names).persist()
+        rows = rows.select(*names).filter("ts is not null").persist()
         try:
-            known = _last_rows(spark, state, batch, [rows.schema[c] for c in names])
-            last = None
-            fresh = rows.withColumn("__new", F.lit(True))
+            known = _kept_rows(spark, state, batch, [rows.schema[c] for c in names])
+            newest = known.agg(F.max(_micros())).first()[0] if known is not None else None
+            mark = None if newest is None else newest - slack
+            on_time = rows if mark is None else rows.filter(_micros() >= mark)
+            fresh = on_time.withColumn("__new", F.lit(True))
             if known is not None:
-                last = ordered.latest(known, [key], ["ts", tie])
-                mine = last.join(rows.select(key).distinct(), key, "left_semi")
+                known = _since(known, mark, key, tie)
+                mine = known.join(on_time.select(key).distinct(), key, "left_semi")
                 fresh = fresh.unionByName(mine.withColumn("__new", F.lit(False)))
-            seen = ordered.lagged(fresh, [key], ["ts", tie], {"previous_place": place, "previous_ts": "ts"})
-            gap = date_diff("minute", "previous_ts", "ts")
-            hit = F.col("__new") & (F.col(place) != F.col("previous_place")) & (gap < minutes)
-            seen.filter(hit).drop("__new").write.mode("overwrite").parquet(f"{alerts}/batch={batch}")
-            full = last is not None and batch % FULL_EVERY == 0
-            kept = rows.unionByName(last) if full else fresh.drop("__new")
-            ordered.latest(kept, [key], ["ts", tie]).write.mode("overwrite").parquet(
+            seen = ordered.lagged(fresh, [key], ["ts", tie], {
+                "previous_place": place, "previous_ts": "ts", "__new_before": "__new"}).persist()
+            try:
+                gap = date_diff("minute", "previous_ts", "ts")
+                hit = (F.col("__new") | F.col("__new_before")) & (F.col(place) != F.col("previous_place")) & (gap < minutes)
+                seen.filter(hit).drop("__new", "__new_before").write.mode("overwrite").parquet(f"{alerts}/batch={batch}")
+                seen.filter(~F.col("__new") & F.col("__new_before")).select(key, tie).write.mode("overwrite").parquet(
+                    f"{parted}/batch={batch}")
+            finally:
+                seen.unpersist()
+            (rows.limit(0) if mark is None else rows.filter(_micros() < mark)).write.mode("overwrite").parquet(
+                f"{late}/batch={batch}")
+            full = known is not None and batch % FULL_EVERY == 0
+            kept = on_time.unionByName(known) if full else on_time
+            latest = on_time.agg(F.max(_micros())).first()[0]
+            latest = max((t for t in (latest, newest) if t is not None), default=None)
+            _since(kept, None if latest is None else latest - slack, key, tie).write.mode("overwrite").parquet(
                 f"{state}/kind={'full' if full else 'part'}/batch={batch}")
         finally:
             rows.unpersist()
 
     return stream.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
+
+
+def travel_alerts(spark: SparkSession, path: str, key: str = "account_id", tie: str = "event_id") -> DataFrame:
+    """The alerts of ``travel_stream`` that no late row took back."""
+    found = spark.read.parquet(f"{path}/alerts")
+    gone = spark.read.parquet(f"{path}/parted").groupBy(key, tie).agg(F.max("batch").alias("__parted"))
+    standing = found.join(gone, [key, tie], "left").filter("__parted is null or batch >= __parted")
+    return standing.select(*found.columns).drop("batch")

@@ -1,5 +1,6 @@
 """Streams give what the batch form gives, in any number of batches, also after a restart."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -41,6 +42,28 @@ def test_travel_matches_batch_and_restart_adds_nothing(spark, events, folder, ro
         assert rows(got) == rows(want)
 
 
+def test_travel_with_a_late_file_matches_batch(spark, events, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(monitors, "FULL_EVERY", 2)
+    late = "event_id % 10 = 5 and event_id < 110"
+    feed = str(tmp_path / "feed")
+    for part in (f"event_id < 60 and not ({late})", f"event_id >= 60 and not ({late})", late):
+        events.filter(part).coalesce(1).write.mode("append").parquet(feed)
+        time.sleep(1.1)  # the files are read in the order of their times
+    monitors.travel_stream(stream(spark, feed, events), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    columns = ["event_id", "previous_place"]
+    got = monitors.travel_alerts(spark, str(tmp_path / "t")).select(*columns)
+    assert rows(got) == rows(fraud.impossible_travel(events).select(*columns))
+    assert spark.read.parquet(str(tmp_path / "t/late")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "t/parted")).count() > 0
+    short = monitors.travel_stream(stream(spark, feed, events), str(tmp_path / "s"), str(tmp_path / "cs"), lateness=timedelta(hours=2))
+    short.awaitTermination()
+    mark = events.filter(f"not ({late})").agg(F.max("ts")).first()[0] - timedelta(hours=2)
+    want = events.filter(late).filter(F.col("ts") < F.lit(mark))
+    assert rows(spark.read.parquet(str(tmp_path / "s/late")).select("event_id")) == rows(want.select("event_id"))
+    assert rows(monitors.travel_alerts(spark, str(tmp_path / "s")).select(*columns)) == rows(
+        fraud.impossible_travel(events.join(want, "event_id", "left_anti")).select(*columns))
+
+
 def test_cdc_matches_batch(spark, events, folder, rows, tmp_path):
     feed = stream(spark, folder, events).select(
         F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(4).alias("op"),
