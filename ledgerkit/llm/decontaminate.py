@@ -7,16 +7,18 @@ the region finds the best end and, read backwards, its start. Nothing is skipped
 
 Texts and items are compared in lower case with white space runs as one blank; ``start`` and ``end``
 count characters of that form of the text. Items are taken in blocks of ``BLOCK_CHARS`` characters, so
-what a task holds has a fixed bound; each further block is another pass over the texts.
+what a task and the driver hold has a fixed bound; each further block is another pass over the texts, after the
+results of the block before are written.
 
 Defined results: a null or empty text matches nothing; a null or empty item is never matched; an item
-given twice (or two items with one text) is reported for each; each item is reported once per text
-with its best match, the leftmost at a tie; repeated documents are reported each. Empty tables give no
+given twice (or two items with one text) is reported for each; each item is reported with all its matches in
+a text that do not overlap, of overlapping ones the best, the leftmost at a tie; repeated documents are reported each. Empty tables give no
 matches. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ledgerkit.session import settle
+
 RATE = 0.06  # edits per character of an item
 BLOCK_CHARS = 2_000_000
 
@@ -101,7 +105,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[object, int, int, int]]:
-        """(item, start, end, distance) of each item that occurs within its budget."""
+        """(item, start, end, distance) of all places where an item occurs within its budget."""
         if not text or not self.items:
             return []
         text = normal(text)
@@ -111,32 +115,37 @@ class Matcher:
                 starts[number].add(end + 1 - length - offset)
         out = []
         for number in sorted(starts):
-            match = self._verify(self.items[number], sorted(starts[number]), text)
-            if match:
-                out.append((self.items[number].key, *match))
+            out += [(self.items[number].key, *m) for m in self._verify(self.items[number], sorted(starts[number]), text)]
         return out
 
     @staticmethod
-    def _verify(item: Item, starts: list[int], text: str) -> tuple[int, int, int] | None:
+    def _verify(item: Item, starts: list[int], text: str) -> list[tuple[int, int, int]]:
         size, k = len(item.text), item.budget
-        for start in starts:
-            if start >= 0 and text.startswith(item.text, start):
-                return start, start + size, 0
-        best = None
+        found = []
         at = 0
         while at < len(starts):
             first = last = starts[at]
             at += 1
-            while at < len(starts) and starts[at] <= last + size + 2 * k:  # their regions overlap
+            if first >= 0 and text.startswith(item.text, first):
+                found.append((first, first + size, 0))
+                continue
+            # Starts this near belong to one occurrence; an exact one has been taken or comes on its own.
+            while at < len(starts) and starts[at] <= first + 2 * k and not (
+                    starts[at] >= 0 and text.startswith(item.text, starts[at])):
                 last, at = starts[at], at + 1
             low, high = max(0, first - k), min(len(text), last + size + k)
             distance, end = best_end(item.masks, size, text[low:high])
-            if distance <= k and (best is None or distance < best[2]):
+            if distance <= k:
                 stop = low + end
                 back = text[max(0, stop - size - k):stop][::-1]
                 _, length = best_end(item.back_masks, size, back, anchored=True)
-                best = (stop - length, stop, distance)
-        return best
+                found.append((stop - length, stop, distance))
+        kept: list[tuple[int, int, int]] = []  # in the order of their places
+        for match in sorted(found, key=lambda m: (m[2], m[0])):
+            place = bisect(kept, match)
+            if (not place or kept[place - 1][1] <= match[0]) and (place == len(kept) or match[1] <= kept[place][0]):
+                kept.insert(place, match)
+        return kept
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
@@ -178,22 +187,30 @@ def matcher(block: list[tuple[object, str]], kind: T.DataType, rate: float = RAT
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """One row per document and item that occurs in it: id, item_id, start, end, distance."""
+    """One row per match of an item in a document: id, item_id, start, end, distance."""
     kind = items.schema[item_col].dataType
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    out = None
-    for block in [*blocks(items, item_col, item_text_col)] or [[]]:
-        part = source.select(id_col, F.explode(matcher(block, kind, rate)(F.col("_text"))).alias("m")).select(
+
+    def part(block: list[tuple[object, str]]) -> DataFrame:
+        return source.select(id_col, F.explode(matcher(block, kind, rate)(F.col("_text"))).alias("m")).select(
             id_col, F.col("m.item_id").alias("item_id"), "m.start", "m.end", "m.distance")
-        out = part if out is None else out.unionAll(part)
-    return out
+
+    done, last = None, None
+    for block in blocks(items, item_col, item_text_col):
+        if last is not None:  # written, so that neither the driver nor the plan keeps its block
+            written = settle(last)
+            done = written if done is None else done.unionAll(written)
+        last = part(block)
+    last = part([]) if last is None else last
+    return last if done is None else done.unionAll(last)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The documents, with all their columns, in which no item occurs."""
     kind = items.schema[item_col].dataType
-    for block in blocks(items, item_col, item_text_col):
+    for number, block in enumerate(blocks(items, item_col, item_text_col)):
+        docs = settle(docs) if number else docs
         hit: Column = matcher(block, kind, rate)(F.col(f"`{text_col}`").cast("string"))
         docs = docs.where(F.size(hit) == 0)
     return docs

@@ -398,6 +398,32 @@ def test_items_within_the_budget_are_found():
             assert d == distance and edit_search(item.text, part) <= d
 
 
+def test_all_occurrences_of_an_item_are_found():
+    rng = random.Random(8)
+    item = " ".join(rng.choices(WORDS, k=25))
+    near = item[:40] + "q" + item[41:]
+    between = " ".join(rng.choices(WORDS, k=12))
+    text = f"{item} {between} {near} {between} {item} {item}"
+    places = [(0, 0), (len(f"{item} {between} "), 1), (len(f"{item} {between} {near} {between} "), 0),
+              (len(f"{item} {between} {near} {between} {item} "), 0)]
+    assert decontaminate.Matcher([(7, item)]).find(text) == [(7, at, at + len(item), d) for at, d in places]
+
+
+def test_one_block_of_items_at_a_time(spark, sf, monkeypatch):
+    live, settled = [], []
+    blocks, settle = decontaminate.blocks, decontaminate.settle
+
+    def watched(*args):
+        for block in blocks(*args, 2_500):
+            live.append(len(settled))
+            yield block
+
+    monkeypatch.setattr(decontaminate, "blocks", watched)
+    monkeypatch.setattr(decontaminate, "settle", lambda df: settled.append(1) or settle(df))
+    entries.op10_decontamination(spark, sf)
+    assert len(live) > 2 and live == [max(0, i - 1) for i in range(len(live))]
+
+
 def test_blocks_of_items_give_the_same_matches(spark, sf, monkeypatch):
     want = sorted(entries.op10_decontamination(spark, sf).collect())
     assert want and all(r["distance"] == 0 or r["distance"] > 0 for r in want)
