@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkit import session
-from ledgerkit.llm import decontaminate, jaccard, licenses, lines, packing, quality, repeats, secrets, shards, toxicity
+from ledgerkit.llm import (
+    decontaminate, jaccard, lexical, licenses, lines, packing, quality, repeats, secrets, shards, toxicity,
+)
 from ledgerkit.llm.common import id_remainder, table
 
 
@@ -68,6 +70,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = session.settle(lexical.build(table(spark, sf_dir, "documents")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,6 +86,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -119,4 +127,32 @@ SQL: dict[str, str] = {
             sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM b LEFT JOIN cut USING (doc_id)
     """,
+    "op12_lexical_search": """
+        WITH terms AS (
+            SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        totals AS (
+            SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM terms),
+        occurs AS (
+            SELECT d, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM terms),
+        tfs AS (SELECT d, doc_id, n, term, count(*) AS tf FROM occurs GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM tfs, totals GROUP BY term, n_docs),
+        queries AS (
+            SELECT item_id, term, count(*) AS c FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        scores AS (
+            SELECT item_id, d, doc_id,
+                CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM queries JOIN tfs USING (term) JOIN weights USING (term), totals GROUP BY item_id, d, doc_id),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
 }
