@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit import session
 from ledgerkit.llm import (
-    decontaminate, jaccard, lexical, licenses, lines, packing, quality, repeats, secrets, shards, toxicity,
+    decontaminate, jaccard, lexical, licenses, lines, packing, prefixes, quality, repeats, secrets, shards, toxicity,
 )
 from ledgerkit.llm.common import id_remainder, table
 
@@ -70,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = session.settle(lexical.build(table(spark, sf_dir, "documents")))
     return lexical.search(index, table(spark, sf_dir, "benchmark"))
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
 }
 
@@ -127,6 +132,44 @@ SQL: dict[str, str] = {
             sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM b LEFT JOIN cut USING (doc_id)
     """,
+    "op11_prefix_trie": """
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        own AS (
+            SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (
+            SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(
+                string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT c FROM own), crc),
+        turns AS (
+            SELECT ids.c, 0 AS part, p, r, x FROM ids JOIN own ON own.c = ids.base AND p <= h
+            UNION ALL SELECT ids.c, 1, p, r, x FROM ids JOIN own ON own.c = ids.c AND p > h),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM turns),
+        seqs AS (
+            SELECT ids.c, coalesce(list(concat(length(r), ':', r, length(x), ':', x) ORDER BY d) FILTER (d IS NOT NULL), []) AS s,
+                coalesce(list(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) ORDER BY d) FILTER (d IS NOT NULL), []) AS w
+            FROM ids LEFT JOIN placed ON ids.c = placed.c GROUP BY ids.c),
+        depths AS (SELECT c, s, w, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+        steps AS (
+            SELECT c, d, array_to_string(s[1:d], '') AS k, CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], '') END AS pk,
+                CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, len(s) AS n FROM depths),
+        nodes AS (
+            SELECT k, d, any_value(pk) AS pk, any_value(w) AS w, min(c) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+            FROM steps GROUP BY k, d),
+        children AS (SELECT pk, count(*) AS n FROM nodes WHERE d > 0 GROUP BY pk),
+        full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children ON nodes.k = children.pk),
+        sums AS (
+            SELECT a.k, sum(CASE WHEN y.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((y.n_convs - 1) * y.w) AS saved
+            FROM full_nodes y JOIN steps a ON a.c = y.conv_id AND a.d <= y.d GROUP BY a.k)
+        SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+            CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM full_nodes f JOIN sums USING (k) LEFT JOIN nodes p ON f.pk = p.k
+    """,
     "op12_lexical_search": """
         WITH terms AS (
             SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''),
