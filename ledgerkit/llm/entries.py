@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerkit import session
 from ledgerkit.llm import (
-    decontaminate, jaccard, lexical, licenses, lines, packing, prefixes, quality, repeats, secrets, shards, toxicity,
+    decontaminate, jaccard, lexical, licenses, lines, lshforest, packing, prefixes, quality, repeats, secrets, shards,
+    toxicity,
 )
 from ledgerkit.llm.common import id_remainder, table
 
@@ -79,6 +80,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_jaccard_join": op2_jaccard_join,
@@ -92,6 +97,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_minhash_forest": op13_minhash_forest,
 }
 
 SQL: dict[str, str] = {
@@ -199,3 +205,9 @@ SQL: dict[str, str] = {
         SELECT * FROM ranked WHERE rank <= 20
     """,
 }
+
+# The same rules with other shingles and another limit; whole components and rows kept.
+SQL["op13_minhash_forest"] = SQL["op2_jaccard_join"].replace("len(w) < 5", "len(w) < 4").replace(
+    "range(1, len(w) - 3)", "range(1, len(w) - 2)").replace("w[i:i + 4]", "w[i:i + 3]").replace(
+    "75 * (a.n", "80 * (a.n").replace(
+    "component_id FROM sets", "component_id, doc_id = component_id AS kept FROM sets")
