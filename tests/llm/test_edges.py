@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerkit.llm import (
-    decontaminate, jaccard, licenses, lines, packing, quality, repeats, secrets, shards, toxicity,
+    decontaminate, jaccard, lexical, licenses, lines, lshforest, packing, prefixes, quality, repeats, secrets, shards,
+    toxicity,
 )
 
 LONG = "the quick brown fox jumps over a lazy dog. " * 3000
@@ -52,8 +53,11 @@ OPERATORS = {
     "secrets": lambda d, x: secrets.judge(secrets.findings(d), secrets.train(secrets.weak_labels(secrets.findings(d)))),
     "decontaminate": lambda d, x: decontaminate.matches(d, x.select(
         F.col("doc_id").alias("item_id"), F.lit("words that are here for the test").alias("text"))),
+    "prefixes": lambda d, x: prefixes.trie(d.withColumns({"conv_id": F.col("doc_id"), "turn": F.col("n_chars"), "role": F.col("lang")})),
+    "lexical": lambda d, x: lexical.search(lexical.build(d), d.select(F.col("doc_id").alias("item_id"), "text")),
+    "lshforest": lambda d, x: lshforest.groups(d),
 }
-PER_ROW = ["quality", "jaccard", "repeats", "shards", "lines", "toxicity"]
+PER_ROW = ["quality", "jaccard", "lshforest", "repeats", "shards", "lines", "toxicity"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -78,6 +82,12 @@ def test_odd_rows_of_jaccard(docs):
     assert found[7, 1] == 7 and found[7, 2] == 7
 
 
+def test_odd_rows_of_the_forest(docs):
+    found = {(r["doc_id"], r["n_shingles"]): r for r in lshforest.groups(docs).collect()}
+    assert found[5, 9]["component_id"] == found[6, 9]["component_id"] == 5 and not found[6, 9]["kept"]
+    assert found[None, 2]["component_id"] is None and found[None, 2]["kept"] and found[3, 0]["kept"]
+
+
 def test_odd_rows_of_repeats(docs):
     rows = {(r["doc_id"], r["n_bytes"]): r for r in repeats.remove(docs).collect()}
     assert rows[5, len(LONG)]["n_removed"] == len(LONG) and rows[5, len(LONG)]["kept"] == ""
