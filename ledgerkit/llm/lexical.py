@@ -268,7 +268,8 @@ def _plan(index: DataFrame, block: list[tuple[object, Counter]], n_docs: int, n_
     """The block's queries, and the index rows they need."""
     spark = index.sparkSession
     named = spark.createDataFrame([(bytearray(w),) for w in {w for _, terms in block for w in terms}], "term binary")
-    # Known by the size of a block, which Spark weighs itself.
+    # Broadcast: at most BLOCK_TERMS terms.
+    named = F.broadcast(named)
     needed = index.where("term is not null").join(named, "term", "left_semi")
     frequency = {bytes(r["term"]): r["df"] for r in needed.groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator()}
     weights = {w: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) for w, df in frequency.items()}
@@ -280,7 +281,7 @@ def _plan(index: DataFrame, block: list[tuple[object, Counter]], n_docs: int, n_
         if own:
             queries.items.append((item, own))
     queries.pair_up()
-    used = spark.createDataFrame([(bytearray(w),) for w in kept], "term binary")
+    used = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in kept], "term binary"))
     rows = index.where("term is not null").join(used, "term", "left_semi").select("shard", "term", "docs", "tfs", "ids")
     return queries, rows.unionAll(index.where("term is null").select("shard", "term", "docs", "tfs", "ids"))
 
