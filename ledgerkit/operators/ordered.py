@@ -2,16 +2,17 @@
 
 A Spark window sends each ``partitionBy`` group to one task, and a window without keys sends
 everything to one task. That is fine while groups are small. One key may hold a third of all
-rows, so every function here first finds the keys above ``rows_per_slice`` rows and cuts only
-those along their sort order into slices:
+rows, so every function here first counts the rows of the largest key. Above ``rows_per_slice`` the
+calculation becomes a prefix scan:
 
-1. slice edges are quantiles of the first sort column, taken over the hot rows; a value that
-   fills whole slices by itself is isolated and cut again along the second sort column,
-2. per slice a small aggregate (a sum, a count, the last n rows) is carried to later slices,
-3. the window itself runs per (keys, slice).
+1. the rows are range-partitioned by keys, all sort columns and their place in the input, so any
+   number and type of sort columns, and even equal rows, can be cut; a range is a slice,
+2. per key and slice a small aggregate (a sum, a count, the last n rows) is made, and what the
+   earlier slices of the key give is added to the slice as rows before its own,
+3. the window itself runs per key and slice.
 
-Cold keys stay in one slice and pay for one count per key only. The slices decide where rows
-are worked on, never which rows are in the result.
+Only keys that a border cuts have anything to carry: at most one key per border. The slices decide
+where rows are worked on, never which rows are in the result.
 """
 
 from __future__ import annotations
@@ -19,52 +20,44 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerkit.session import settle
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 20_000
 GROUP_LIMIT = 1_000  # Spark's default bound for limiting groups before the shuffle
 
-_S1, _S2, _HALO, _HOT = "__slice", "__subslice", "__halo", "__hot"
-_SORTABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)
+_SLICE, _OWN, _PLACE = "__slice", "__own", "__place"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A frame with slice columns, and the condition of the rows of cut keys.
+    """A frame with a slice column, and the slices of the keys that were cut.
 
-    ``hot`` is None when no key needed cutting.
+    ``pieces`` has the keys, the slice, its rows ``__n`` and the key's rows before it ``__before``. It
+    is None when no key needed cutting.
     """
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    hot: Column | None = None
+    pieces: DataFrame | None = None
 
     @property
     def sliced(self) -> bool:
-        return self.hot is not None
-
-    def hot_rows(self) -> DataFrame:
-        """Only these have rows in more than one slice."""
-        return self.df.filter(self.hot)
+        return self.pieces is not None
 
     def window(self) -> WindowSpec:
-        parts = [*self.keys, _S1, _S2] if self.sliced else list(self.keys)
-        return Window.partitionBy(*parts).orderBy(*sort_columns(self.order))
-
-    def slice_window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(_S1, _S2)
+        """Within a slice; what is carried into it (``__own`` 0) comes first."""
+        if not self.sliced:
+            return Window.partitionBy(*self.keys).orderBy(*sort_columns(self.order))
+        return Window.partitionBy(*self.keys, _SLICE).orderBy(_OWN, *sort_columns(self.order))
 
-    def done(self, df: DataFrame) -> DataFrame:
-        return df.drop(_S1, _S2, _HALO, _HOT)
+    def with_carried(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
+        return rows.withColumn(_OWN, F.lit(1)).unionByName(
+            carried.withColumn(_OWN, F.lit(0)), allowMissingColumns=True)
 
 
 def column_name(item: str) -> str:
@@ -85,153 +78,44 @@ def flipped(order: Sequence[str]) -> list[str]:
     return [item[1:] if item.startswith("-") else "-" + item for item in order]
 
 
-def as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
-    """The sort column as a double that never falls where it rises.
+def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key, and all rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
-    Text gives the number of its six bytes after the first ``skip``, which all rows share.
-    """
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, col).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.hex(F.substring(F.encode(col, "UTF-8"), skip + 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    return col.cast("double")
-
-
-def _shared_bytes(df: DataFrame, name: str) -> int:
-    """Length of the beginning all texts have in common: that of the smallest and the largest."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return 0
-    ends = df.agg(F.min(name), F.max(name)).first()
-    if ends[0] is None:
-        return 0
-    low, high = (e.encode() for e in ends)
-    same = 0
-    while same < min(len(low), len(high)) and low[same] == high[same]:
-        same += 1
-    return same
-
-
-def _exact_in_double(df: DataFrame, name: str, largest: float) -> bool:
-    """Whether different values always give different numbers."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return False
-    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
-    return largest * 10**scale < 2**53
-
-
-def _edges(
-    df: DataFrame, name: str, rows_per_slice: int, skip: int = 0,
-) -> tuple[list[float], list[float], bool]:
-    """Slice edges over the sort column, the values that fill a slice on their own, and whether
-    the nulls alone would fill one."""
-    number = df.select(as_number(df, name, skip).alias("v"))
-    size = number.agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    many_nulls = size["rows"] - size["n"] > rows_per_slice
-    wanted = min(MAX_SLICES, math.ceil(size["n"] / rows_per_slice))
-    if wanted < 2:
-        return [], [], many_nulls
-    # As text: the array is one parsed literal instead of thousands of Column objects.
-    probs = ", ".join(f"{i / wanted!r}D" for i in range(1, wanted))
-    quantiles = F.expr(f"percentile_approx(v, array({probs}), {max(10_000, 4 * wanted)})")
-    row = number.agg(F.max(F.abs("v")).alias("largest"), quantiles.alias("q")).first()
-    picked = row["q"]
-    repeated = {a for a, b in zip(picked, picked[1:]) if a == b}
-    heavy = sorted(repeated)
-    if heavy and not _exact_in_double(df, name, row["largest"]):
-        # Different values may share a number: only numbers of one value can be cut further.
-        v = as_number(df, name, skip)
-        single = df.filter(v.isin(heavy)).groupBy(v.alias("v")).agg((F.min(name) == F.max(name)).alias("one"))
-        heavy = sorted(r["v"] for r in single.filter("one").collect())
-    edges = set(picked) | {math.nextafter(v, math.inf) for v in heavy}
-    return sorted(v for v in edges if math.isfinite(v)), heavy, many_nulls
-
-
-def _bucket(
-    df: DataFrame, name: str, edges: Sequence[float], target: str, skip: int = 0,
-) -> DataFrame:
-    """Number of the slice a value falls into; nulls before everything else."""
-    if not edges:
-        return df.withColumn(target, F.lit(0).cast("long"))
-    source = target + "_v"
-    split = Bucketizer(
-        splits=[-math.inf, *edges, math.inf], inputCol=source, outputCol=target + "_b",
-        handleInvalid="keep",
-    )
-    out = split.transform(df.withColumn(source, as_number(df, name, skip)))
-    number = F.when(F.col(source).isNull(), -1).otherwise(F.col(target + "_b").cast("long"))
-    return out.withColumn(target, number.cast("long")).drop(source, target + "_b")
 
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """The keys with more than ``rows`` rows, as a settled frame with ``__h_<key>`` columns."""
-    named = [F.col(k).alias("__h_" + k) for k in keys]
-    return settle(df.groupBy(*named).count().filter(F.col("count") > rows).drop("count"))
+def _is_scan(df: DataFrame) -> bool:
+    """Whether reading the frame again costs no more than a scan of files."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() in ("LogicalRelation", "InMemoryRelation")
 
 
 def layout(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rows_per_slice: int | None = None, size: int | None = None,
 ) -> Layout:
-    """Cut the hot keys of ``df`` along ``order``. A known ``size`` may save the counting."""
+    """Cut the rows of ``df`` along keys and ``order`` when a key is too large. A known ``size`` may save the counting."""
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     plain = Layout(df, tuple(keys), tuple(order))
     if size is not None and size <= rows_per_slice:
         return plain
-    lead = column_name(order[0])
-    if not isinstance(df.schema[lead].dataType, _SORTABLE):
-        raise TypeError(f"first sort column {lead!r} must be a number, a time or text")
-    if keys:
-        hot = hot_keys(df, keys, rows_per_slice)
-        if hot.isEmpty():
-            return plain
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("__h_" + k)) for k in keys])
-        df = df.join(hot.withColumn(_HOT, F.lit(True)), on, "left").drop(*hot.columns)
-        df = df.withColumn(_HOT, F.coalesce(_HOT, F.lit(False)))
-    else:
-        df = df.withColumn(_HOT, F.lit(True))
-    is_hot = F.col(_HOT)
-    hot_rows = df.filter(is_hot)
-    skip = _shared_bytes(hot_rows, lead)
-    edges, heavy, many_nulls = _edges(hot_rows, lead, rows_per_slice, skip)
-    if not edges and not many_nulls:
+    largest, total = _sizes(df, keys)
+    if largest <= rows_per_slice:
         return plain
-    out = _bucket(df, lead, edges, _S1, skip).withColumn(_S2, F.lit(0).cast("long"))
-    second = column_name(order[1]) if len(order) > 1 else None
-    if (heavy or many_nulls) and second and isinstance(df.schema[second].dataType, _SORTABLE):
-        is_heavy = F.coalesce(as_number(df, lead, skip).isin(heavy), F.lit(True))
-        tied = hot_rows.filter(is_heavy)
-        skip_second = _shared_bytes(tied, second)
-        inner, _, _ = _edges(tied, second, rows_per_slice, skip_second)
-        out = _bucket(out, second, inner, "__inner", skip_second)
-        sign = -1 if order[1].startswith("-") else 1
-        out = out.withColumn(
-            _S2, F.when(is_hot & is_heavy, F.col("__inner") * sign).otherwise(F.lit(0)).cast("long")
-        ).drop("__inner")
-    sign = -1 if order[0].startswith("-") else 1
-    out = out.withColumn(_S1, F.when(is_hot, F.col(_S1) * sign).otherwise(F.lit(0)).cast("long"))
-    return Layout(out, tuple(keys), tuple(order), is_hot)
-
-
-def _carry_on(laid: Layout, carried: DataFrame) -> DataFrame:
-    """Join per-slice values to the rows; null-safe on the keys."""
-    right = carried.select(
-        *[F.col(k).alias("__k_" + k) for k in laid.keys],
-        F.col(_S1).alias("__k1"), F.col(_S2).alias("__k2"),
-        *[c for c in carried.columns if c not in (*laid.keys, _S1, _S2)],
-    )
-    on = (laid.df[_S1] == right["__k1"]) & (laid.df[_S2] == right["__k2"])
-    for k in laid.keys:
-        on = on & laid.df[k].eqNullSafe(right["__k_" + k])
-    return laid.df.join(right, on, "left").drop("__k1", "__k2", *["__k_" + k for k in laid.keys])
+    # Sampling the borders and cutting read the rows once more each.
+    source = df if _is_scan(df) else settle(df)
+    ranged = source.withColumn(_PLACE, F.monotonically_increasing_id()).repartitionByRange(
+        math.ceil(total / rows_per_slice), *[F.col(k).asc_nulls_first() for k in keys], *sort_columns(order), F.col(_PLACE).asc())
+    out = settle(ranged.drop(_PLACE).withColumn(_SLICE, F.spark_partition_id()))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = out.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    pieces = pieces.withColumn("__slices", F.count(F.lit(1)).over(by_key)).filter("__slices > 1").withColumn(
+        "__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).drop("__slices")
+    return Layout(out, tuple(keys), tuple(order), settle(pieces))
 
 
 def with_running(
@@ -247,21 +131,16 @@ def _running(laid: Layout, sums: Mapping[str, Column]) -> DataFrame:
     frame = laid.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if not laid.sliced:
         return laid.df.withColumns({n: F.sum(c).over(frame) for n, c in sums.items()})
-    before = laid.slice_window().rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = laid.hot_rows().groupBy(*laid.keys, _S1, _S2).agg(
-        *[F.sum(c).alias("__p_" + n) for n, c in sums.items()]
-    )
-    carried = per_slice.select(
-        *laid.keys, _S1, _S2,
-        *[F.sum("__p_" + n).over(before).alias("__c_" + n) for n in sums],
-    )
-    joined = _carry_on(laid, carried)
-    out = joined.withColumns({"__l_" + n: F.sum(c).over(frame) for n, c in sums.items()})
-    for n in sums:
-        local, carry = F.col("__l_" + n), F.col("__c_" + n)
-        total = F.when(local.isNull(), carry).otherwise(local + F.coalesce(carry, F.lit(0)))
-        out = out.withColumn(n, total)
-    return laid.done(out.drop(*["__l_" + n for n in sums], *["__c_" + n for n in sums]))
+    rows = laid.df.withColumns({"__v_" + n: c for n, c in sums.items()})
+    values = ["__v_" + n for n in sums]
+    partial = rows.groupBy(*laid.keys, _SLICE).agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy(*laid.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = null_safe_join(partial, laid.pieces.select(*laid.keys, _SLICE), [*laid.keys, _SLICE], "inner").select(
+        *laid.keys, _SLICE, *[F.sum(v).over(before).alias(v) for v in values])
+    kinds = laid.df.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema
+    out = laid.with_carried(rows, carried).withColumns(
+        {n: F.sum("__v_" + n).over(frame).cast(kinds[n].dataType) for n in sums})
+    return out.filter(F.col(_OWN) == 1).drop(_OWN, _SLICE, *values)
 
 
 def number_rows(
@@ -281,33 +160,28 @@ def with_preceding(
 ) -> DataFrame:
     """Window expressions that look back at most ``n`` rows (lags, moving frames).
 
-    Each slice is given the last ``n`` rows before it as extra rows, dropped again at the end.
+    Each slice is given the ``n`` rows before it as extra rows, dropped again at the end: the last
+    n rows of each slice are numbered and joined to the slices within reach.
     Flip ``order`` to look ahead.
     """
     laid = layout(df, keys, order, rows_per_slice)
     if not laid.sliced:
         return df.withColumns({name: fn(laid.window()) for name, fn in exprs.items()})
-    tail_order = Window.partitionBy(*laid.keys, _S1, _S2).orderBy(*sort_columns(order, flip=True))
-    tails = laid.hot_rows().withColumn("__back", F.row_number().over(tail_order)).filter(
-        F.col("__back") <= n
-    )
-    # At most n rows per slice: the arrays below hold n and n * n rows.
-    packed = tails.groupBy(*laid.keys, _S1, _S2).agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.col("__back")).alias("b"), F.struct(*df.columns).alias("r")))
-        ).alias("own")
-    )
-    earlier = laid.slice_window().rowsBetween(-n, -1)
-    halo = packed.select(
-        _S1, _S2, F.flatten(F.collect_list("own").over(earlier)).alias("last")
-    )
-    size = F.size("last")
-    halo = halo.withColumn("last", F.slice("last", F.greatest(size - n + 1, F.lit(1)), F.lit(n)))
-    halo = halo.select(_S1, _S2, F.explode("last").alias("x")).select("x.r.*", _S1, _S2)
-    halo = halo.withColumns({_HOT: F.lit(True), _HALO: F.lit(True)})
-    rows = laid.df.withColumn(_HALO, F.lit(False)).unionByName(halo)
-    out = rows.withColumns({name: fn(laid.window()) for name, fn in exprs.items()})
-    return laid.done(out.filter(~F.col(_HALO)))
+    n = max(n, 1)
+    back = Window.partitionBy(*keys, _SLICE).orderBy(*sort_columns(order, flip=True))
+    tails = null_safe_join(laid.df, laid.pieces, [*keys, _SLICE], "inner").withColumn(
+        "__back", F.row_number().over(back)).filter(F.col("__back") <= n)
+    # Places within the key, in buckets of n: the n rows before a slice lie in two of them.
+    place = F.col("__before") + F.col("__n") - F.col("__back") + 1
+    tails = tails.select(*df.columns, place.alias("__at"), F.floor(place / n).alias("__bucket"))
+    first, last = F.greatest(F.col("__before") - n + 1, F.lit(1)), F.col("__before")
+    takers = laid.pieces.filter("__before > 0").select(
+        *keys, _SLICE, first.alias("__from"), last.alias("__to"),
+        F.explode(F.array_distinct(F.array(F.floor(first / n), F.floor(last / n)))).alias("__bucket"))
+    halo = null_safe_join(tails, takers, [*keys, "__bucket"], "inner").filter("__at between __from and __to").select(
+        *df.columns, _SLICE)
+    out = laid.with_carried(laid.df, halo).withColumns({name: fn(laid.window()) for name, fn in exprs.items()})
+    return out.filter(F.col(_OWN) == 1).drop(_OWN, _SLICE)
 
 
 def lagged(
@@ -326,9 +200,8 @@ def led(
     offset: int = 1, rows_per_slice: int | None = None,
 ) -> DataFrame:
     """``LEAD``; over sliced keys as a lag in the opposite order."""
-    laid = layout(df, keys, order, rows_per_slice)
-    if not laid.sliced:
-        w = laid.window()
+    if _sizes(df, keys)[0] <= (rows_per_slice or ROWS_PER_SLICE):
+        w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
         return df.withColumns({new: F.lead(old, offset).over(w) for new, old in columns.items()})
     return lagged(df, keys, flipped(order), columns, offset, rows_per_slice)
 
@@ -354,10 +227,10 @@ def with_ranks(
     frame with the same keys and values to count on.
     """
     source = df if source is None else source
-    laid = layout(source, keys, [value], rows_per_slice, size)
     name = column_name(value)
-    if not laid.sliced:
-        w = laid.window()
+    limit = rows_per_slice or ROWS_PER_SLICE
+    if (_sizes(source, keys)[0] if size is None else size) <= limit:
+        w = Window.partitionBy(*keys).orderBy(*sort_columns([value]))
         wanted = {rank: F.rank(), dense: F.dense_rank(), percent: F.percent_rank()}
         return df.withColumns({
             n: (fn.over(w) if n == percent else fn.over(w).cast("long"))

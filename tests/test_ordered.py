@@ -38,8 +38,10 @@ def test_running_and_number(data, rows, keys, order):
 def test_slices_are_made_and_split_ties(data):
     laid = o.layout(data, ["k"], ["d", "id"], rows_per_slice=20)
     assert laid.sliced
-    biggest = laid.df.groupBy("k", "__slice", "__subslice").count().agg(F.max("count")).first()[0]
+    biggest = laid.df.groupBy("k", "__slice").count().agg(F.max("count")).first()[0]
     assert biggest <= 60
+    cut = laid.pieces.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert all(r["n"] > 1 for r in cut) and len(cut) <= laid.df.select("__slice").distinct().count()
 
 
 @pytest.mark.parametrize("order", ORDERS)
@@ -123,8 +125,38 @@ def test_a_repeated_text_is_cut_by_the_next_column(spark):
     rows = [(1, "Customer#0001" if i % 3 else "Customer#0002", f"Item#{i * 7919 % 4000:06d}", i) for i in range(4000)]
     df = spark.createDataFrame(rows, "k int, name string, item string, v int")
     laid = o.layout(df, ["k"], ["name", "item"], rows_per_slice=100)
-    sizes = [r["count"] for r in laid.df.groupBy("__slice", "__subslice").count().collect()]
+    sizes = [r["count"] for r in laid.df.groupBy("__slice").count().collect()]
     assert max(sizes) <= 300 and sum(sizes) == 4000
     got = o.number_rows(df, ["k"], ["name", "item"], "rn", 100)
     plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("name", "item")))
     assert sorted(map(tuple, got.select("v", "rn").collect())) == sorted(map(tuple, plain.select("v", "rn").collect()))
+
+
+def test_ties_in_two_columns_are_cut_by_the_third_and_equal_rows_by_their_place(spark, rows):
+    data = [(1, 7, 7, i % 50, float(i % 13)) for i in range(1500)] + [(1, 7, 7, 3, 2.0)] * 900 + [(2, 1, 1, 1, 1.0)]
+    df = spark.createDataFrame(data, "k int, a int, b int, c int, v double").repartition(4)
+    laid = o.layout(df, ["k"], ["a", "-b", "c"], 100)
+    assert laid.df.groupBy("__slice").count().agg(F.max("count")).first()[0] <= 400
+    w = Window.partitionBy("k").orderBy("a", F.desc("b"), "c")
+    numbered = o.number_rows(df, ["k"], ["a", "-b", "c"], "rn", 100)
+    assert sorted(r[0] for r in numbered.filter("k = 1").select("rn").collect()) == list(range(1, 2401))
+    want = df.withColumn("rn", F.row_number().over(w)).groupBy("k", "a", "b", "c").agg(F.min("rn").cast("long").alias("m"), F.max("rn").cast("long").alias("x"))
+    assert rows(numbered.groupBy("k", "a", "b", "c").agg(F.min("rn").alias("m"), F.max("rn").alias("x"))) == rows(want)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_looking_back_over_many_slices(spark, rows, keys):
+    """n = 10,000 over slices of 1,500 rows: a halo spans several slices."""
+    df = spark.range(30_000).select((F.col("id") % 97 == 0).cast("int").alias("k"), ((F.col("id") * 7919) % 30_011).alias("t"), "id")
+    w = Window.partitionBy(*keys).orderBy("t")
+    want = df.select("*", F.lag("id", 10_000).over(w).alias("a"), F.sum("id").over(w.rowsBetween(-10_000, 0)).alias("m"))
+    got = o.lagged(df, keys, ["t"], {"a": "id"}, 10_000, rows_per_slice=1_500)
+    got = o.moving(got, keys, ["t"], 10_000, {"m": F.sum("id")}, rows_per_slice=1_500)
+    assert rows(got) == rows(want)
+
+
+def test_sums_keep_their_type(spark, rows):
+    df = spark.range(500).select((F.col("id") % 2).alias("k"), "id", (F.col("id") / 4).cast("decimal(18,2)").alias("v"))
+    want = o.with_running(df, ["k"], ["id"], {"s": F.col("v")})
+    got = o.with_running(df, ["k"], ["id"], {"s": F.col("v")}, 20)
+    assert got.schema["s"].dataType == want.schema["s"].dataType and rows(got) == rows(want)
