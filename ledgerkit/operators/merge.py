@@ -135,6 +135,7 @@ def mark_inactive(accounts: DataFrame, tx: DataFrame, days: int, as_of, state: s
 
 # Restartable batches
 
+BATCHES_PER_JOB = 100
 STATE_SCHEMA = "batch long, last_key string, rows long, state string"
 
 
@@ -161,30 +162,39 @@ def batch_bounds(df: DataFrame, key: str, size: int) -> list:
 
 def run_batches(
     df: DataFrame, key: str, size: int, path: str, fn: Callable[[DataFrame], DataFrame],
-    max_batches: int | None = None,
+    max_batches: int | None = None, per_job: int = BATCHES_PER_JOB,
 ) -> DataFrame:
-    """Process ``df`` in key ranges, one written folder and one state row per finished batch.
-
-    A run that broke off goes on after the last finished batch; the folder of a batch that was
-    half written is overwritten. ``key`` is numeric, not null; its bounds reach the scan as
-    filters, so on data laid out by the key a batch reads its own part. Returns the state table.
+    """Process ``df`` in key ranges of about ``size`` rows: one folder ``data/batch=n`` and one state row per batch.
+
+    ``per_job`` batches are written by one job: their rows are numbered in one pass and dealt out by the number,
+    so all cores work, and a batch whose key repeats too often is still split over tasks. A job's
+    files and then its state rows appear as a whole. A run that broke off goes on after
+    the last batch in the state; what a broken job left is overwritten, other batches keep their files. ``fn``
+    works on rows and keeps their ``batch`` number. ``key`` is numeric, not null; the bounds of a job
+    reach the scan as filters, so on data laid out by the key it reads its own part. Returns the state table.
     """
     spark, kind = df.sparkSession, df.schema[key].dataType
     bound = lambda value: F.lit(str(value)).cast(kind)
     done = read_state(spark, path).agg(F.max("batch").alias("b"), F.max_by("last_key", "batch").alias("k")).first()
     number, last = (done["b"] or 0), done["k"]
     rest = df if last is None else df.filter(F.col(key) > bound(last))
-    for upper in batch_bounds(rest, key, size)[:max_batches]:
-        number += 1
-        part = df.filter(F.col(key) <= bound(upper))
+    bounds = batch_bounds(rest, key, size)[:max_batches]
+    for at in range(0, len(bounds), per_job):
+        uppers = bounds[at:at + per_job]
+        part = df.filter(F.col(key) <= bound(uppers[-1]))
         if last is not None:
             part = part.filter(F.col(key) > bound(last))
-        folder = f"{path}/data/batch={number}"
-        fn(part).write.mode("overwrite").parquet(folder)
-        rows = spark.read.parquet(folder).count()
-        state = spark.createDataFrame([(number, str(upper), rows, "DONE")], STATE_SCHEMA)
-        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/state/batch={number:08d}")
-        last = upper
+        passed = reduce(lambda a, b: a + b, [(F.col(key) > bound(u)).cast("long") for u in uppers[:-1]], F.lit(number + 1).cast("long"))
+        out = fn(part.withColumn("batch", passed))
+        out.hint("rebalance", "batch").write.partitionBy("batch").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(f"{path}/data")
+        numbers = range(number + 1, number + len(uppers) + 1)
+        written = {r["batch"]: r["count"] for r in spark.read.parquet(f"{path}/data").filter(
+            F.col("batch").between(numbers[0], numbers[-1])).groupBy("batch").count().collect()}
+        state = [(n, str(u), written.get(n, 0), "DONE") for n, u in zip(numbers, uppers, strict=True)]
+        spark.createDataFrame(state, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/state/from={numbers[0]:08d}")
+        number, last = numbers[-1], uppers[-1]
     return read_state(spark, path)
 
 

@@ -60,26 +60,39 @@ def test_archive_is_not_doubled(spark):
 
 def test_batches_resume_after_a_failure(spark, tmp_path):
     df = spark.range(1, 1001).withColumn("v", F.col("id") * 2)
-    path, seen = str(tmp_path / "run"), []
+    path = str(tmp_path / "run")
+    ids = lambda: {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "run/data").glob("batch=*")}
 
     def fails_third(part):
-        seen.append(part.count())
-        if len(seen) == 3:
-            raise RuntimeError("stop")
-        return part
+        return part.withColumn("v", F.when(F.col("batch") == 3, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("v")))
 
-    with pytest.raises(RuntimeError):
-        merge.run_batches(df, "id", 250, path, fails_third)
+    with pytest.raises(Exception, match="stop"):
+        merge.run_batches(df, "id", 125, path, fails_third, per_job=2)
     assert merge.read_state(spark, path).count() == 2
-    state = merge.run_batches(df, "id", 250, path, lambda part: part)
+    before = ids()
+    state = merge.run_batches(df, "id", 125, path, lambda part: part, per_job=3)
+    assert {k: v for k, v in ids().items() if k in before} == before and len(ids()) == state.count() >= 8
     written = spark.read.parquet(path + "/data")
     assert written.count() == 1000 and written.select("id").distinct().count() == 1000
     assert state.agg(F.sum("rows")).first()[0] == 1000
-    assert merge.run_batches(df, "id", 250, path, lambda part: part).count() == state.count()
-    one = merge.run_batches(df, "id", 250, str(tmp_path / "other"), lambda part: part, max_batches=1)
+    uppers = [int(r["last_key"]) for r in state.orderBy("batch").collect()]
+    assert uppers == sorted(uppers) and written.groupBy("batch").agg(F.max("id").alias("m")).orderBy("batch").collect() == [
+        (n, u) for n, u in enumerate(uppers, 1)]
+    assert merge.run_batches(df, "id", 125, path, lambda part: part).count() == state.count()
+    one = merge.run_batches(df, "id", 125, str(tmp_path / "other"), lambda part: part, max_batches=1)
     assert one.count() == 1
 
 
+def test_a_broken_job_is_written_again(spark, tmp_path):
+    """Files without a state row, as left by a run that ended between the two, are replaced."""
+    df, path = spark.range(1, 101).withColumn("v", F.lit(1)), str(tmp_path / "run")
+    merge.run_batches(df, "id", 25, path, lambda part: part.withColumn("v", F.lit(9)))
+    for entry in (tmp_path / "run/state").iterdir():
+        entry.rename(tmp_path / "lost")
+    merge.run_batches(df, "id", 25, path, lambda part: part)
+    assert spark.read.parquet(path + "/data").agg(F.count("v"), F.max("v")).first() == (100, 1)
+
+
 def test_batch_progress(spark):
     df = spark.createDataFrame([(1, "copy", "DONE", 600, "2024-01-01 10:00:30", "2024-01-01 10:04:10"), (2, "copy", "RUN", 0, "2024-01-01 10:00:00", None)],
                                "process_id int, name string, state string, rows long, start string, updated string")
