@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerkit.functions.exprs import date_diff
 from ledgerkit.operators import ordered
-from ledgerkit.operators.history import apply_changes, net_changes
+from ledgerkit.streaming import buckets
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
@@ -118,34 +118,18 @@ def _since(rows: DataFrame, mark: int | None, key: str, tie: str) -> DataFrame:
     return rows.filter(_micros() >= mark).unionByName(old)
 
 
-def version(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame | None:
-    """The newest version of a table of versions, or the newest before a batch; lists folders only."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return None
-    names = [f.getPath().getName() for f in files.listStatus(at)]
-    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    numbers = [n for n in numbers if (batch is None or n < batch) and files.exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
-
-
 def cdc_stream(
     feed: DataFrame, path: str, checkpoint: str, keys: Sequence[str], columns: Sequence[str],
+    per_table: int = buckets.BUCKETS,
 ) -> StreamingQuery:
-    """Apply a change feed to a table. Each batch writes ``version=<batch>`` from the version before.
+    """Apply a change feed (seq, op and the columns) to a bucketed table; ``buckets.read`` reads it.
 
-    Parquet has no merge, so a version is the whole table; rerunning a batch gives the same folder.
+    A batch writes the last change of each of its keys to the buckets they belong to; the other buckets keep
+    their files. Rerunning a batch gives the same table.
     """
 
     def apply(changes: DataFrame, batch: int) -> None:
-        spark = changes.sparkSession
-        net = net_changes(changes, keys)
-        before = version(spark, path, batch)
-        if before is None:
-            before = net.limit(0).select(*columns)
-        apply_changes(before, net, keys).write.mode("overwrite").parquet(f"{path}/version={batch}")
+        buckets.apply(changes, path, batch, keys, columns, per_table)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit.operators import history
 from ledgerkit.plans import fraud
-from ledgerkit.streaming import monitors
+from ledgerkit.streaming import buckets, monitors
 
 SCHEMA = "event_id long, account_id int, ts timestamp_ntz, place string, amount double, duration int"
 
@@ -72,9 +72,58 @@ def test_cdc_matches_batch(spark, events, folder, rows, tmp_path):
         F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(4).alias("op"),
         (F.col("event_id") % 13).alias("key"), "amount")
     want = history.net_changes(flat, ["key"]).filter("op <> 1").select("key", "amount")
+    table, schema = str(tmp_path / "t"), want.schema
     for _ in range(2):
-        monitors.cdc_stream(feed, str(tmp_path / "t"), str(tmp_path / "cp"), ["key"], ["key", "amount"]).awaitTermination()
-        assert rows(monitors.version(spark, str(tmp_path / "t"))) == rows(want)
+        monitors.cdc_stream(feed, table, str(tmp_path / "cp"), ["key"], ["key", "amount"]).awaitTermination()
+        assert rows(buckets.read(spark, table, schema, ["key"])) == rows(want)
+    early = history.net_changes(flat.filter("seq < 80"), ["key"]).filter("op <> 1").select("key", "amount")
+    assert rows(buckets.read(spark, table, schema, ["key"], batch=1)) == rows(early)
+
+
+def change(spark, rows):
+    return spark.createDataFrame(rows, "seq long, op int, key long, v string")
+
+
+def files_of(path):
+    return {str(f.relative_to(path)) for kind in ("base", "delta") for f in (path / kind).rglob("*.parquet")}
+
+
+def test_untouched_buckets_keep_their_files_and_full_ones_are_merged(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "COMPACT_AFTER", 3)
+    schema, want = spark.createDataFrame([], "key long, v string").schema, {}
+    for batch in range(8):
+        one = [(batch * 10, 2 if batch == 0 else 4, 1, f"a{batch}"), (batch * 10 + 1, 4, 50 + batch, "x"), (batch * 10 + 2, 1, 49 + batch, None),
+               (batch * 10 + 3, 3, 1, "image before")]
+        if batch == 0:
+            one += [(5 + i, 2, 100 + i, f"k{i}") for i in range(40)]
+        before = files_of(tmp_path) if batch else set()
+        buckets.apply(change(spark, one), str(tmp_path), batch, ["key"], ["key", "v"], 16)
+        fresh = files_of(tmp_path) - before
+        assert files_of(tmp_path) >= before and all(f"batch={batch}/" in f for f in fresh)
+        if batch:
+            assert len({f.split("/")[2] for f in fresh}) <= 3  # three keys
+        for _, op, key, v in one:
+            if op == 1:
+                want.pop(key, None)
+            elif op != 3:
+                want[key] = v
+        assert {tuple(r) for r in buckets.read(spark, str(tmp_path), schema, ["key"]).collect()} == set(want.items())
+    assert any(f.startswith("base/") for f in files_of(tmp_path))
+    # The last batch once more gives the same table.
+    buckets.apply(change(spark, one), str(tmp_path), 7, ["key"], ["key", "v"])
+    assert {tuple(r) for r in buckets.read(spark, str(tmp_path), schema, ["key"]).collect()} == set(want.items())
+    assert buckets.vacuum(spark, str(tmp_path)) > 0 and buckets.batches(spark, str(tmp_path)) == [7]
+    assert {tuple(r) for r in buckets.read(spark, str(tmp_path), schema, ["key"]).collect()} == set(want.items())
+
+
+def test_a_batch_without_its_manifest_is_not_seen(spark, tmp_path):
+    schema = spark.createDataFrame([], "key long, v string").schema
+    buckets.apply(change(spark, [(1, 2, 1, "a")]), str(tmp_path), 0, ["key"], ["key", "v"])
+    buckets.apply(change(spark, [(2, 4, 1, "b")]), str(tmp_path), 1, ["key"], ["key", "v"])
+    (tmp_path / "manifest/batch=1/_SUCCESS").rename(tmp_path / "lost")
+    assert buckets.read(spark, str(tmp_path), schema, ["key"]).collect() == [(1, "a")]
+    buckets.apply(change(spark, []), str(tmp_path), 2, ["key"], ["key", "v"])
+    assert buckets.read(spark, str(tmp_path), schema, ["key"]).collect() == [(1, "a")]
 
 
 def test_slow_monitor_and_windows(spark, events, folder, tmp_path):
