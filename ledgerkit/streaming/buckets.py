@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,33 +42,56 @@ def batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removeprefix("batch=")) for n in whole)
 
 
-def _manifest(spark: SparkSession, path: str, before: int | None) -> list:
+def manifest(spark: SparkSession, path: str, before: int | None = None) -> list:
     """Live parts of the newest batch, or the newest before ``before``."""
     numbers = [n for n in batches(spark, path) if before is None or n < before]
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/batch={numbers[-1]}").collect() if numbers else []
 
 
+def write_manifest(spark: SparkSession, path: str, batch: int, live: Sequence[tuple]) -> None:
+    """The last step of a batch: its parts are seen from now on."""
+    spark.createDataFrame(live, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def read_parts(spark: SparkSession, path: str, parts: Sequence, kind: str, schema: T.StructType) -> DataFrame:
+    """Rows of the listed parts of one kind, with their bucket and ``__part``; opens no other files."""
+    found = sorted({(p["part"], p["bucket"]) for p in parts if p["kind"] == kind})
+    if not found:
+        return spark.createDataFrame([], T.StructType(
+            [*schema.fields, T.StructField(_PART, T.LongType()), T.StructField("bucket", T.IntegerType())]))
+    names = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(names).option("basePath", f"{path}/{kind}").parquet(
+        *[f"{path}/{kind}/batch={n}/bucket={b}" for n, b in found]).withColumnRenamed("batch", _PART)
+
+
+def write_parts(df: DataFrame, path: str, kind: str, batch: int) -> list[int]:
+    """Write rows with their ``bucket`` as the parts of a batch; returns the buckets that got rows."""
+    folder = f"{path}/{kind}/batch={batch}"
+    # Balanced by Spark: a bucket that holds most rows is split over tasks.
+    df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    at, files = _files(df.sparkSession, folder)
+    names = [f.getPath().getName() for f in files.listStatus(at)]
+    return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
+
 def _read(spark: SparkSession, path: str, parts: Sequence, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
     """The rows of the given parts, merged."""
-    def rows(kind: str, more: list[T.StructField]) -> DataFrame:
-        found = sorted({(p["part"], p["bucket"]) for p in parts if p["kind"] == kind})
-        fields = T.StructType([*schema.fields, *more])
-        if not found:
-            return spark.createDataFrame([], T.StructType([*fields, T.StructField(_PART, T.LongType()), T.StructField("bucket", T.IntegerType())]))
-        names = T.StructType([*fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-        return spark.read.schema(names).option("basePath", f"{path}/{kind}").parquet(
-            *[f"{path}/{kind}/batch={n}/bucket={b}" for n, b in found]).withColumnRenamed("batch", _PART)
-
     # Buckets go with their keys, so base and deltas of a key meet in one partition.
-    changed = rows("delta", [T.StructField(_DELETED, T.BooleanType())]).groupBy("bucket", *keys).agg(
+    delta = T.StructType([*schema.fields, T.StructField(_DELETED, T.BooleanType())])
+    changed = read_parts(spark, path, parts, "delta", delta).groupBy("bucket", *keys).agg(
         F.max_by(F.struct(_DELETED, *schema.names), _PART).alias("l"))
-    rest = rows("base", []).join(changed.select("bucket", *keys), ["bucket", *keys], "left_anti").select("bucket", *schema.names)
+    base = read_parts(spark, path, parts, "base", schema)
+    rest = base.join(changed.select("bucket", *keys), ["bucket", *keys], "left_anti").select("bucket", *schema.names)
     return rest.unionByName(changed.filter(~F.col("l." + _DELETED)).select("bucket", *[F.col("l." + c).alias(c) for c in schema.names]))
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], batch: int | None = None) -> DataFrame:
     """The table as of its newest batch, or as of ``batch``."""
-    parts = _manifest(spark, path, None if batch is None else batch + 1)
+    parts = manifest(spark, path, None if batch is None else batch + 1)
     return _read(spark, path, parts, schema, keys).drop("bucket")
 
 
@@ -81,26 +104,18 @@ def last_changes(feed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 def apply(feed: DataFrame, path: str, batch: int, keys: Sequence[str], columns: Sequence[str], buckets: int = BUCKETS) -> None:
     """Write a batch of changes (seq, op and the columns of the table)."""
     spark = feed.sparkSession
-    before = _manifest(spark, path, batch)
+    before = manifest(spark, path, batch)
     buckets = before[0]["buckets"] if before else buckets  # a table keeps its number of buckets
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    delta, schema = f"{path}/delta/batch={batch}", feed.select(*columns).schema
-    last_changes(feed, keys, columns).withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode(
-        "overwrite").partitionBy("bucket").parquet(delta)
-    at, files = _files(spark, delta)
-    touched = sorted(int(f.getPath().getName().removeprefix("bucket="))
-                     for f in files.listStatus(at) if f.getPath().getName().startswith("bucket="))
+    changes = last_changes(feed, keys, columns).withColumn("bucket", bucket_of(keys, buckets))
+    touched = write_parts(changes, path, "delta", batch)
     live = [(p["bucket"], p["kind"], p["part"], buckets) for p in before] + [(b, "delta", batch, buckets) for b in touched]
     full = {b for b in touched if sum(p[0] == b and p[1] == "delta" for p in live) >= COMPACT_AFTER}
     if full:
         mine = [dict(zip(("bucket", "kind", "part"), p, strict=False)) for p in live if p[0] in full]
-        _read(spark, path, mine, schema, keys).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
-            "bucket").parquet(f"{path}/base/batch={batch}")
-        at, files = _files(spark, f"{path}/base/batch={batch}")
-        written = {f.getPath().getName() for f in files.listStatus(at)}
+        written = write_parts(_read(spark, path, mine, feed.select(*columns).schema, keys), path, "base", batch)
         # A bucket whose rows were all deleted has no base.
-        live = [p for p in live if p[0] not in full] + [(b, "base", batch, buckets) for b in sorted(full) if f"bucket={b}" in written]
-    spark.createDataFrame(live, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+        live = [p for p in live if p[0] not in full] + [(b, "base", batch, buckets) for b in written]
+    write_manifest(spark, path, batch, live)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:

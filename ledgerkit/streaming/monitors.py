@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,20 +89,8 @@ class LateRows(StreamingQueryListener):
         return self.dropped.get(str(query.runId), 0)
 
 
-# Tables kept by batch number. A batch that is run again overwrites its own folder only.
-
-FULL_EVERY = 50  # batches after which the kept rows of all keys are written together
-
-
-def _kept_rows(spark: SparkSession, path: str, batch: int, names: Sequence[T.StructField]) -> DataFrame | None:
-    """Rows kept by earlier batches, from the last full set on."""
-    schema = T.StructType([*names, T.StructField("kind", T.StringType()), T.StructField("batch", T.LongType())])
-    try:
-        rows = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch)
-    except AnalysisException:
-        return None
-    full = rows.filter(F.col("kind") == "full").agg(F.max("batch")).first()[0]
-    return (rows if full is None else rows.filter(F.col("batch") >= full)).drop("kind", "batch")
+STATE_BUCKETS = 64
+FULL_EVERY = 50  # parts of a bucket of the state after which they are written together
 
 
 def _micros() -> Column:
@@ -143,30 +130,34 @@ def travel_stream(
 
     The watermark of a batch is the largest time of the batches before it less ``lateness``. The state
     holds the rows from the watermark on and the last row of each key before it, so a late row meets both
-    its neighbours. A batch is put between the kept rows of its keys and searched with the sliced lag, so a
+    its neighbours. It lies in buckets by key, and a batch opens the buckets of its own keys only. A batch is put
+    between the kept rows of its keys and searched with the sliced lag, so a
     key that fills most of a batch is still spread over tasks; pairs with a new row on either side are
     reported. A late row parts two rows that were a pair before: the later row's key and ``tie`` are
     written to ``parted``, which takes its alerts of earlier batches back. Rows before the watermark cannot
     be placed; they are written to ``late``, none is lost. Rows without a time have no pairs. A batch
-    writes the rows it adds to the state, and every ``FULL_EVERY`` batches the whole state.
+    adds a part to each of its buckets; ``FULL_EVERY`` parts of a bucket become one.
     """
     slack = lateness // timedelta(microseconds=1)
     alerts, parted, late, state = (f"{path}/{n}" for n in ("alerts", "parted", "late", "last"))
+    names = [key, "ts", place, tie]
 
     def search(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        names = [key, "ts", place, tie]
         rows = rows.select(*names).filter("ts is not null").persist()
         try:
-            known = _kept_rows(spark, state, batch, [rows.schema[c] for c in names])
-            newest = known.agg(F.max(_micros())).first()[0] if known is not None else None
+            live = buckets.manifest(spark, state, batch)
+            newest = max((p["part"] for p in live if p["kind"] == "newest"), default=None)
+            live = [p for p in live if p["kind"] != "newest"]
             mark = None if newest is None else newest - slack
             on_time = rows if mark is None else rows.filter(_micros() >= mark)
-            fresh = on_time.withColumn("__new", F.lit(True))
-            if known is not None:
-                known = _since(known, mark, key, tie)
-                mine = known.join(on_time.select(key).distinct(), key, "left_semi")
-                fresh = fresh.unionByName(mine.withColumn("__new", F.lit(False)))
+            bucket = buckets.bucket_of([key], STATE_BUCKETS)
+            mine = {r[0] for r in on_time.select(bucket).distinct().collect()}
+            touched = [p for p in live if p["bucket"] in mine]
+            known = buckets.read_parts(spark, state, touched, "rows", rows.schema).select(*names)
+            known = _since(known, mark, key, tie)
+            met = known.join(on_time.select(key).distinct(), key, "left_semi")
+            fresh = on_time.withColumn("__new", F.lit(True)).unionByName(met.withColumn("__new", F.lit(False)))
             seen = ordered.lagged(fresh, [key], ["ts", tie], {
                 "previous_place": place, "previous_ts": "ts", "__new_before": "__new"}).persist()
             try:
@@ -179,12 +170,17 @@ def travel_stream(
                 seen.unpersist()
             (rows.limit(0) if mark is None else rows.filter(_micros() < mark)).write.mode("overwrite").parquet(
                 f"{late}/batch={batch}")
-            full = known is not None and batch % FULL_EVERY == 0
-            kept = on_time.unionByName(known) if full else on_time
+            full = {b for b in mine if sum(p["bucket"] == b for p in touched) + 1 >= FULL_EVERY}
+            kept = on_time.unionByName(known.filter(bucket.isin(*full))) if full else on_time
             latest = on_time.agg(F.max(_micros())).first()[0]
             latest = max((t for t in (latest, newest) if t is not None), default=None)
-            _since(kept, None if latest is None else latest - slack, key, tie).write.mode("overwrite").parquet(
-                f"{state}/kind={'full' if full else 'part'}/batch={batch}")
+            kept = _since(kept, None if latest is None else latest - slack, key, tie)
+            written = buckets.write_parts(kept.withColumn("bucket", bucket), state, "rows", batch)
+            now = [(p["bucket"], "rows", p["part"], STATE_BUCKETS) for p in live if p["bucket"] not in full]
+            now += [(b, "rows", batch, STATE_BUCKETS) for b in written]
+            if latest is not None:
+                now.append((-1, "newest", latest, STATE_BUCKETS))
+            buckets.write_manifest(spark, state, batch, now)
         finally:
             rows.unpersist()
 

@@ -64,6 +64,22 @@ def test_travel_with_a_late_file_matches_batch(spark, events, rows, tmp_path, mo
         fraud.impossible_travel(events.join(want, "event_id", "left_anti")).select(*columns))
 
 
+def test_travel_opens_the_state_of_its_own_keys_only(spark, events, folder, rows, tmp_path, monkeypatch):
+    feed, opened = str(tmp_path / "feed"), []
+    one = events.filter("account_id <> 1").limit(1).first()["account_id"]
+    last = (F.col("account_id") == one) & (F.col("event_id") > 60)
+    plain = buckets.read_parts
+    monkeypatch.setattr(buckets, "read_parts", lambda s, p, parts, *more: opened.append({q["bucket"] for q in parts}) or plain(s, p, parts, *more))
+    for part in (~last & (F.col("event_id") < 60), ~last & (F.col("event_id") >= 60), last):
+        events.filter(part).coalesce(1).write.mode("append").parquet(feed)
+        time.sleep(1.1)
+    monitors.travel_stream(stream(spark, feed, events), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    keys = events.filter(last).select(buckets.bucket_of(["account_id"], monitors.STATE_BUCKETS)).distinct().collect()
+    assert opened[-1] == {r[0] for r in keys} and len(opened[-1]) == 1 < len(opened[1])
+    assert rows(monitors.travel_alerts(spark, str(tmp_path / "t")).select("event_id", "previous_place")) == rows(
+        fraud.impossible_travel(events).select("event_id", "previous_place"))
+
+
 def test_cdc_matches_batch(spark, events, folder, rows, tmp_path):
     feed = stream(spark, folder, events).select(
         F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(4).alias("op"),
