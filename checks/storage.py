@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from checks.basics import ACC_COLS, TX_COLS
 from checks.changes import FEED, feed
 from checks.common import on_bank, on_tables
-from checks.reports import _ACTIVITY, STAR
+from checks.reports import _ACTIVITY, STAR, STATEMENT_CLIENT
 from ledgerkit.functions import predicates as p
 from ledgerkit.operators import history, joins, merge, quality, search
 from ledgerkit.plans import reports
@@ -37,6 +38,12 @@ def part_file(spark, folder):
     return readers.load_csv(spark, path, schema)
 
 
+def on_lookups(fn):
+    """A query over the star laid out for lookups, which is written once a session."""
+    return on_tables(lambda spark, folder: fn(
+        views.lookup_bank(spark, folder, f"{checkpoint_dir(spark)}/lookup-{zlib.crc32(folder.encode())}")))
+
+
 def laid_out(spark, folder):
     path = work(spark)
     readers.write_layout(views.transactions(spark, folder), path, ["state"], ["ts", "account_id"])
@@ -194,7 +201,9 @@ QUERIES = {
     "bound_values": on_tables(bound),
     "table_function": on_tables(from_function),
     "inline_rates": on_tables(rated),
-    "balance_lookup": on_bank(lambda b: reports.balance(b, 77)),
+    "balance_lookup": on_lookups(lambda b: reports.balance(b, 77)),
+    "lookup_layout": on_lookups(lambda b: readers.rows_by_key(b.accounts, "client_id", 77)),
+    "statement_client": on_lookups(lambda b: reports.statement(b, [77], "1998-01-01", "1999-01-01").drop("state")),
     "list_ordered": on_bank(lambda b: search.list_ordered(b.clients.select("client_id", "name"), {"name": "client_id"}, "other", "client_id")),
     "or_filter": on_bank(lambda b: b.tx.filter((F.col("type") == "R") | (F.col("amount") > 70000))),
 }
@@ -231,6 +240,8 @@ SQL = {
     "table_function": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE state = 'O' AND acc.balance >= 200000",
     "inline_rates": """SELECT o_orderkey AS account_id, o_orderpriority AS type, CASE o_orderpriority WHEN '1-URGENT' THEN '0.02' WHEN '5-LOW' THEN '0.04' END AS r_rate FROM orders""",
     "balance_lookup": f"{STAR} SELECT account_id, CAST(acc.balance AS DOUBLE) AS balance, state FROM acc WHERE account_id = 77",
+    "lookup_layout": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE client_id = 77",
+    "statement_client": STATEMENT_CLIENT,
     "list_ordered": f"{STAR} SELECT client_id, name FROM cli",
     "or_filter": f"{STAR} SELECT {TX_COLS} FROM tx WHERE type = 'R' UNION ALL SELECT {TX_COLS} FROM tx WHERE tx.amount > 70000 AND type IS DISTINCT FROM 'R'",
 }

@@ -200,8 +200,11 @@ def statement(bank: Bank, client_ids: Sequence[int] | None, lo, hi) -> DataFrame
     if client_ids is not None:
         accounts = accounts.filter(F.col("client_id").isin(list(client_ids)))
     moves = bank.tx.filter(p.in_range("ts", lo, hi))
-    if client_ids is not None:
+    if client_ids is not None and "client_id" in moves.columns:  # laid out by client: read there
+        moves = moves.filter(F.col("client_id").isin(list(client_ids)))
+    elif client_ids is not None:
         moves = moves.join(accounts.select("account_id"), "account_id", "left_semi")
+    moves = moves.drop("client_id")
     signed = F.when(F.col("type") == DEPOSIT, F.col("amount")).otherwise(-F.col("amount"))
     running = ordered.with_running(
         moves, ["account_id"], ["ts", "line", "part_id", "supplier_id"], {"running": signed}

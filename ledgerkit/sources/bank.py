@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerkit.sources.readers import load
+from ledgerkit.session import has_file
+from ledgerkit.sources.readers import load, write_lookup
 
 MONEY = "decimal(18,2)"
 
@@ -61,3 +62,23 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
 
 def bank(spark: SparkSession, folder: str) -> Bank:
     return Bank(clients(spark, folder), accounts(spark, folder), transactions(spark, folder))
+
+
+def lookup_bank(spark: SparkSession, folder: str, path: str) -> Bank:
+    """The star in files for reading single accounts and clients; written below ``path`` when they are not there.
+
+    Accounts lie by account, with a Bloom filter on the client; transactions carry their client and lie by client,
+    account and time, with a Bloom filter on the account. Write to a new path when the tables have changed.
+    """
+    plain = bank(spark, folder)
+    tables = {
+        "clients": lambda at: write_lookup(plain.clients, at, ["client_id"]),
+        "accounts": lambda at: write_lookup(plain.accounts, at, ["account_id"], ["client_id"]),
+        "tx": lambda at: write_lookup(
+            plain.tx.join(plain.accounts.select("account_id", "client_id"), "account_id", "left"), at,
+            ["client_id", "account_id", "ts"], ["account_id"]),
+    }
+    for name, write in tables.items():
+        if not has_file(spark, f"{path}/{name}/_SUCCESS"):
+            write(f"{path}/{name}")
+    return Bank(*[spark.read.parquet(f"{path}/{name}") for name in tables])

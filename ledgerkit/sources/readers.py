@@ -97,6 +97,24 @@ def write_layout(
     ).partitionBy(*partition_by).parquet(path)
 
 
+def write_lookup(
+    df: DataFrame, path: str, sort_by: Sequence[str], bloom: Sequence[str] = (),
+    group_bytes: int = 16 << 20, page_rows: int = 5_000, mode: str = "overwrite",
+) -> None:
+    """Files for reading few keys: sorted by ``sort_by``, with Bloom filters on other keys.
+
+    A key of the sort order is found by the row groups' and pages' smallest and largest values, any key of
+    ``bloom`` by its row group's filter; what cannot hold the key is not read. Small row groups and pages make
+    the parts that are read small. The filters adapt to the number of values of a group.
+    """
+    writer = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by).write.mode(mode).option(
+        "parquet.block.size", group_bytes).option("parquet.page.row.count.limit", page_rows)
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(
+            f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    writer.parquet(path)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """A table whose later joins on ``key`` need no shuffle. Not for a key with hot values."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

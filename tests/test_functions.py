@@ -326,3 +326,35 @@ def test_log_outlives_a_failure(spark):
     results, log = process.run_logged(spark, [("read", lambda: 5), ("post", fails), ("report", lambda: 6)])
     assert results == [5]
     assert [tuple(r)[2:] for r in log.orderBy("step").collect()] == [("DONE", None), ("ERROR", "no funds"), ("SKIPPED", None)]
+
+
+def scanned(df):
+    """Rows that the scan of a plain read gave, and the rows of the result."""
+    n = len(df.collect())
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value(), n
+
+
+def test_lookups_read_what_can_hold_the_key(spark, tmp_path):
+    df = spark.range(200_000).select("id", ((F.col("id") * 7919) % 100_003).alias("other"), F.lit("x" * 20).alias("t"))
+    readers.write_lookup(df, str(tmp_path / "l"), ["id"], ["other"], group_bytes=1 << 16, page_rows=500)
+    back = spark.read.parquet(str(tmp_path / "l"))
+    assert back.count() == 200_000
+    read, found = scanned(back.filter("id = 12345"))
+    assert found == 1 and read <= 1_000  # pages of one row group
+    value = df.filter("id = 777").first()["other"]
+    read, found = scanned(back.filter(F.col("other") == value))
+    assert found == df.filter(F.col("other") == value).count() and read < 60_000
+    read, found = scanned(back.filter("other = 100_005 - 1".replace("_", "")))
+    assert found == 0 and read < 60_000
+
+
+def test_lookup_bank_gives_the_same_rows(spark, sf, rows, tmp_path):
+    plain, laid = views.bank(spark, sf), views.lookup_bank(spark, sf, str(tmp_path / "bank"))
+    assert rows(laid.accounts) == rows(plain.accounts) and rows(laid.clients) == rows(plain.clients)
+    assert rows(laid.tx.drop("client_id")) == rows(plain.tx)
+    files = {f: f.stat().st_mtime for f in (tmp_path / "bank").rglob("*.parquet")}
+    again = views.lookup_bank(spark, sf, str(tmp_path / "bank"))
+    assert {f: f.stat().st_mtime for f in (tmp_path / "bank").rglob("*.parquet")} == files
+    client = plain.accounts.first()["client_id"]
+    period = ("1990-01-01", "2000-01-01")
+    assert rows(reports.statement(again, [client], *period)) == rows(reports.statement(plain, [client], *period))
