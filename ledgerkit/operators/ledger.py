@@ -13,7 +13,7 @@ from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import percent
 from ledgerkit.operators import ordered
 from ledgerkit.operators.merge import update_where
-from ledgerkit.session import discard, settle
+from ledgerkit.session import discard, settle, settled
 
 MONEY = "decimal(18,2)"
 
@@ -166,11 +166,12 @@ def accept_in_order(
 
     - rows above the room can never fit, and groups whose sum fits are accepted whole,
     - other groups of up to ``group_rows`` rows are walked in order, many groups per task,
-    - a larger group is cut into slices of ``group_rows`` rows in its order. Round i walks slice
-      i of all large groups and carries what each has left, so the number of rounds is known
-      beforehand: the largest group's rows by ``group_rows``.
+    - of a larger group, sliced running sums accept everything before its first refusal. What follows is cut
+      into slices of ``group_rows`` rows in its order. Round i walks slice i of all large groups
+      and carries what each has left, so the number of rounds is known beforehand: the most
+      rows after a first refusal by ``group_rows``.
     """
-    rows = settle(rows)
+    rows = settled(rows)
     keys = list(group)
     fits = F.col("cents") <= F.col("room")
     out = rows.filter(~fits).withColumn("accepted", F.lit(False))
@@ -185,23 +186,70 @@ def accept_in_order(
     plain = lambda df: df.select(*rows.columns)
     out = out.unionByName(plain(marked.filter("__kind = 0")).withColumn("accepted", F.lit(True)))
     out = out.unionByName(_accept_in_stream(plain(marked.filter("__kind = 1")), group, order))
-    largest = sums.filter(kind == 2).agg(F.max("__n")).first()[0]
-    if not largest:
+    if sums.filter(kind == 2).isEmpty():
         return out
-    numbered = ordered.number_rows(plain(marked.filter("__kind = 2")), group, order, "__rn", group_rows)
-    sliced = settle(numbered.withColumn("__slice_no", F.floor((F.col("__rn") - 1) / group_rows)).drop("__rn"))
-    left = None
-    for number in range(math.ceil(largest / group_rows)):
+    running = settle(ordered.with_running(
+        plain(marked.filter("__kind = 2")), group, order,
+        {"__rn": F.lit(1).cast("long"), "__cum": F.col("cents")}, group_rows))
+    refused = running.filter("__cum > room").groupBy(*named).agg(
+        F.min("__rn").alias("__cut"), F.min_by(F.col("room") - F.col("__cum") + F.col("cents"), "__rn").alias("__left"))
+    split = settle(running.join(refused, on))  # every large group has a refusal, as its sum does not fit
+    out = out.unionByName(plain(split.filter("__rn < __cut")).withColumn("accepted", F.lit(True)))
+    kind_of_room = rows.schema["room"].dataType
+    rest = split.filter("__rn >= __cut").withColumns({
+        "room": F.col("__left").cast(kind_of_room), "__slice_no": F.floor((F.col("__rn") - F.col("__cut")) / group_rows)})
+    sliced = settle(rest.select(*rows.columns, "__slice_no"))
+    left, walked = None, None
+    for number in range((sliced.agg(F.max("__slice_no")).first()[0] or 0) + 1):
         part = sliced.filter(F.col("__slice_no") == number).drop("__slice_no")
         if left is not None:
-            room = F.coalesce("__left", "room").cast(rows.schema["room"].dataType)
-            part = plain(part.join(left, on, "left").withColumn("room", room))
-        walked = settle(_accept_in_stream(part, group, order))
-        out = out.unionByName(walked)
-        before, left = left, settle(walked.groupBy(*named).agg(
+            part = plain(part.join(left, on, "left").withColumn("room", F.coalesce("__left", "room").cast(kind_of_room)))
+        done = settle(_accept_in_stream(part, group, order))
+        before, left = left, settle(done.groupBy(*named).agg(
             (F.max("room") - F.coalesce(F.sum(F.when(F.col("accepted"), F.col("cents"))), F.lit(0))).alias("__left")))
         discard(before)
-    return out
+        walked = done if walked is None else walked.unionByName(done)
+        if number % 10 == 9:  # keeps the plan short
+            walked = settle(walked)
+    return out.unionByName(walked)
+
+
+def _post_in_stream(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Walk the sorted requests of each account once, under the day's limit and the balance together."""
+    names = rows.columns
+
+    def walk(batches):
+        current, left, today = None, 0, 0
+        for batch in batches:
+            if batch.empty:
+                continue
+            account, day = batch["account_id"].to_numpy(), batch["day"].to_numpy()
+            cents, limit, funds = (batch[c].to_numpy() for c in ("cents", "room", "__funds"))
+            new_account, new_day = np.ones(len(batch), dtype=bool), np.ones(len(batch), dtype=bool)
+            new_account[1:] = account[1:] != account[:-1]
+            new_day[1:] = new_account[1:] | (day[1:] != day[:-1])
+            if current is not None:
+                new_account[0] = current[0] != account[0]
+                new_day[0] = new_account[0] or current[1] != day[0]
+            taken = np.zeros(len(batch), dtype=bool)
+            starts = np.flatnonzero(new_day).tolist()
+            for start, end in zip([0, *starts], [*starts, len(batch)]):
+                if end == start:
+                    continue
+                if new_account[start]:
+                    left = int(funds[start])
+                if new_day[start]:
+                    today = int(limit[start])
+                # Both shrink by what is accepted, so the smaller one decides the whole run.
+                room = min(today, left)
+                taken[start:end], rest = _accept_run(cents[start:end], room)
+                left, today = left - room + rest, today - room + rest
+            current = (account[-1], day[-1])
+            yield batch.assign(accepted=taken)[[*names, "accepted"]]
+
+    arranged = rows.repartition("account_id").sortWithinPartitions("account_id", "day", *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return arranged.mapInPandas(walk, kinds + ", accepted boolean")
 
 
 def post_withdrawals(
@@ -211,9 +259,8 @@ def post_withdrawals(
     """Withdrawals (account_id, day, amount) accepted one after the other within each account.
 
     A row is accepted when it fits the balance and the day's limit, both after the rows accepted
-    before it. Days are first settled by the limit alone, all in parallel. As long as the balance
-    covers what the days take, that is the result. From the first day it does not, what is left
-    is below the daily limit, so only the balance counts from there on.
+    before it. Accounts whose days and sum all fit are accepted by their sums; the others are walked once, limit and
+    balance together. Accounts above ``group_rows`` rows are posted by slices (``_post_large``).
     """
     known = accounts.select(
         "account_id", F.col("state").alias("__state"), F.col("balance").alias("__balance"))
@@ -233,8 +280,32 @@ def post_withdrawals(
     label = F.when(F.col("accepted"), "ACCEPTED").otherwise("LIMIT").alias("status")
     invalid = rows.filter("status IS NOT NULL").select(*result)
     valid = rows.filter("status IS NULL").select(*keep, "cents", "room", "__funds")
-    by_day = settle(accept_in_order(valid, ["account_id", "day"], order, group_rows))
-
+    valid = settle(valid)
+    days = valid.groupBy("account_id", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cents").alias("sum"), F.max("room").alias("room"), F.max("__funds").alias("funds"))
+    whole = F.max(F.col("sum") - F.col("room")).alias("over"), F.sum("sum").alias("sum")
+    per = days.groupBy("account_id").agg(F.sum("n").alias("n"), F.max("funds").alias("funds"), *whole)
+    fits = (F.col("over") <= 0) & (F.col("sum") <= F.col("funds"))
+    kind = F.when(fits, 0).when(F.col("n") <= group_rows, 1).otherwise(2)
+    marks = settle(per.select("account_id", kind.alias("__kind")))
+    marked = valid.join(marks, "account_id")
+    good = marked.filter("__kind = 0").select(*keep, "cents", F.lit(True).alias("accepted"))
+    good = good.unionByName(_post_in_stream(
+        marked.filter("__kind = 1").drop("__kind"), order).select(*keep, "cents", "accepted"))
+    if not marks.filter("__kind = 2").isEmpty():
+        large = settle(marked.filter("__kind = 2").drop("__kind"))
+        good = good.unionByName(_post_large(large, order, keep, group_rows))
+    return good.select(*keep, money, label).unionByName(invalid)
+
+
+def _post_large(rows: DataFrame, order: Sequence[str], keep: Sequence[str], group_rows: int) -> DataFrame:
+    """Accounts too large for one task.
+
+    Days are first settled by the limit alone, all in parallel. As long as the balance
+    covers what the days take, that is the result. From the first day it does not, what is left
+    is below the daily limit, so only the balance counts from there on.
+    """
+    by_day = settle(accept_in_order(rows, ["account_id", "day"], order, group_rows))
     taken = by_day.groupBy("account_id", "day").agg(
         F.sum(F.when(F.col("accepted"), F.col("cents")).otherwise(0)).alias("taken"),
         F.max("__funds").alias("__funds"),
@@ -249,8 +320,7 @@ def post_withdrawals(
     fine = split.filter(F.col("__from").isNull() | (F.col("day") < F.col("__from")))
     tight = split.filter(F.col("day") >= F.col("__from")).withColumn("room", F.col("__left"))
     tight = accept_in_order(tight.select(*keep, "cents", "room"), ["account_id"], ["day", *order], group_rows)
-    good = fine.select(*keep, money, label).unionByName(tight.select(*keep, money, label))
-    return good.unionByName(invalid)
+    return fine.select(*keep, "cents", "accepted").unionByName(tight.select(*keep, "cents", "accepted"))
 
 
 # Balances

@@ -76,6 +76,11 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself when it is a settled copy already."""
+    return df if getattr(df, "_settled_path", None) else settle(df)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Remove settled copies that nothing reads any more, as in a loop; other frames are left alone."""
     for df in frames:
