@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.common import AS_OF, on_bank, on_tables
 from checks.basics import ACC_COLS, TX_COLS
 from checks.reports import STAR
-from ledgerkit.operators import history, ledger, merge, quality
+from ledgerkit.operators import history, ledger, merge, ordered, quality
 from ledgerkit.plans import reports
 from ledgerkit.sources import bank as views
 from ledgerkit.sources.readers import load
@@ -260,7 +260,22 @@ def json_before(s, d):
 
 def balance_audit(s, d):
     b = views.bank(s, d)
-    return history.audit_column(b.accounts, merge.apply_net(b.accounts, b.tx, reports.DEPOSIT), "account_id", "balance").drop("record")
+    return history.audit_column(b.accounts, merge.apply_net(b.accounts, b.tx, reports.DEPOSIT), "account_id", "balance")
+
+
+def event_audit(s, d):
+    """The events of an account as changes of one record each, with both images."""
+    cents = (F.col("value").cast("decimal(18,2)") * 100).cast("long")
+    e = load(s, d, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("kind"), cents.alias("cents"))
+    rows = ordered.lagged(e, ["user_id"], ["ts", "event_id"], {"old_kind": "kind", "old_cents": "cents"})
+    old = F.to_json(F.struct(F.col("old_kind").alias("kind"), F.col("old_cents").alias("cents")))
+    first = F.col("old_kind").isNull()
+    return rows.select(
+        F.when(first, "I").otherwise("U").alias("op"), F.lit("account").alias("table"), F.col("user_id").cast("string").alias("key"),
+        F.when(~first, old).alias("before"), F.to_json(F.struct("kind", "cents")).alias("after"), "ts", "event_id")
+
+
+RECORDS = ("1", "7", "12", "33")
 
 
 def on(fn):
@@ -291,8 +306,8 @@ QUERIES = {
     "trim_history": on(lambda s, d: open_as_null(history.trim_history(event_versions(s, d), 1, "2025-01-16"))),
     "audit_diff": on(json_before),
     "audit_column": on(balance_audit),
-    "record_history": on(lambda s, d: history.record_history(
-        json_before(s, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")), "part", "14").drop("before", "after")),
+    "record_history": on(lambda s, d: history.record_history(event_audit(s, d), "account", RECORDS)),
+    "field_changes": on(lambda s, d: history.field_changes(event_audit(s, d), ["event_id", "key", "op", "ts"])),
     "all_changes": on(lambda s, d: history.all_changes(feed(s, d), 500, 4000)),
     "changes_between": on(lambda s, d: history.changes_between(
         feed(s, d).join(load(s, d, "events").select(F.col("event_id").alias("seq"), "ts"), "seq"), "2024-01-10", "2024-01-12").drop("ts")),
@@ -325,6 +340,11 @@ QUERIES = {
 
 _LINE = "CAST(line AS BIGINT) AS line"
 
+EVENT_AUDIT = """WITH e AS (SELECT event_id, user_id, ts, event_type AS kind, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM events),
+ a AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS key, kind, cents, lag(kind) OVER w AS old_kind, lag(cents) OVER w AS old_cents,
+ CASE WHEN lag(kind) OVER w IS NULL THEN 'I' ELSE 'U' END AS op FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_IMAGE = """'{{"kind":"' || {} || '","cents":' || CAST({} AS VARCHAR) || '}}'"""
+
 SQL = {
     "upsert": f"""WITH {PARTS} SELECT part_id, CASE WHEN action IN ('INSERT', 'UPDATE') THEN n_name ELSE o_name END AS name,
  CASE WHEN action IN ('INSERT', 'UPDATE') THEN n_brand ELSE o_brand END AS brand,
@@ -371,9 +391,13 @@ SQL = {
  SELECT CASE WHEN before IS NULL THEN 'I' WHEN after IS NULL THEN 'D' ELSE 'U' END AS op, 'part' AS "table", CAST(id AS VARCHAR) AS key, before, after
  FROM j WHERE before IS DISTINCT FROM after""",
     "audit_column": f"""{STAR}, n AS (SELECT account_id, sum(CASE WHEN type = 'A' THEN amount ELSE -amount END) AS net FROM tx GROUP BY 1)
- SELECT account_id, CAST(balance AS DOUBLE) AS old_value, CAST(balance + net AS DOUBLE) AS new_value, CAST(net AS DOUBLE) AS difference
+ SELECT account_id, CAST(balance AS DOUBLE) AS old_value, CAST(balance + net AS DOUBLE) AS new_value, CAST(net AS DOUBLE) AS difference,
+ '{{"old_value":' || CAST(balance AS VARCHAR) || ',"new_value":' || CAST(CAST(balance + net AS DECIMAL(18,2)) AS VARCHAR) || ',"difference":' || CAST(CAST(net AS DECIMAL(18,2)) AS VARCHAR) || '}}' AS record
  FROM acc JOIN n USING (account_id) WHERE net <> 0""",
-    "record_history": f"""WITH {PARTS} SELECT 'U' AS op, 'part' AS "table", '14' AS key, TIMESTAMP '2024-01-01' AS ts, 'Update' AS operation FROM m WHERE part_id = 14 AND action = 'UPDATE'""",
+    "record_history": f"""{EVENT_AUDIT} SELECT op, 'account' AS "table", key, CASE WHEN op = 'U' THEN {_IMAGE.format('old_kind', 'old_cents')} END AS before,
+ {_IMAGE.format('kind', 'cents')} AS after, ts, event_id, CASE op WHEN 'I' THEN 'Insert' ELSE 'Update' END AS operation FROM a WHERE key IN {RECORDS}""",
+    "field_changes": f"""{EVENT_AUDIT}, f AS (SELECT event_id, key, op, ts, 'kind' AS field, old_kind AS old_value, kind AS new_value FROM a
+ UNION ALL SELECT event_id, key, op, ts, 'cents', CAST(old_cents AS VARCHAR), CAST(cents AS VARCHAR) FROM a) SELECT * FROM f WHERE old_value IS DISTINCT FROM new_value""",
     "changes_between": f"""WITH {FEED} SELECT feed.seq, CAST(op AS BIGINT) AS op, key, kind, CAST(amount AS DOUBLE) AS amount,
  CASE op WHEN 1 THEN 'DELETE' WHEN 2 THEN 'INSERT' WHEN 3 THEN 'UPDATE BEFORE' ELSE 'UPDATE AFTER' END AS operation
  FROM feed WHERE seq BETWEEN (SELECT min(event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-10') AND (SELECT max(event_id) FROM events WHERE ts <= TIMESTAMP '2024-01-12')""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkit.operators import ordered
 from ledgerkit.session import tune
 from ledgerkit.sources import bank as bank_views
 
@@ -30,6 +31,15 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Adds the place of each row in the frame's own order; rows with equal ``keys`` share the first place.
+
+    Beside the SQL's ``rank() OVER (ORDER BY keys)`` it fails when the frame is sorted otherwise.
+    """
+    numbered = ordered.number_rows(df.withColumn("__at", F.monotonically_increasing_id()), [], ["__at"], "__n")
+    return numbered.withColumn("position", F.min("__n").over(Window.partitionBy(*keys))).drop("__at", "__n")
+
+
 def bank(spark, folder):
     return bank_views.bank(tune(spark), folder)
 

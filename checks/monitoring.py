@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from checks.basics import TX_COLS
-from checks.common import on_bank, on_tables
+from checks.common import in_order, on_bank, on_tables
 from checks.reports import STAR
 from ledgerkit.plans import fraud, logs
 from ledgerkit.session import checkpoint_dir
@@ -176,14 +176,16 @@ def cdc(spark, folder):
 
 
 QUERIES = {
-    "zscore": on_tables(lambda s, d: fraud.zscore_outliers(log(s, d), "account_id", 90, 2.5, LAST, recent_days=10)),
+    "zscore": on_tables(lambda s, d: in_order(
+        fraud.zscore_outliers(log(s, d), "account_id", 90, 2.5, LAST, recent_days=10).withColumn("size", F.abs("z")), "size").drop("size")),
     "amount_alerts": on_tables(lambda s, d: fraud.amount_alerts(log(s, d), LAST, 2.0)),
     "frequency": on_tables(lambda s, d: fraud.frequency_alerts(log(s, d), NOW, 720, 2)),
     "off_hours": on_tables(lambda s, d: fraud.off_hours(log(s, d))),
     "travel": on_tables(lambda s, d: fraud.impossible_travel(log(s, d), minutes=240)),
     "first_seen": on_tables(lambda s, d: fraud.first_seen(log(s, d), "account_id", "place")),
     "sudden_change": on_tables(lambda s, d: fraud.sudden_change(log(s, d), "account_id", "place")),
-    "alerts": on_tables(lambda s, d: fraud.alerts(log(s, d), NOW, minutes=1440, n=3, k=2.0, travel_hours=240)),
+    "alerts": on_tables(lambda s, d: in_order(
+        fraud.alerts(log(s, d), NOW, minutes=1440, n=3, k=2.0, travel_hours=240), "severity", "alert", "account_id")),
     "audit_by_table": on_tables(lambda s, d: fraud.audit_dashboard(audit(s, d), 7, NOW)[0]),
     "audit_by_user": on_tables(lambda s, d: fraud.audit_dashboard(audit(s, d), 7, NOW)[1]),
     "audit_by_hour": on_tables(lambda s, d: fraud.audit_dashboard(audit(s, d), 7, NOW)[2]),
@@ -214,7 +216,7 @@ QUERIES = {
     "session_counts": on_tables(lambda s, d: logs.session_counts(query_log(s, d))),
     "parse_events": on_tables(parsed),
     "by_hash": on_tables(lambda s, d: logs.by_hash(parsed(s, d), "query_hash", "duration")),
-    "recent_errors": on_tables(lambda s, d: logs.recent(parsed(s, d), "error", 48, NOW)),
+    "recent_errors": on_tables(lambda s, d: in_order(logs.recent(parsed(s, d), "error", 48, NOW), "ts")),
     "errors_by_number": on_tables(lambda s, d: logs.error_stats(error_log(s, d))[0]),
     "errors_by_hour": on_tables(lambda s, d: logs.error_stats(error_log(s, d))[1]),
     "errors_by_procedure": on_tables(lambda s, d: logs.error_stats(error_log(s, d))[2]),
@@ -243,7 +245,7 @@ SQL = {
  (CAST(log.amount AS DOUBLE) - mean) / nullif(deviation, 0) AS z FROM log JOIN st USING (account_id)
  WHERE ts >= TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-30')
  SELECT event_id, account_id, ts, place, CAST(z.amount AS DOUBLE) AS amount, round(mean, 4) AS mean, round(deviation, 4) AS deviation, history, round(z.z, 4) AS z,
- CASE WHEN z.z > 2.5 THEN 'ABNORMALLY HIGH' ELSE 'ABNORMALLY LOW' END AS label FROM z WHERE abs(z.z) > 2.5""",
+ rank() OVER (ORDER BY abs(z.z) DESC) AS position, CASE WHEN z.z > 2.5 THEN 'ABNORMALLY HIGH' ELSE 'ABNORMALLY LOW' END AS label FROM z WHERE abs(z.z) > 2.5""",
     "amount_alerts": f"""WITH {LOG}, st AS (SELECT account_id, {_STATS} FROM log WHERE ts >= TIMESTAMP '2023-10-30'
  AND ts <= TIMESTAMP '2024-01-30' GROUP BY 1 HAVING count(*) >= 10)
  SELECT {LOG_COLS}, round(mean, 4) AS mean, round(deviation, 4) AS deviation, history FROM log JOIN st USING (account_id)
@@ -258,14 +260,15 @@ SQL = {
     "alerts": f"""WITH {LOG}, st AS (SELECT account_id, {_STATS} FROM log WHERE ts >= TIMESTAMP '2023-10-25 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'
   GROUP BY 1 HAVING count(*) >= 10),
  lg AS (SELECT *, lag(place) OVER w AS pp, lag(ts) OVER w AS pt FROM log WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'
-  WINDOW w AS (PARTITION BY account_id ORDER BY ts, event_id))
+  WINDOW w AS (PARTITION BY account_id ORDER BY ts, event_id)), al AS (
  SELECT account_id, 'HIGH_FREQUENCY' AS alert, count(*) || ' operations in 1440 minutes' AS description, 'HIGH' AS severity FROM log WHERE {_DAY} GROUP BY 1 HAVING count(*) >= 3
  UNION ALL SELECT account_id, 'UNUSUAL_AMOUNT', '$' || format('{{:,.2f}}', CAST(amount AS DOUBLE)) || ' exceeds 2 deviations', 'MEDIUM' FROM log JOIN st USING (account_id)
  WHERE {_DAY} AND CAST(amount AS DOUBLE) > mean + 2.0 * deviation
  UNION ALL SELECT account_id, 'OFF_HOURS', '$' || format('{{:,.2f}}', CAST(amount AS DOUBLE)) || ' at ' || strftime(ts, '%H:%M:%S'), 'LOW' FROM log
  WHERE {_DAY} AND (hour(ts) < 6 OR hour(ts) >= 22)
  UNION ALL SELECT account_id, 'IMPOSSIBLE_TRAVEL', place || ' ' || date_diff('second', pt, ts) || ' seconds after ' || pp, 'CRITICAL' FROM lg
- WHERE place <> pp AND date_diff('minute', pt, ts) < 30""",
+ WHERE place <> pp AND date_diff('minute', pt, ts) < 30)
+ SELECT *, rank() OVER (ORDER BY list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity), alert, account_id) AS position FROM al""",
     "audit_by_table": f"""WITH {AUDIT} SELECT "table", {_OPS}, count(*) AS operations FROM audit WHERE {_WEEK} GROUP BY 1""",
     "audit_by_user": f"""WITH {AUDIT} SELECT "user", count(*) AS operations, count(DISTINCT "table") AS tables, min(ts) AS first_ts, max(ts) AS last_ts FROM audit WHERE {_WEEK} GROUP BY 1""",
     "audit_by_hour": f"WITH {AUDIT} SELECT hour(ts) AS hour, count(*) AS operations FROM audit WHERE {_WEEK} GROUP BY 1",
@@ -300,7 +303,7 @@ SQL = {
     "parse_events": f"WITH {PARSED} SELECT event_id, name, ts, CAST(pe.duration AS DOUBLE) AS duration, reads, query_hash, login FROM pe",
     "by_hash": f"""WITH {PARSED} SELECT query_hash, count(*) AS executions, round(CAST(sum(duration) AS DOUBLE) / count(*), 4) AS average,
  CAST(max(duration) AS DOUBLE) AS longest, CAST(sum(duration) AS DOUBLE) AS total FROM pe GROUP BY 1""",
-    "recent_errors": f"""WITH {PARSED} SELECT event_id, name, ts, CAST(pe.duration AS DOUBLE) AS duration, reads, query_hash, login FROM pe
+    "recent_errors": f"""WITH {PARSED} SELECT event_id, name, ts, CAST(pe.duration AS DOUBLE) AS duration, reads, query_hash, login, rank() OVER (ORDER BY ts DESC) AS position FROM pe
  WHERE name = 'error' AND ts >= TIMESTAMP '2024-01-23 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'""",
     "errors_by_number": f"WITH {ELOG} SELECT CAST(number AS BIGINT) AS number, count(*) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM el GROUP BY 1",
     "errors_by_hour": f"WITH {ELOG} SELECT hour(ts) AS hour, count(*) AS errors FROM el GROUP BY 1",

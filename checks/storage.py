@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from checks.basics import ACC_COLS, TX_COLS
 from checks.changes import FEED, feed
-from checks.common import on_bank, on_tables
+from checks.common import in_order, on_bank, on_tables
 from checks.reports import _ACTIVITY, STAR, STATEMENT_CLIENT
 from ledgerkit.functions import predicates as p
-from ledgerkit.operators import history, joins, merge, quality, search
+from ledgerkit.operators import history, joins, merge, quality, sample, search
 from ledgerkit.plans import reports
 from ledgerkit.session import checkpoint_dir
 from ledgerkit.sources import bank as views
@@ -130,20 +130,61 @@ def consolidated(b):
 
 
 def copied_table(spark, folder):
-    """Part of the accounts as a view of the session."""
-    rows = views.accounts(spark, folder).filter("type = '2-HIGH'")
-    return readers.materialize(rows, "ledgerkit_copy")
+    """The accounts as a view, then as a table of the same structure that takes the view's rows."""
+    rows, name = views.accounts(spark, folder), f"copy_{uuid.uuid4().hex}"
+    readers.materialize(rows, "ledgerkit_copy")
+    empty = readers.materialize(readers.structure_only(spark.table("ledgerkit_copy")), name, "table", work(spark))
+    spark.table("ledgerkit_copy").select(*empty.columns).write.insertInto(name)
+    return spark.table(name)
 
 
 def emptied(spark, folder):
-    """The accounts' columns after the table was emptied and the open ones were loaded again."""
+    """The accounts' columns after the table was emptied and loaded again."""
     path, rows = work(spark), views.accounts(spark, folder)
     rows.write.parquet(path)
     readers.truncate(spark, path, rows.schema)
-    readers.append_rows(rows.filter("state = 'O'"), path)
+    readers.append_rows(rows, path)
     return spark.read.parquet(path)
 
 
+def appended(spark, folder):
+    """The keys that an append to a table of the finished accounts reports."""
+    path, rows = work(spark), views.accounts(spark, folder)
+    readers.append_rows(rows.filter("state = 'F'"), path)
+    keys = readers.append_rows(rows.filter("state <> 'F'"), path, ["account_id", "client_id"])
+    # Only keys that are in the table count as inserted.
+    return keys.join(spark.read.parquet(path).select("account_id"), "account_id", "left_semi")
+
+
+def log_rows(spark, folder):
+    return load(spark, folder, "events").select("event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+def text_logs(spark, folder):
+    """The events as lines of rolled text files, split again."""
+    path = work(spark)
+    log_rows(spark, folder).select(F.concat_ws(" ", "event_id", F.concat(F.lit("type="), "event_type"), F.concat(F.lit("value="), "value"))).write.text(path)
+    parts = F.split("value", " ")
+    return readers.load_log_files(spark, path + "/*.txt").select(
+        parts[0].cast("long").alias("event_id"), F.substring_index(parts[1], "=", -1).alias("event_type"),
+        F.substring_index(parts[2], "=", -1).cast("decimal(18,2)").alias("value"))
+
+
+def xml_logs(spark, folder):
+    path = work(spark)
+    log_rows(spark, folder).write.format("xml").option("rowTag", "event").save(path)
+    return readers.load_log_files(spark, path, "xml", "event_id long, event_type string, value decimal(18,2)").drop("file")
+
+
+def bucketed(spark, folder):
+    """Both sides in buckets of the account, so the join needs no shuffle."""
+    name = uuid.uuid4().hex
+    readers.write_bucketed(views.transactions(spark, folder).select("account_id", "amount"), f"tx_{name}", "account_id", 8, work(spark))
+    readers.write_bucketed(views.accounts(spark, folder).select("account_id", "type"), f"acc_{name}", "account_id", 8, work(spark))
+    joined = spark.table(f"tx_{name}").join(spark.table(f"acc_{name}").hint("merge"), "account_id")
+    return joined.groupBy("type").agg(F.count(F.lit(1)).alias("tx_count"), F.sum("amount").alias("amount"))
+
+
 def gated(spark, folder):
     """Accounts by type, handed out after the check that none is without one."""
     rows = views.accounts(spark, folder)
@@ -188,7 +229,8 @@ QUERIES = {
     "consume_changes": on_tables(consumed),
     "stage_and_load": on_tables(loaded),
     "migrate": on_tables(migrated),
-    "alert_queue": on_tables(lambda s, d: reports.alert_queue(alert_rows(s, d), NOW, 4, 50)[0]),
+    "alert_queue": on_tables(lambda s, d: in_order(
+        reports.alert_queue(alert_rows(s, d), NOW, 4, 50)[0], "ts", "severity", "alert_id")),
     "alerts_per_analyst": on_tables(lambda s, d: reports.alert_queue(alert_rows(s, d), NOW)[1]),
     "fraud_last_month": on_tables(lambda s, d: reports.alert_queue(alert_rows(s, d), NOW)[2]),
     "client_letters": on_bank(letters),
@@ -204,7 +246,13 @@ QUERIES = {
     "balance_lookup": on_lookups(lambda b: reports.balance(b, 77)),
     "lookup_layout": on_lookups(lambda b: readers.rows_by_key(b.accounts, "client_id", 77)),
     "statement_client": on_lookups(lambda b: reports.statement(b, [77], "1998-01-01", "1999-01-01").drop("state")),
-    "list_ordered": on_bank(lambda b: search.list_ordered(b.clients.select("client_id", "name"), {"name": "client_id"}, "other", "client_id")),
+    "list_ordered": on_bank(lambda b: in_order(
+        search.list_ordered(b.clients.select("client_id", "name"), {"id": "client_id", "newest": "-client_id"}, "newest", "client_id"), "client_id")),
+    "sample_share": on_bank(lambda b: sample.stratified(b.accounts, ["type"], ["account_id"], 0.13, 7)),
+    "append_keys": on_tables(appended),
+    "log_text": on_tables(text_logs),
+    "log_xml": on_tables(xml_logs),
+    "bucketed_join": on_tables(bucketed),
     "or_filter": on_bank(lambda b: b.tx.filter((F.col("type") == "R") | (F.col("amount") > 70000))),
 }
 
@@ -222,7 +270,7 @@ SQL = {
     "stage_and_load": "SELECT c_custkey, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'",
     "migrate": """SELECT 'read' AS stage, count(*) AS rows FROM lineitem UNION ALL SELECT 'rejected', count(*) FROM lineitem WHERE CAST(l_extendedprice AS DECIMAL(18,2)) < 3000
  UNION ALL SELECT 'written', count(*) FROM lineitem WHERE CAST(l_extendedprice AS DECIMAL(18,2)) >= 3000""",
-    "alert_queue": f"WITH {ALERTS} SELECT * FROM al WHERE state = 'OPEN' AND severity >= 4 ORDER BY ts DESC, severity DESC, alert_id LIMIT 50",
+    "alert_queue": f"WITH {ALERTS} SELECT *, rank() OVER (ORDER BY ts DESC, severity DESC, alert_id) AS position FROM al WHERE state = 'OPEN' AND severity >= 4 ORDER BY ts DESC, severity DESC, alert_id LIMIT 50",
     "alerts_per_analyst": f"WITH {ALERTS} SELECT analyst, type, state, count(*) AS alerts FROM al GROUP BY 1, 2, 3",
     "fraud_last_month": f"WITH {ALERTS} SELECT * FROM al WHERE type = 'FRAUD' AND ts >= TIMESTAMP '2023-12-25 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'",
     "client_letters": f"""{STAR} SELECT client_id, CASE WHEN credit >= 0 THEN name || ': ' || CAST(credit AS VARCHAR) END AS report,
@@ -231,8 +279,8 @@ SQL = {
     "consolidate": f"""{_ACTIVITY} SELECT client_id, CASE WHEN client_id % 3 = 0 THEN 'INSERT' ELSE 'UPDATE' END AS action,
  CASE WHEN client_id % 3 > 0 THEN CAST(coalesce(balance, 0) - 1 AS DOUBLE) END AS deleted_balance, CAST(coalesce(balance, 0) AS DOUBLE) AS inserted_balance
  FROM cli LEFT JOIN bal USING (client_id) WHERE client_id % 3 = 0 OR client_id % 2 = 0""",
-    "materialize": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE type = '2-HIGH'",
-    "truncate": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE state = 'O'",
+    "materialize": f"{STAR} SELECT {ACC_COLS} FROM acc",
+    "truncate": f"{STAR} SELECT {ACC_COLS} FROM acc",
     "assert_none": f"{STAR} SELECT type, count(*) AS accounts FROM acc GROUP BY 1",
     "month_calendar": """SELECT strftime(d, '%Y-%m-%d') AS date, count(o_orderkey) AS orders
  FROM (SELECT unnest(generate_series(DATE '1998-02-01', DATE '1998-02-28', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON CAST(o_orderdate AS DATE) = d GROUP BY 1""",
@@ -242,6 +290,12 @@ SQL = {
     "balance_lookup": f"{STAR} SELECT account_id, CAST(acc.balance AS DOUBLE) AS balance, state FROM acc WHERE account_id = 77",
     "lookup_layout": f"{STAR} SELECT {ACC_COLS} FROM acc WHERE client_id = 77",
     "statement_client": STATEMENT_CLIENT,
-    "list_ordered": f"{STAR} SELECT client_id, name FROM cli",
+    "list_ordered": f"{STAR} SELECT client_id, name, rank() OVER (ORDER BY client_id DESC) AS position FROM cli",
+    "sample_share": f"""{STAR}, n AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY CAST('0x' || substr(md5('7|' || CAST(account_id AS VARCHAR)), 1, 15) AS BIGINT), account_id) AS rn,
+ count(*) OVER (PARTITION BY type) AS c FROM acc) SELECT {ACC_COLS} FROM n AS acc WHERE rn <= ceil(c * CAST(0.13 AS DOUBLE))""",
+    "append_keys": f"{STAR} SELECT account_id, client_id FROM acc WHERE state <> 'F'",
+    "log_text": "SELECT event_id, event_type, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events",
+    "log_xml": "SELECT event_id, event_type, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value FROM events",
+    "bucketed_join": f"{STAR} SELECT acc.type, count(*) AS tx_count, CAST(sum(amount) AS DOUBLE) AS amount FROM tx JOIN acc USING (account_id) GROUP BY 1",
     "or_filter": f"{STAR} SELECT {TX_COLS} FROM tx WHERE type = 'R' UNION ALL SELECT {TX_COLS} FROM tx WHERE tx.amount > 70000 AND type IS DISTINCT FROM 'R'",
 }

@@ -115,9 +115,10 @@ def write_lookup(
     writer.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """A table whose later joins on ``key`` need no shuffle. Not for a key with hot values."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ledgerkit.functions import exprs as x
 from ledgerkit.functions import predicates as p
-from ledgerkit.operators import aggs, govern, joins, ordered, paging, quality, reshape, search
+from checks.common import in_order
+from ledgerkit.operators import aggs, govern, history, joins, ordered, paging, quality, reshape, sample, search
 from ledgerkit.plans import fraud, logs, process, reports
 from ledgerkit.sources import bank as views
 from ledgerkit.sources import generate, readers
@@ -358,3 +359,35 @@ def test_lookup_bank_gives_the_same_rows(spark, sf, rows, tmp_path):
     client = plain.accounts.first()["client_id"]
     period = ("1990-01-01", "2000-01-01")
     assert rows(reports.statement(again, [client], *period)) == rows(reports.statement(plain, [client], *period))
+
+
+def test_the_order_oracle_notices_a_turned_order(spark):
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("k"))
+    want = {r["id"]: sum(1 for j in range(50) if j % 7 < r["k"]) + 1 for r in df.collect()}
+    got = {r["id"]: r["position"] for r in in_order(df.orderBy("k"), "k").collect()}
+    assert got == want
+    assert {r["id"]: r["position"] for r in in_order(df.orderBy(F.desc("k")), "k").collect()} != want
+
+
+@pytest.mark.parametrize("rows_per_slice", [2_000_000, 20])
+def test_stratified_samples(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", rows_per_slice)
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("s")).repartition(5)
+    found = {share: {r["id"]: r["s"] for r in sample.stratified(df, ["s"], ["id"], share, 3).collect()} for share in (0, 0.1, 0.25, 1)}
+    sizes = {r["s"]: r["count"] for r in df.groupBy("s").count().collect()}
+    for share, rows_of in found.items():
+        for s, n in sizes.items():
+            assert sum(v == s for v in rows_of.values()) == -(-n * round(100 * share) // 100)
+    assert found[0.1].items() <= found[0.25].items() <= found[1].items() and len(found[1]) == 500
+    again = sample.stratified(df.orderBy(F.rand()), ["s"], ["id"], 0.25, 3)
+    assert {r["id"] for r in again.collect()} == set(found[0.25]) != {r["id"] for r in sample.stratified(df, ["s"], ["id"], 0.25, 4).collect()}
+    assert sample.stratified(df, [], ["id"], 0.5).count() == 250
+
+
+def test_images_of_changing_structure_are_decoded(spark, rows):
+    audit = spark.createDataFrame([
+        (1, None, '{"a":1,"n":{"x":[1,2]}}'), (2, '{"a":1,"b":null}', '{"a":"1","b":2.50}'), (3, '{"a":null}', None),
+        (4, '{"a":1,"n":{"x":1}}', '{"n":{"x":2},"c":true}'), (5, "no json", '{"a":3}'), (6, None, None)], "id int, before string, after string")
+    assert rows(history.field_changes(audit, ["id"])) == sorted([
+        (1, "a", None, "1"), (1, "n", None, '{"x":[1,2]}'), (2, "b", None, "2.5"), (4, "a", "1", None),
+        (4, "n", '{"x":1}', '{"x":2}'), (4, "c", None, "true"), (5, "a", None, "3")], key=repr)
