@@ -5,10 +5,16 @@ Viterbi decoding gives every line its label, and a text is kept when content lin
 of its word characters. Before that come two base rules: fewer than 50 words, or more than half of the
 words in three-word windows that repeat within the text, fail.
 
-The field is trained in numpy (exact forward-backward gradients) on documents with a quality label,
-whose lines all carry the document's label: per class the ``MAX_PER_CLASS`` first in the order of their
-id's hash, of these the texts with at most ``MAX_CHARS`` characters and ``MAX_LINES`` lines. Decoding
-covers every line of every text.
+The field is trained in numpy (exact forward-backward gradients) on documents with a quality label: per class
+the ``MAX_PER_CLASS`` first in the order of their id's hash, of these the texts with at most ``MAX_CHARS``
+characters and ``MAX_LINES`` lines. Lines have no labels of their own, so they are latent:
+
+1. every line starts with its document's label, and as many sequences again are spliced from runs of lines of a
+   good and a poor text, so that changes of the label within a text are seen,
+2. after a first fit a line takes the likelier label, as long as most of its document's lines keep the
+   document's; the field is then fitted to these labels, with new splices.
+
+Decoding covers every line of every text.
 
 Defined results: a null or empty text has no words, so its base rules fail; lines without words take
 part in the chain but have no share; repeated lines count from their second occurrence; repeated
@@ -30,6 +36,7 @@ from pyspark.sql.functions import arrow_udf
 MIN_WORDS, MAX_REPEAT_SHARE, MIN_CONTENT = 50, 0.5, 0.5
 MAX_PER_CLASS, MAX_CHARS, MAX_LINES = 800, 20_000, 200
 STEPS, RATE, PENALTY = 120, 0.1, 1e-3
+LONGEST_RUN = 2  # lines of one text in a row in a splice of many changes
 
 # Classes of bytes: white space, symbols of the base rules, other signs, capitals, digits.
 _KINDS = 5
@@ -148,38 +155,68 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Field:
-    """Gradient ascent on the conditional likelihood of all documents' line labels."""
-    field = Field(np.eye(1, FEATURES)[0], np.zeros((2, 2)))
-    if len(set(labels)) < 2:
-        return field
-    rows = [read(t).features for t in texts]
-    y = np.array(labels)
-    n, longest = len(rows), max(map(len, rows))
-    x = np.zeros((n, longest, FEATURES))
-    real = np.zeros((n, longest), bool)
-    for i, r in enumerate(rows):
-        x[i, :len(r)], real[i, :len(r)] = r, True
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / real.sum(1)
-    emit, move = np.zeros(FEATURES), np.zeros((2, 2))
+def splice(good: np.ndarray, poor: np.ndarray, draw: np.random.Generator) -> list[int]:
+    """An order of the lines of two texts in runs by turns: numbers of the good text's lines, then the poor's."""
+    rest = [list(range(len(good))), list(range(len(good), len(good) + len(poor)))]
+    out, turn = [], int(draw.integers(2))
+    # A quarter of the splices have few changes, the others many.
+    longest = LONGEST_RUN if draw.integers(4) else MAX_LINES
+    while rest[0] or rest[1]:
+        n = int(draw.integers(1, longest + 1))
+        out += rest[turn][:n]
+        rest[turn] = rest[turn][n:]
+        turn = 1 - turn
+    return out[:MAX_LINES]
+
+
+def _chances(x: np.ndarray, real: np.ndarray, emit: np.ndarray, move: np.ndarray):
+    """Chance of content per line, and of each pair of labels of neighbours, by forward and backward sums."""
+    n, longest = real.shape
+    s = np.stack([np.zeros((n, longest)), x @ emit], 2)
+    ahead, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    ahead[:, 0] = s[:, 0]
+    for t in range(1, longest):
+        new = s[:, t] + _log_sum(ahead[:, t - 1, :, None] + move, 1)
+        ahead[:, t] = np.where(real[:, t, None], new, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        new = _log_sum(move + (s[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(real[:, t + 1, None], new, 0)
+    total = _log_sum(ahead[:, -1], 1)
+    chance = np.exp(ahead[:, :, 1] + back[:, :, 1] - total[:, None]) * real
+    both = np.exp(ahead[:, :-1, :, None] + move + (s[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None])
+    return chance, both * real[:, 1:, None, None]
+
+
+def _padded(rows: list[np.ndarray], labels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    longest = max(map(len, rows))
+    x, y = np.zeros((len(rows), longest, FEATURES)), np.zeros((len(rows), longest))
+    real = np.zeros((len(rows), longest), bool)
+    for i, (r, line_labels) in enumerate(zip(rows, labels, strict=True)):
+        x[i, :len(r)], y[i, :len(r)], real[i, :len(r)] = r, line_labels, True
+    return x, y, real
+
+
+def _ascend(rows: list[np.ndarray], labels: list[np.ndarray], weight: np.ndarray, field: Field, steps: int) -> Field:
+    """Gradient ascent on the weighted conditional likelihood of the lines' labels."""
+    sizes = np.array([len(r) for r in rows])
+    weight = weight / weight.sum() / sizes
+    emit, move = field.emit.copy(), field.move.copy()
     moments = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
-    pairs = real[:, 1:].sum(1)
-    for step in range(1, STEPS + 1):
-        s = np.stack([np.zeros((n, longest)), x @ emit], 2)
-        ahead, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = s[:, 0]
-        for t in range(1, longest):
-            new = s[:, t] + _log_sum(ahead[:, t - 1, :, None] + move, 1)
-            ahead[:, t] = np.where(real[:, t, None], new, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = _log_sum(move + (s[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(real[:, t + 1, None], new, 0)
-        total = _log_sum(ahead[:, -1], 1)
-        chance = np.exp(ahead[:, :, 1] + back[:, :, 1] - total[:, None]) * real
-        slope = np.einsum("n,ntf->f", weight * y, x) - np.einsum("n,nt,ntf->f", weight, chance, x)
-        both = np.exp(ahead[:, :-1, :, None] + move + (s[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None])
-        expected = np.einsum("n,nt,ntab->ab", weight, real[:, 1:].astype(float), both)
-        found = np.diag([(weight * pairs)[y == 0].sum(), (weight * pairs)[y == 1].sum()])
+    groups, seen, found = [], np.zeros(FEATURES), np.zeros((2, 2))
+    band = np.ceil(np.log2(sizes))  # texts of like lengths together, for little padding
+    for b in np.unique(band):
+        at = np.flatnonzero(band == b)
+        x, y, real = _padded([rows[i] for i in at], [labels[i] for i in at])
+        ones = np.stack([real - y, y], 2)
+        seen += np.einsum("n,ntf,nt->f", weight[at], x, y)
+        found += np.einsum("n,nta,ntb->ab", weight[at], ones[:, :-1] * real[:, 1:, None], ones[:, 1:])
+        groups.append((weight[at], x, real))
+    for step in range(1, steps + 1):
+        slope, expected = seen.copy(), np.zeros((2, 2))
+        for w, x, real in groups:
+            chance, both = _chances(x, real, emit, move)
+            slope -= (w[:, None] * chance).ravel() @ x.reshape(-1, FEATURES)
+            expected += np.einsum("n,ntab->ab", w, both)
         g = np.concatenate([slope, (found - expected).ravel()]) - PENALTY * np.concatenate([emit, move.ravel()])
         moments[0] += 0.1 * (g - moments[0])
         moments[1] += 0.001 * (g * g - moments[1])
@@ -188,6 +225,33 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
     return Field(emit, move)
 
 
+def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Field:
+    """The field of the texts and their splices, with latent lines."""
+    if len(set(labels)) < 2:
+        return Field(np.eye(1, FEATURES)[0], np.zeros((2, 2)))
+    draw = np.random.default_rng(7)
+    rows, y = [read(t).features for t in texts], np.array(labels)
+    lines = [np.full(len(r), float(label)) for r, label in zip(rows, y, strict=True)]
+    weight = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+
+    def with_splices(start: Field, steps: int) -> Field:
+        mixed, mixed_labels = [], []
+        for i, j in zip(draw.permutation(np.resize(good, len(rows))), draw.permutation(np.resize(poor, len(rows))), strict=True):
+            order = splice(rows[i], rows[j], draw)
+            mixed.append(np.concatenate([rows[i], rows[j]])[order])
+            mixed_labels.append(np.concatenate([lines[i], lines[j]])[order])
+        return _ascend(rows + mixed, lines + mixed_labels, np.concatenate([weight, np.full(len(mixed), 6 / len(mixed))]), start, steps)
+
+    field = with_splices(Field(np.zeros(FEATURES), np.zeros((2, 2))), steps)
+    for i, r in enumerate(rows):
+        chance, _ = _chances(r[None], np.ones((1, len(r)), bool), field.emit, field.move)
+        likelier = (chance[0] > 0.5).astype(float)
+        if (likelier.mean() > 0.5) == (y[i] == 1):  # most lines keep the document's label
+            lines[i] = likelier
+    return with_splices(field, steps // 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Field:
     """Fit on the bounded sample of labelled documents described above."""

@@ -12,8 +12,12 @@ Training takes findings with labels: a table with the columns of ``findings`` an
 is at hand, ``weak_labels`` labels findings by their form: a known key format, or a random value that a
 key word is set to, is a secret; runs of plain digits, of dictionary words and of paths are not, nor are
 UUIDs and named digests (``commit``, ``sha256`` and the like before hexadecimal digits) without a key word,
-which score 0; known key formats and passwords in addresses score 1. Other random values are undecided and do not train. So that the forest can judge them by
-their own form, every random secret trains a second time without the key word before it. At most
+are none either. Other random values are undecided and do not train. So that the forest judges values by
+their own form, every random secret trains a second time without the key word before it, and every known
+key format without its prefix and key word. The forest sees neither the rule nor the list of formats.
+
+Beside the forest stands one step by form alone (``by_form``): known key formats and passwords in addresses score 1,
+UUIDs and named digests without a key word 0. ``judge`` tells for each finding which of the two decided. At most
 ``MAX_LABELLED`` labelled findings, of at most ``MAX_VALUE`` characters, first in the order of their hash, are fitted, with their
 neighbouring text; the forest, its dictionary and its letter pairs come from them. All findings are
 scored.
@@ -50,8 +54,10 @@ MASK = "<SECRET>"
 _RUN = re.compile(r"[A-Za-z0-9_+/=\-]{12,}")
 _SET = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"',;<>]{6,})")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
-_KEY_WORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\w-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?$")
+_KEY_WORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|\bpw|secret|token|api[_-]?key|access[_-]?key|credential|auth)[\w-]*[\"']?(?:\s{0,3}[:=]|\s{1,3}is\b:?)\s{0,3}[\"']?$")
+_TOLD = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|\bpw|secret|token|api[_-]?key|access[_-]?key)\s{1,3}is\s{1,3}[\"']?([^\s\"',;<>]{6,})")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){0,2}|-----BEGIN")
+_SIGN = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ)")
 _PREFIX = ("AKIA", "ASIA", "gh", "xox", "sk_live_", "AIza", "eyJ")
 _LOGIN = re.compile(r"://[^\s/:@]*:([^\s/@]{6,})@")
 _LOGIN_LEFT = re.compile(r"://[^\s/:@]*:$")
@@ -98,6 +104,8 @@ def candidates(text: str | None) -> Iterator[tuple[int, int]]:
             elif _KEY_WORD.search(text, max(0, start - CONTEXT), start):
                 found.add((start, end))
         found.update(_parts(text, start, end))
+    if " is" in text or "\tis" in text:
+        found.update((m.start(1), m.end(1) - len(m[1]) + len(m[1].rstrip(".:?)"))) for m in _TOLD.finditer(text) if len(m[1].rstrip(".:?)")) >= 6)
     if "://" in text:
         found.update(m.span(1) for m in _LOGIN.finditer(text))
     if any(p in text for p in _PREFIX):
@@ -159,6 +167,11 @@ def harmless(value: str, left: str) -> bool:
     return bool(named or _UUID.fullmatch(value)) and not rule(value, left)
 
 
+def by_form(value: str, left: str, right: str) -> float:
+    """1 or 0 where the form alone decides, else nan."""
+    return 1.0 if certain(value, left, right) else 0.0 if harmless(value, left) else math.nan
+
+
 @dataclass
 class Forest:
     """Trees as arrays (feature, threshold, left, right, share of secrets) and what the features need."""
@@ -175,8 +188,12 @@ class Forest:
     def scores(self, values: list[str], lefts: list[str], rights: list[str]) -> np.ndarray:
         if not self.trees:
             return np.array([float(rule(*x)) for x in zip(values, lefts, rights, strict=True)])
+        form = np.array([by_form(*x) for x in zip(values, lefts, rights, strict=True)], float)
+        return np.where(np.isnan(form), self.shares(values, lefts, rights), form)
+
+    def shares(self, values: list[str], lefts: list[str], rights: list[str]) -> np.ndarray:
+        """What the trees alone say."""
         rows = self.features(values, lefts, rights)
-        clean = np.array([harmless(v, x) for v, x in zip(values, lefts, strict=True)], bool)
         total = np.zeros(len(rows))
         for feature, threshold, low, high, share in self.trees:
             node = np.zeros(len(rows), np.int64)
@@ -185,8 +202,7 @@ class Forest:
                 goes_low = rows[np.arange(len(rows)), feature[node]] <= threshold[node]
                 node = np.where(inner, np.where(goes_low, low[node], high[node]), node)
             total += share[node]
-        sure = np.array([certain(*x) for x in zip(values, lefts, rights, strict=True)], bool)
-        return np.where(sure, 1.0, np.where(clean, 0.0, total / len(self.trees)))
+        return total / len(self.trees)
 
 
 def _ordinary(text: str) -> list[str]:
@@ -215,7 +231,6 @@ def _features(value: str, left: str, right: str, pairs: dict[str, float], words:
         float(bool(_KEY_WORD.search(left))),
         float(any(k in near[0] or k in near[1] for k in ("pass", "secret", "token", "key", "auth"))),
         float(sum(w in words for w in beside)),
-        float(bool(_KNOWN.match(value))), float(rule(value, left, right)),
     ]
 
 
@@ -304,9 +319,10 @@ def weak_label(value: str, left: str, right: str = "") -> int | None:
 def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label`` by the candidate's form; where the form says nothing, no row.
 
-    A random secret has a second row whose ``left`` lacks the key word.
+    A random secret has a second row whose ``left`` lacks the key word; that of a known format lacks its prefix, too.
     """
-    kind = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("label", T.IntegerType())]))
+    kind = T.ArrayType(T.StructType([
+        T.StructField("value", T.StringType()), T.StructField("left", T.StringType()), T.StructField("label", T.IntegerType())]))
 
     @arrow_udf(kind)
     def label(values: pa.Array, lefts: pa.Array, rights: pa.Array) -> pa.Array:
@@ -315,15 +331,15 @@ def weak_labels(found: DataFrame) -> DataFrame:
         out = []
         for value, left, right in zip(values.to_pylist(), lefts.to_pylist(), rights.to_pylist(), strict=True):
             mine = weak_label(value, left, right)
-            rows = [] if mine is None else [{"left": left, "label": mine}]
-            bare = _KEY_WORD.sub("", left)
-            if mine and bare != left and mixed(value):
-                rows.append({"left": bare, "label": 1})
+            rows = [] if mine is None else [{"value": value, "left": left, "label": mine}]
+            bare, core = _KEY_WORD.sub("", left), _SIGN.sub("", value) if _KNOWN.match(value) else value
+            if mine and (bare != left or core != value) and mixed(core):
+                rows.append({"value": core, "left": bare, "label": 1})
             out.append(rows)
         return pa.array(out, to_arrow_type(kind))
 
     given = found.withColumn("_l", F.explode(label("value", "left", "right")))
-    return given.withColumns({"left": F.col("_l.left"), "label": F.col("_l.label")}).drop("_l")
+    return given.withColumns({"value": F.col("_l.value"), "left": F.col("_l.left"), "label": F.col("_l.label")}).drop("_l")
 
 
 def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> Forest:
@@ -338,13 +354,19 @@ def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> Forest:
 
 
 def judge(found: DataFrame, forest: Forest) -> DataFrame:
-    """``found`` with ``score`` and ``is_secret``."""
+    """``found`` with ``score``, ``is_secret`` and ``by_form``: whether the form alone decided."""
 
     @pandas_udf(T.DoubleType())
     def score(values: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.Series:
         return pd.Series(forest.scores(list(values), list(lefts), list(rights)), dtype="float64")
 
-    return found.withColumn("score", score("value", "left", "right")).withColumn("is_secret", F.col("score") >= 0.5)
+    @pandas_udf(T.BooleanType())
+    def formal(values: pd.Series, lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([not math.isnan(by_form(*x)) for x in zip(values, lefts, rights, strict=True)], dtype=bool)
+
+    return found.withColumns({
+        "score": score("value", "left", "right"), "by_form": formal("value", "left", "right"),
+    }).withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def secrets_of(text: str | None, forest: Forest) -> list[dict]:

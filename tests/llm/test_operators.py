@@ -265,6 +265,25 @@ def test_lines_keep_good_documents(spark, more):
     assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.95
 
 
+def test_mixed_texts_are_split_at_the_right_line(spark):
+    """Halves and alternating lines, of held-out texts; many texts have lines of both labels."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    field = lines.train(docs, labels)
+    prose = ["The committee met in the old hall and spoke about the new bridge for three hours.",
+             "Most of the members wanted a wider road, but the costs were too high for the town."] * 5
+    poor = ["click here!!! $$$ WIN >>> 100% free <<< $$$", "$$$ BUY NOW !!! ### best *** price $$$ 99% off"] * 5
+    poor = [f"{line} {i}" for i, line in enumerate(poor)]
+    prose = [f"{line} That was {i} years ago." for i, line in enumerate(prose)]
+    assert field.decode(lines.read("\n".join(prose + poor)).features).tolist() == [True] * 10 + [False] * 10
+    assert field.decode(lines.read("\n".join(poor + prose)).features).tolist() == [False] * 10 + [True] * 10
+    mixed = [x for pair in zip(prose, poor, strict=True) for x in pair]
+    assert field.decode(lines.read("\n".join(mixed)).features).tolist() == [True, False] * 10
+    found = lines.judge(docs, field).where("n_lines > 1").select("content_share", "n_lines", "content_lines").collect()
+    assert any(0 < r["content_lines"] < r["n_lines"] for r in found)
+    assert (np.abs(field.move) < 6).all()
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = toxicity.fit(["bad x y", "good z w"] * 8, [1, 0] * 8)
@@ -341,6 +360,38 @@ def test_random_values_without_a_key_word_are_no_negatives(spark):
     assert hidden == {i: t.format(secrets.MASK) for i, t in tests.items()} | dict(clean)
 
 
+def test_the_forest_is_better_than_the_rule_on_held_out_findings():
+    """Labelled findings of known truth: secrets with and without a key word, and values set to key words that are none."""
+    rng = random.Random(8)
+    key = lambda k=32, a="abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789": "".join(rng.choices(a, k=k))
+    name = lambda: "-".join(rng.choices(WORDS, k=3)) + str(rng.randrange(2000, 2030))
+    made = []
+    for _ in range(600):
+        made += [(key(), "my token = ", " and", 1), (key(), f"header {rng.choice(WORDS)} ", " sent", 1), (key(24), "use ", " there", 1),
+                 (name(), "token: ", " chosen", 0), (name(), f"see {rng.choice(WORDS)} ", " page", 0),
+                 (f"/srv/{rng.choice(WORDS)}/{rng.choice(WORDS)}_{rng.randrange(10**6)}.txt", "password = ", " file", 0),
+                 (str(rng.randrange(10**13, 10**16)), "number ", " paid", 0)]
+    rng.shuffle(made)
+    fitted, held = made[:2000], made[2000:]
+    forest = secrets.fit(*map(list, zip(*fitted, strict=True)))
+    truth = np.array([r[3] for r in held])
+    votes = {"rule": np.array([secrets.rule(*r[:3]) for r in held]), "forest": forest.scores(*[[r[i] for r in held] for i in range(3)]) >= 0.5}
+    precision = {k: truth[v].mean() for k, v in votes.items()}
+    recall = {k: v[truth == 1].mean() for k, v in votes.items()}
+    assert (votes["rule"] != votes["forest"]).mean() > 0.1
+    assert precision["forest"] > 0.97 > precision["rule"] and recall["forest"] > 0.97 > recall["rule"]
+
+
+def test_told_passwords_and_known_formats_without_their_prefix(spark):
+    told = {"my password is Tr0ub4dor&3x!": "Tr0ub4dor&3x!", "pw: hunter2hunter2 ok": "hunter2hunter2", "the token is: a1b2c3d4e5f6g7h8": "a1b2c3d4e5f6g7h8"}
+    for text, value in told.items():
+        assert any(f["value"] == value and secrets.rule(value, f["left"], f["right"]) for f in secrets.scan(text)), text
+    assert not any(secrets.rule(f["value"], f["left"]) for f in secrets.scan("a password is required here, and the token is expired."))
+    row = [(1, "AKIA" + "Q2W3E4R5T6Y7U8I9", "secret = ", " x")]
+    labelled = secrets.weak_labels(spark.createDataFrame(row, "id long, value string, left string, right string"))
+    assert {(r["value"], r["left"]) for r in labelled.collect()} == {(row[0][1], "secret = "), ("Q2W3E4R5T6Y7U8I9", "")}
+
+
 def test_secrets_inside_addresses_and_forms(spark):
     rng = random.Random(6)
     key = lambda k=40: "".join(rng.choices("abcdef0123456789", k=k))
