@@ -279,7 +279,10 @@ _VERDICT = T.StructType([
 
 
 def judge(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base statistics, the verdict and the lines' labels in place of the text."""
+    """``docs`` with the base statistics, the verdict and the lines' labels in place of the text.
+
+    Columns of ``docs`` with these names are replaced.
+    """
 
     @arrow_udf(_VERDICT)
     def verdict(texts: pa.Array) -> pa.Array:
@@ -295,5 +298,5 @@ def judge(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         return pa.StructArray.from_arrays(columns, names=_VERDICT.names)
 
-    out = docs.withColumn("_verdict", verdict(F.col(f"`{text_col}`").cast("string"))).drop(text_col)
+    out = docs.withColumn("_verdict", verdict(F.col(f"`{text_col}`").cast("string"))).drop(text_col, *_VERDICT.names)
     return out.select("*", "_verdict.*").drop("_verdict")

@@ -2,11 +2,13 @@
 
 1. Count the rows of every input partition (the driver receives one number per partition).
 2. Draw how many rows each partition sends to each shard from the multivariate hypergeometric
-   distribution; all column sums are the exact shard sizes, at most one row apart.
+   distribution; all column sums are the exact shard sizes, at most one row apart. The draw goes down a binary tree over
+   the partitions, with a seed per node, so a task draws its own row of the matrix from the counts alone and
+   the whole matrix is nowhere.
 3. Each partition permutes its share of shard labels over its rows and draws a random key per row.
 4. One exchange by (shard, range of keys) brings the rows together; their order by key is the second
-   permutation. The sizes of the ranges follow from the seed and the counts alone, so they are
-   summed without reading a row again, and a row's slot is its range's start plus its rank there.
+   permutation. The sizes of the ranges follow from the seed and the counts alone, so Spark sums them
+   without reading a row again, and a row's slot is its range's start plus its rank there.
 
 A range holds about ``RANGE_ROWS`` rows whatever the input, so no task sorts a whole shard. All
 draws depend on (seed, partition) only: a task that runs again gives the same rows the same places.
@@ -23,13 +25,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerkit.operators.ordered import with_running
+from ledgerkit.session import settle
+
 RANGE_ROWS = 20_000
 BLOCK = 65_536  # rows whose labels are drawn together
 
@@ -39,15 +43,21 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (k < rows % shards) for k in range(shards)], np.int64)
 
 
-def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Row p: how many of partition p's rows go to each shard. Exact row and column sums."""
-    rng = np.random.Generator(np.random.PCG64([seed, 0]))
-    left = sizes.copy()
-    out = np.zeros((len(counts), len(sizes)), np.int64)
-    for p, n in enumerate(counts):
-        out[p] = draw(rng, left, n)
-        left -= out[p]
-    return out
+def matrix_row(before: np.ndarray, sizes: np.ndarray, seed: int, partition: int) -> np.ndarray:
+    """How many of a partition's rows go to each shard. ``before`` has the rows before each partition, and all rows last.
+
+    Each node of the tree splits its rows of every shard between its halves.
+    """
+    low, high, left = 0, len(before) - 1, sizes.copy()
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, 0, low, high]))
+        first = draw(rng, left, int(before[middle] - before[low]))
+        if partition < middle:
+            high, left = middle, first
+        else:
+            low, left = middle, left - first
+    return left
 
 
 def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
@@ -86,39 +96,32 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, range_rows: int = RANGE_R
     spark = df.sparkSession
     counted = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     total = sum(r["count"] for r in counted)
-    counts = [0] * (max((r["p"] for r in counted), default=-1) + 1)
+    # One number per partition; the tasks get this list and nothing else.
+    n_parts = max((r["p"] for r in counted), default=-1) + 1
+    counts = np.zeros(n_parts, np.int64)
     for r in counted:
         counts[r["p"]] = r["count"]
-    matrix = communication_matrix(counts, shard_sizes(total, shards), seed)
+    before, whole = np.concatenate([[0], np.cumsum(counts)]), shard_sizes(total, shards)
     ranges = max(1, -(-total // shards // range_rows))
+    sent = spark.sparkContext.broadcast(before)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                for labels, keys in assignments(matrix_row(sent.value, whole, seed, p), seed, p):
+                    used, n = np.unique(labels.astype(np.int64) * ranges + range_of(keys, ranges), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["_range", "n"])
+
+    drawn = spark.range(0, n_parts, 1, max(1, min(n_parts, 200))).mapInArrow(sizes, "_range long, n long")
+    per_range = settle(drawn.groupBy("_range").agg(F.sum("n").alias("n")).withColumn("_of", F.floor(F.col("_range") / ranges)))
+    start = settle(with_running(per_range, ["_of"], ["_range"], {"_upto": F.col("n")}).select(
+        "_range", (F.col("_upto") - F.col("n")).alias("_start")))
 
-    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = np.zeros(shards * ranges, np.int64)
-            for p, row in zip(part["p"], part["row"], strict=True):
-                for labels, keys in assignments(np.asarray(row, np.int64), seed, int(p)):
-                    out += np.bincount(labels * ranges + range_of(keys, ranges), minlength=len(out))
-            used = np.flatnonzero(out)
-            yield pd.DataFrame({"_range": used, "n": out[used]})
-
-    partitions = [(p, row.tolist()) for p, row in enumerate(matrix) if row.any()]
-    rows = spark.createDataFrame(partitions, "p int, row array<long>")
-    sums = rows.repartition(max(1, min(len(partitions), 200)), "p").mapInPandas(sizes, "_range long, n long")
-    n_of = {r["_range"]: r["n"] for r in sums.groupBy("_range").agg(F.sum("n").alias("n")).collect()}
-    starts, at = [], 0
-    for r in range(shards * ranges):
-        at = 0 if r % ranges == 0 else at
-        starts.append((r, at))
-        at += n_of.get(r, 0)
-
-    # The matrix goes to the tasks once per executor: partitions times shards numbers.
-    sent = spark.sparkContext.broadcast(matrix)
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL("shard int, _range long, _key long").fields])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
-        known = sent.value
-        row = known[p] if p < len(known) else np.zeros(shards, np.int64)
+        row = matrix_row(sent.value, whole, seed, p) if p < n_parts else np.zeros(shards, np.int64)
         blocks = assignments(row, seed, p)
         labels, keys = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
@@ -137,9 +140,8 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, range_rows: int = RANGE_R
 
     placed = df.mapInArrow(place, schema)
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    start = spark.createDataFrame(starts, "_range long, _start long")
     return (
-        placed.withColumn("_rank", rank).join(F.broadcast(start) if len(starts) <= 1_000_000 else start, "_range")
+        placed.withColumn("_rank", rank).join(F.broadcast(start) if shards * ranges <= 1_000_000 else start, "_range")
         .withColumn("slot", F.col("_start") + F.col("_rank") - 1)
         .select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -202,13 +203,33 @@ def test_shards_are_exact_and_uniform(spark, sf):
 def test_communication_matrix_sums():
     counts = [0, 5, 17, 100, 1]
     sizes = shards.shard_sizes(sum(counts), 5)
-    matrix = shards.communication_matrix(counts, sizes, 3)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    matrix = np.array([shards.matrix_row(before, sizes, 3, p) for p in range(len(counts))])
     assert matrix.sum(1).tolist() == counts and matrix.sum(0).tolist() == sizes.tolist()
     for p, row in enumerate(matrix):
         labels = np.concatenate([b[0] for b in shards.assignments(row, 3, p)] or [np.zeros(0, int)])
         assert np.bincount(labels, minlength=5).tolist() == row.tolist()
 
 
+def test_matrix_rows_follow_the_hypergeometric_law():
+    counts, sizes = [3, 5, 4], np.array([4, 4, 4])
+    before = np.concatenate([[0], np.cumsum(counts)])
+    drawn = np.array([[shards.matrix_row(before, sizes, seed, p) for p in range(3)] for seed in range(3000)])
+    for p, n in enumerate(counts):
+        share = [math.comb(4, k) * math.comb(8, n - k) / math.comb(12, n) for k in range(min(4, n) + 1)]
+        for shard in range(3):
+            seen = np.bincount(drawn[:, p, shard], minlength=len(share)) / 3000
+            assert np.abs(seen - share).max() < 0.035
+
+
+def test_a_shuffle_over_many_forced_ranges(spark):
+    df = spark.range(0, 5000, 1, 6)
+    rows = shards.shuffle(df, 3, 1, range_rows=1).collect()
+    for k in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+    assert sorted(r["id"] for r in rows) == list(range(5000))
+
+
 # Lines ----------------------------------------------------------------------------------------
 
 def base(text):
