@@ -257,8 +257,7 @@ def consume_changes(
     """
     spark = feed.sparkSession
 
-    def note(run: int, lo: int, hi: int, state: str) -> None:
-        count = feed.filter(F.col("seq").between(lo, hi)).count()
+    def note(run: int, lo: int, hi: int, state: str, count: int) -> None:
         row = spark.createDataFrame([(run, lo, hi, state, count, now or datetime.now())], LOG_SCHEMA)
         row.coalesce(1).write.mode("overwrite").parquet(f"{state_path}/run={run:08d}/state={state}")
 
@@ -266,7 +265,7 @@ def consume_changes(
     finished = log.filter("state = 'DONE'")
     open_ = log.filter("state = 'PLANNED'").join(finished.select("run"), "run", "left_anti").first()
     if open_:
-        run, lo, hi = open_["run"], open_["first_seq"], open_["last_seq"]
+        run, lo, hi, count = open_["run"], open_["first_seq"], open_["last_seq"], open_["rows"]
     else:
         seen = finished.agg(F.max("run").alias("r"), F.max("last_seq").alias("s")).first()
         top = feed.agg(F.max("seq")).first()[0]
@@ -275,7 +274,8 @@ def consume_changes(
         run = (seen["r"] or 0) + 1
         lo = feed.agg(F.min("seq")).first()[0] if seen["s"] is None else seen["s"] + 1
         hi = top
-        note(run, lo, hi, "PLANNED")
+        count = feed.filter(F.col("seq").between(lo, hi)).count()
+        note(run, lo, hi, "PLANNED", count)
     fn(all_changes(feed, lo, hi), run)
-    note(run, lo, hi, "DONE")
+    note(run, lo, hi, "DONE", count)
     return read_log(spark, state_path)

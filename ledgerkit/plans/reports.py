@@ -68,6 +68,8 @@ def _total(name: str = "amount") -> Column:
 
 # Monthly and top-client reports
 
+HEAD_LIMIT = 100_000
+
 def movement_report(bank: Bank, lo, hi) -> DataFrame:
     """Completed movements per client, account and type in a period."""
     done = bank.tx.filter(p.in_range("ts", lo, hi) & (F.col("state") == DONE))
@@ -125,8 +127,10 @@ def _head(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest of all (settled) report rows, with ranking, shares, gap and category.
 
     All of these follow from the head itself, the number and sum of all rows, and the number of
-    rows that tie with the head's last; so no window runs over more than ``n`` rows.
+    rows that tie with the head's last; so no window runs over more than ``n`` rows, ``HEAD_LIMIT`` at most.
     """
+    if n > HEAD_LIMIT:
+        raise ValueError(f"a report of more than {HEAD_LIMIT} rows is a table: use ordered.with_ranks")
     head = settle(rows.orderBy(F.desc("amount"), "client_id").limit(n))
     ends = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("total"))
     last = head.agg(F.min("amount").alias("last")).scalar()
