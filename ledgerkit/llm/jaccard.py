@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import chunks
+from ledgerkit.llm.common import chunks, frugal
 from ledgerkit.session import discard, settle
 
 GRAM, PERCENT = 5, 75
@@ -108,7 +108,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 ["doc", "sid", "ref", "n"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, sid binary, ref long, n long")
+    return docs.mapInArrow(frugal(run, _words), f"doc {kind}, sid binary, ref long, n long")
 
 
 def shared_counts(docs: DataFrame, total: int, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def shared_counts(docs: DataFrame, total: int, percent: int) -> DataFrame:
         return pa.table({"ref": np.concatenate([refs, *[k[0] for k in known]]),
                          "shared": np.concatenate([n.astype(np.int64), *[k[1] for k in known]])})
 
-    rows = docs.select("text").mapInArrow(prefixes, "bucket long, grams binary, refs binary")
+    rows = docs.select("text").mapInArrow(frugal(prefixes, _words), "bucket long, grams binary, refs binary")
     return rows.groupBy("bucket").applyInArrow(count, "ref long, shared long").groupBy("ref").agg(
         F.sum("shared").alias("shared"))
 
@@ -201,7 +201,7 @@ def load_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array([k[0] for k in keep], pa.int64()), pa.array([len(k[1]) for k in keep], pa.int64()),
                      pa.array([k[1].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["id", "n", "grams"])
 
-    return rows.mapInArrow(run, "id long, n long, grams array<long>")
+    return rows.mapInArrow(frugal(run, _words), "id long, n long, grams array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
