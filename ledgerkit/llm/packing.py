@@ -23,7 +23,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerkit.llm.common import chunks
+from ledgerkit.llm.common import chunks, frugal
 
 WINDOW = 4096
 END_ID = 2
 OPEN_TOKENS = 4 << 20  # ids held in open windows before they are closed
-CACHED_WORDS = 250_000  # pieces whose ids a Python worker remembers
+CACHED_WORDS = 200_000  # pieces whose ids a Python worker remembers
+PIECES_AT_ONCE = 2_000
 # White space that Python and the tokenizer see differently.
 _OTHER_SPACE = bytes(range(0x1C, 0x20))
 # The vocabulary's own split into pieces, for Latin-1 text in lower case (numbers are single signs).
@@ -64,6 +64,9 @@ class WordTokenizer:
         spec["pre_tokenizer"] = next(
             p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.pieces = Tokenizer.from_str(json.dumps(spec))
+        suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._clear()
 
     @cached_property
@@ -77,32 +80,56 @@ class WordTokenizer:
         self.codes: dict[str, int] = {}  # number of a piece; its ids are in flat, from starts, sizes long
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)  # met in a later call than the one that learnt it
+
+    def trim(self) -> None:
+        """Forget the pieces that were not met again since the last time; the frequent ones stay."""
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > CACHED_WORDS:
+            keep = keep[:0]
+        names, sizes, starts, flat = list(self.codes), self.sizes[keep], self.starts[keep], self.flat
+        self._clear()
+        self.sizes, self.starts, self.used = sizes, np.cumsum(sizes) - sizes, int(sizes.sum())
+        at = np.arange(self.used) + np.repeat(starts - self.starts, sizes)
+        self.flat[:self.used] = flat[at]
+        self.codes = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.again = np.zeros(len(keep), bool)
 
     def _learn(self, pieces: list[str]) -> None:
         """Give numbers to the pieces without one."""
         new = list(set(pieces).difference(self.codes))
         if not new:
             return
-        ids = [e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, sizes = [], []
+        for at in range(0, len(new), PIECES_AT_ONCE):  # one call for many pieces, each a word of its own
+            part = new[at:at + PIECES_AT_ONCE]
+            found = self.pieces.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found[0].ids, np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.last[ids[-1]]), prepend=-1))
+            if len(sizes[-1]) != len(part):
+                raise ValueError("a piece does not end with an end of word")
+        sizes = np.concatenate(sizes)
         total = int(sizes.sum())
-        while self.used + total > len(self.flat):
+        while self.used + total > len(self.flat):  # a trimmed table may start fuller than a new one
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.concatenate(ids)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         self.used += total
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit arrays."""
         if len(self.codes) > CACHED_WORDS:
-            self._clear()
+            self.trim()
         plain = [bool(t) and _plain_path(t) for t in texts]
         split = [_PIECES.findall(t.lower()) if t and not p else [] for t, p in zip(texts, plain, strict=True)]
         words = [w for s in split for w in s]
+        known = len(self.codes)
         self._learn(words)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        self.again[codes[codes < known]] = True
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         first = np.repeat(self.starts[codes] - (ends - sizes), sizes)
@@ -217,7 +244,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     source = df.select(F.col(id_col), F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
+        tokenizer = tokenizer_of(path)  # trimmed at the end, so the process keeps only frequent pieces
         base = TaskContext.get().partitionId() << 40
         id_type = [pa.int64()]
 
@@ -253,5 +280,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
                 rows, held = [], 0
         if rows:
             yield batch()
+        tokenizer.trim()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
