@@ -6,13 +6,14 @@ Equal sets become one class first, so copies cost nothing further. Then:
 2. Sorted orders. A tree's order is that of its sequences; sets that share their first ``MIN_DEPTH`` values are a
    region. Two sets of similarity 0.8 share none of the 24 regions with a chance of 3e-8.
 3. Candidates. First each set and the neighbour before it, which has the longest common prefix, in a few trees; links
-   form components, and from then on only sets of different components are compared. Then all trees: a region
-   of up to ``REGION`` sets is compared as it is, a larger one goes deeper, value by value, until its
-   parts are that small; in what stays large neighbours and the smallest set are compared.
+   form components, and from then on only sets of different components are compared. Regions above ``REGION`` sets
+   are then compared with a hub, the set that has the commonest value in most places, in turns over the trees
+   while that brings links. Then all trees: a region of up to ``REGION`` sets is compared as it is, a larger one goes
+   deeper, value by value, until its parts are that small; what stays large is compared with its hub and neighbours.
 4. Verification. Pairs whose signatures differ by more than six standard deviations from what a link allows go;
    of the others the common grams are counted on the full sets.
-5. Rest. Larger regions go through further rounds while that brings links. Members of those that still hold
-   several components are joined exactly (prefixes in the order of rarity, ``jaccard.link``). So no region is capped.
+5. Rest. Members of larger regions that still hold several components are joined exactly, on a gram of their
+   prefixes in the order of rarity; by ``jaccard.link`` where that would compare too much. So no region is capped.
 
 Words are runs of anything but space and U+0009 to U+000D, with A-Z in lower case; grams are hashed to
 64 bits. Defined results: null and empty texts have no grams and no links; fewer words than a gram
@@ -31,16 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import chunks
-from ledgerkit.llm.jaccard import components, gram_sets
+from ledgerkit.llm.common import chunks, frugal
+from ledgerkit.llm.jaccard import _words, gram_sets
+from ledgerkit.llm.jaccard import components as star_components
 from ledgerkit.llm.jaccard import link as exact_links
 from ledgerkit.session import discard, settle
 
 GRAM, PERCENT = 4, 80
 TREES, DEPTH, MIN_DEPTH = 24, 8, 3
+REST = DEPTH - MIN_DEPTH
 NEAR_TREES = 3  # orders whose neighbours are compared first
 REGION = 24  # sets that are compared pair by pair
 BLOCK_ROWS = 20_000  # rows of a region that one task sorts; more are cut by their whole sequence
+HUB_TURNS = 3  # parts of the trees that take turns
+FEW_ROWS = 1_000_000  # rows of some 40 bytes that may be broadcast; beyond, both sides are shuffled
+PART_EDGES = 500_000  # links that one task contracts
+PAIRS_PER_ROW = 20  # comparisons per prefix row beyond which the rest is left to ``jaccard.link``
 SLACK = 6  # standard deviations of the signatures' estimate
 _BLOCK = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +63,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     grams = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     cuts = np.union1d(starts, np.arange(0, len(grams), _BLOCK))  # pieces of sets
     minima = np.empty((len(cuts), len(_FACTORS)), np.uint32)
-    for at in range(0, len(grams), _BLOCK):
+    for at in range(0, len(grams), _BLOCK):  # the hashes of a block stay in the processor's cache
         first, last = np.searchsorted(cuts, (at, at + _BLOCK))
         hashed = (grams[at:at + _BLOCK] ^ _SHIFTS) * _FACTORS
         minima[first:last] = np.minimum.reduceat(hashed, cuts[first:last] - at, axis=1).T
@@ -90,11 +97,14 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                     ["doc", "sid", "n", "signature"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, sid binary, n long, signature binary")
+    return docs.mapInArrow(frugal(run, _words), f"doc {kind}, sid binary, n long, signature binary")
 
 
 def forest(classes: DataFrame, with_rows: bool = True) -> DataFrame:
-    """The regions of all classes (id, n, signature); with rows (region, id, n, tree, seq), seq is the tree's sequence."""
+    """The regions of all classes (id, n, signature); with rows (region, id, n, seq).
+
+    A region's number ends with its tree (five bits); seq is the rest of the tree's sequence.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,47 +114,60 @@ def forest(classes: DataFrame, with_rows: bool = True) -> DataFrame:
             for d in range(MIN_DEPTH):
                 region = (region ^ values[:, :, d].astype(np.uint64)) * _MIX
                 region = region ^ (region >> np.uint64(29))
+            region = (region & ~np.uint64(31)) | np.arange(TREES, dtype=np.uint64)
             keys = pa.array(region.view(np.int64).ravel())
             if not with_rows:
                 yield pa.RecordBatch.from_arrays([keys], ["region"])
                 continue
             ids, n = (np.repeat(batch.column(c).to_numpy(), TREES) for c in (0, 1))
-            trees = np.tile(np.arange(TREES, dtype=np.int32), len(values))
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(ids), pa.array(n), pa.array(trees), _fixed(values.reshape(-1, DEPTH))],
-                ["region", "id", "n", "tree", "seq"])
+            rest = np.ascontiguousarray(values[:, :, MIN_DEPTH:]).reshape(-1, REST)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids), pa.array(n), _fixed(rest)], ["region", "id", "n", "seq"])
+
+    columns = "region long, id long, n long, seq binary" if with_rows else "region long"
+    return classes.select("id", "n", "signature").mapInArrow(frugal(run), columns)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Marked for broadcast when it is small; ``df`` is settled, so counting it costs nothing."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
-    columns = "region long, id long, n long, tree int, seq binary" if with_rows else "region long"
-    return classes.select("id", "n", "signature").mapInArrow(run, columns)
 
+def _hub(seq: np.ndarray) -> int:
+    """The row that has the commonest value in most places."""
+    score = np.zeros(len(seq), np.int64)
+    for column in seq.T:
+        values, at, times = np.unique(column, return_inverse=True, return_counts=True)
+        score += at == np.argmax(times)
+    return int(np.argmax(score))
 
-def _region_pairs(seq: np.ndarray, n: np.ndarray, comp: np.ndarray, near: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _region_pairs(seq: np.ndarray, comp: np.ndarray, how: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows to compare in one region, whose rows lie in the order of their sequences."""
-    size = len(n)
-    open_parts = [(0, size, MIN_DEPTH)]
+    open_parts = [(0, len(comp), 0)]
     while open_parts:
         start, end, depth = open_parts.pop()
         m = end - start
         if m < 2 or (comp[start:end] == comp[start]).all():
             continue
-        if near or m > REGION:
+        small = m <= REGION
+        if how == "near" or (not small and depth == 0):
             yield np.arange(start, end - 1), np.arange(start + 1, end)
-        if near:
+        if how == "near" or (how == "hub" and small):
             continue
-        if m <= REGION:
+        if small:
             a, b = np.triu_indices(m, 1)
             yield a + start, b + start
             continue
-        smallest = start + int(np.argmin(n[start:end]))
-        yield np.full(m, smallest), np.arange(start, end)
-        if depth < DEPTH:
+        if how == "hub" or depth == REST:
+            yield np.full(m, start + _hub(seq[start:end])), np.arange(start, end)
+        if depth < REST:
             values = seq[start:end, depth]
             cuts = start + np.flatnonzero(values[1:] != values[:-1]) + 1
             open_parts += [(a, b, depth + 1) for a, b in zip([start, *cuts], [*cuts, end], strict=True)]
 
 
-def candidates(rows: DataFrame, near: bool, turn: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of the rows (region, id, n, comp, seq, m)."""
+def candidates(rows: DataFrame, how: str, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of the rows (region, id, n, comp, seq, m), by neighbours ("near"), hubs ("hub") or "all"."""
     # A region beyond what a task should sort is cut: by its whole sequence, by turns with random blocks.
     blocks = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("m") / BLOCK_ROWS))
     part = F.when(F.col("m") <= BLOCK_ROWS, F.col("region")).otherwise(
@@ -157,11 +180,11 @@ def candidates(rows: DataFrame, near: bool, turn: int, percent: int) -> DataFram
             table = pa.Table.from_batches(held)
             held.clear()
             key, ids, n, comp = (table.column(c).to_numpy() for c in ("part", "id", "n", "comp"))
-            seq = np.frombuffer(b"".join(table.column("seq").to_pylist()), ">u4").reshape(-1, DEPTH)
+            seq = np.frombuffer(b"".join(table.column("seq").to_pylist()), ">u4").reshape(-1, REST)
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             found = [np.zeros((2, 0), np.int64)]
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                for a, b in _region_pairs(seq[s:e], n[s:e], comp[s:e], near):
+                for a, b in _region_pairs(seq[s:e], comp[s:e], how):
                     a, b = a + s, b + s
                     fits = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                     found.append(np.stack([ids[a[fits]], ids[b[fits]]]))
@@ -183,14 +206,19 @@ def candidates(rows: DataFrame, near: bool, turn: int, percent: int) -> DataFram
             yield flush()
 
     ordered = rows.select(part.alias("part"), "id", "n", "comp", "seq").repartition("part").sortWithinPartitions("part", "seq", "id")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(frugal(run), "a long, b long").distinct()
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose signatures do not rule out a link."""
     j, k = percent / 100, TREES * DEPTH
     least = j * k - SLACK * (j * (1 - j) * k) ** 0.5
-    one, other = (classes.select(F.col("id").alias(x), F.col("signature").alias(f"signature_{x}")) for x in ("a", "b"))
+    known = classes.join(few(_ids(pairs)), "id", "left_semi")
+    one, other = (known.select(F.col("id").alias(x), F.col("signature").alias(f"signature_{x}")) for x in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +226,14 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array((left == right).sum(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "signature_a", "signature_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, n, grams) of the classes in ``wanted`` (id, sid, rep), read from the rows that stand for them."""
-    rows = docs.join(wanted.withColumnRenamed("rep", "doc"), "doc").select("id", "sid", "text")
+def load_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, n, grams) of the classes in ``ids``, read from the rows that stand for them; settled."""
+    wanted = settle(classes.join(few(ids), "id", "left_semi").select("id", "sid", F.col("rep").alias("doc")))
+    # Few are found while the texts are read, so the texts are not shuffled.
+    rows = docs.join(few(wanted), "doc").select("id", "sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +244,10 @@ def load_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     [pa.array([k[0] for k in keep], pa.int64()), pa.array([len(k[1]) for k in keep], pa.int64()),
                      pa.array([k[1].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["id", "n", "grams"])
 
-    # Repeated rows and texts under one id give a set once or not at all.
-    return rows.mapInArrow(run, "id long, n long, grams array<long>").dropDuplicates(["id"])
+    sets = settle(rows.mapInArrow(frugal(run, _words), "id long, n long, grams array<long>"))
+    if sets.count() > wanted.count():  # repeated rows
+        sets = settle(sets.dropDuplicates(["id"]))
+    return sets
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,24 +259,90 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some links, and the smallest node that each reaches over them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, low[x], least)
+        np.minimum.at(new, low[y], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp): the smallest id reachable over the links (a, b).
+
+    Tasks of up to ``PART_EDGES`` links contract what they hold, so the rounds over all of them start from
+    short paths; links that fit one such task need no rounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, comp = contract(held.column("a").to_numpy(), held.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp)], ["id", "comp"])
+
+    parts = -(-links.count() // PART_EDGES)
+    found = settle(links.select("a", "b").repartition(max(1, parts)).mapInArrow(frugal(run), "id long, comp long"))
+    return found if parts <= 1 else star_components(found.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+
+
+def rare_pairs(sets: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame | None:
+    """Pairs of different components that share a gram of their prefixes, rarest first; None where they would be too many.
+
+    Two linked sets share one of the first n - ceil(t n) + 1 grams in any common order.
+    """
+    rows = sets.select("id", "n", F.explode("grams").alias("gram"))
+    counts = settle(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    need = ((percent * F.col("n") + 99 - (percent * F.col("n") + 99) % 100) / 100).cast("int")
+    shared = rows.join(counts, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    # Grams of one set only come first in the order and cannot be shared, so they only shorten the prefix.
+    prefix = shared.where(F.size("g") >= need).select("id", "n", F.explode(F.slice("g", F.lit(1), F.size("g") - need + 1)).alias("g"))
+    prefix = prefix.select("id", "n", F.col("g.gram").alias("gram"), F.col("id").alias("comp"))
+    if comps is not None:
+        named = comps.select("id", F.col("comp").alias("of"))
+        prefix = prefix.join(few(named), "id", "left").withColumn("comp", F.coalesce("of", "comp")).drop("of")
+    prefix = settle(prefix)
+    per = prefix.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = settle(per.groupBy("gram").agg(
+        F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select(
+            "gram", "m", F.col("top.comp").alias("top"), F.col("top.c").alias("c")))
+    work = several.agg(F.sum((F.col("m") - F.col("c")) * F.col("m").cast("double"))).first()[0] or 0.0
+    if work > PAIRS_PER_ROW * prefix.count():
+        return None
+    open_ = settle(prefix.join(several.select("gram", "top"), "gram"))
+    x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
+    fits = (F.col("x.comp") != F.col("y.comp")) & (
+        100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def link(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(id, comp) of the classes that link with another; None without any."""
     shared = settle(forest(classes, with_rows=False).groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    rows = settle(forest(classes).join(shared, "region"))
-    links, comps = None, None
+    rows = settle(forest(classes).join(few(shared), "region"))
+    tree = F.col("region").bitwiseAND(31)
+    comps = None
 
     def add(pairs: DataFrame) -> bool:
-        nonlocal links, comps
+        """Confirm pairs; whether that brought links."""
+        nonlocal comps
         pairs = settle(likely(settle(pairs), classes, percent))
-        needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-        sets = settle(load_sets(docs, settle(classes.join(needed, "id", "left_semi").select("id", "sid", "rep")), size))
+        sets = load_sets(docs, classes, _ids(pairs), size)
         found = settle(confirm(pairs, sets, percent))
         discard(sets)
         if found.isEmpty():
             return False
         # Old links count by their components only.
         known = found if comps is None else found.unionAll(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        links, comps = found, settle(components(known))
+        comps = settle(components(settle(known)))
         return True
 
     def open_rows(of: DataFrame) -> DataFrame:
@@ -252,24 +350,28 @@ def link(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFr
         named = of.drop("comp")
         if comps is None:
             return named.withColumn("comp", F.col("id"))
-        named = settle(named.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-        several = settle(named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("region"))
-        return settle(named.join(several, "region"))
-
-    add(candidates(open_rows(rows.where(F.col("tree") < NEAR_TREES)), True, 0, percent))
-    rest, turn, going = open_rows(rows), 0, True
-    while going:
-        going = add(candidates(rest, False, turn, percent)) and not rest.isEmpty()
-        rest, turn = open_rows(rest.where(F.col("m") > REGION)), turn + 1
-        going = going and not rest.isEmpty()
-    left = settle(rest.select("id").distinct())
+        named = settle(named.join(few(comps), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        several = named.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        return settle(named.join(few(settle(several.select("region"))), "region"))
+
+    add(candidates(open_rows(rows.where(tree < NEAR_TREES)), "near", 0, percent))
+    rest = open_rows(rows)
+    for turn in range(HUB_TURNS):
+        large = rest.where((F.col("m") > REGION) & (tree % HUB_TURNS == turn))
+        if large.isEmpty() or not add(candidates(large, "hub", turn, percent)):
+            break
+        rest = open_rows(rest)
+    add(candidates(rest, "all", 0, percent))
+    left = settle(open_rows(rest.where(F.col("m") > REGION)).select("id").distinct())
     if not left.isEmpty():
-        sets = settle(load_sets(docs, settle(classes.join(left, "id", "left_semi").select("id", "sid", "rep")), size))
-        found = exact_links(sets, percent)
-        both = found.select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        if comps is not None:
-            both = both.unionAll(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        comps = settle(components(both))
+        sets = load_sets(docs, classes, left, size)
+        pairs = rare_pairs(sets, comps, percent)
+        if pairs is not None:
+            found = confirm(settle(likely(settle(pairs), classes, percent)), sets, percent)
+        else:
+            found = exact_links(sets, percent).select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        known = found if comps is None else found.unionAll(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        comps = settle(components(settle(known)))
     return comps
 
 

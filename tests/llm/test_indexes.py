@@ -241,8 +241,12 @@ def test_forest_against_all_pairs(spark, seed):
     assert {tuple(r) for r in lshforest.groups(docs).collect()} == brute_groups(texts)
 
 
-def test_forest_with_regions_cut_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pairs_per_row", [20, 0])
+def test_forest_with_regions_cut_into_blocks(spark, monkeypatch, pairs_per_row):
     monkeypatch.setattr(lshforest, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(lshforest, "FEW_ROWS", 5)
+    monkeypatch.setattr(lshforest, "PART_EDGES", 15)
+    monkeypatch.setattr(lshforest, "PAIRS_PER_ROW", pairs_per_row)
     texts = families(3)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in lshforest.groups(docs).collect()} == brute_groups(texts)
@@ -250,20 +254,34 @@ def test_forest_with_regions_cut_into_blocks(spark, monkeypatch):
 
 def test_small_regions_are_compared_whole_and_large_ones_by_depth():
     rng = np.random.default_rng(5)
-    seq = rng.integers(0, 3, (200, lshforest.DEPTH)).astype(np.uint32)
-    seq[:, :lshforest.MIN_DEPTH] = 0
+    seq = rng.integers(0, 3, (200, lshforest.REST)).astype(np.uint32)
     seq = seq[np.lexsort(seq.T[::-1])]
-    n, comp = np.ones(200, int), np.arange(200)
-    found = {(int(x), int(y)) for a, b in lshforest._region_pairs(seq, n, comp, False) for x, y in zip(a, b, strict=True)}
+    comp = np.arange(200)
+    pairs = lambda *a: {(int(x), int(y)) for p, q in lshforest._region_pairs(*a) for x, y in zip(p, q, strict=True)}
+    found = pairs(seq, comp, "all")
     assert all((i, i + 1) in found for i in range(199))
-    prefix = seq[:, :6]
-    for i, j in itertools.combinations(range(200), 2):
-        alike = (prefix == prefix[i]).all(1)
-        if (prefix[i] == prefix[j]).all() and alike.sum() <= lshforest.REGION:
-            assert (i, j) in found
-    small = {(int(x), int(y)) for a, b in lshforest._region_pairs(seq[:10], n[:10], comp[:10], False) for x, y in zip(a, b, strict=True)}
-    assert small == set(itertools.combinations(range(10), 2))
-    assert not list(lshforest._region_pairs(seq, n, np.zeros(200, int), False))
+    for depth in range(1, lshforest.REST + 1):
+        prefix = seq[:, :depth]
+        for i, j in itertools.combinations(range(200), 2):
+            if (prefix[i] == prefix[j]).all() and (prefix == prefix[i]).all(1).sum() <= lshforest.REGION:
+                assert (i, j) in found
+    assert pairs(seq[:10], comp[:10], "all") == set(itertools.combinations(range(10), 2))
+    assert pairs(seq[:10], comp[:10], "near") == {(i, i + 1) for i in range(9)} and not pairs(seq[:10], comp[:10], "hub")
+    assert not pairs(seq, np.zeros(200, int), "all")
+    copies = np.tile(np.arange(lshforest.REST, dtype=np.uint32), (50, 1))
+    copies[np.arange(49), np.arange(49) % lshforest.REST] = 99 + np.arange(49)
+    assert lshforest._hub(copies) == 49
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_contracted_links(links):
+    root = {i: i for i in range(31)}
+    for _ in range(31):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes, low = lshforest.contract(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+    assert dict(zip(nodes.tolist(), low.tolist(), strict=True)) == {i: root[i] for i in {x for link in links for x in link}}
 
 
 def test_signatures_estimate_the_similarity():
