@@ -7,8 +7,8 @@ Equal sets become one class first, so copies cost nothing further. Then:
    region. Two sets of similarity 0.8 share none of the 24 regions with a chance of 3e-8.
 3. Candidates. First each set and the neighbour before it, which has the longest common prefix, in a few trees; links
    form components, and from then on only sets of different components are compared. Regions above ``REGION`` sets
-   are then compared with a hub, the set that has the commonest value in most places, in turns over the trees
-   while that brings links. Then all trees: a region of up to ``REGION`` sets is compared as it is, a larger one goes
+   are then compared with a hub, the set that has the commonest value in most places, in a third of the trees.
+   Then all trees: a region of up to ``REGION`` sets is compared as it is, a larger one goes
    deeper, value by value, until its parts are that small; what stays large is compared with its hub and neighbours.
 4. Verification. Pairs whose signatures differ by more than six standard deviations from what a link allows go;
    of the others the common grams are counted on the full sets.
@@ -44,10 +44,10 @@ REST = DEPTH - MIN_DEPTH
 NEAR_TREES = 3  # orders whose neighbours are compared first
 REGION = 24  # sets that are compared pair by pair
 BLOCK_ROWS = 20_000  # rows of a region that one task sorts; more are cut by their whole sequence
-HUB_TURNS = 3  # parts of the trees that take turns
+HUB_PART = 3  # one of so many trees gives hubs
 FEW_ROWS = 1_000_000  # rows of some 40 bytes that may be broadcast; beyond, both sides are shuffled
 PART_EDGES = 500_000  # links that one task contracts
-PAIRS_PER_ROW = 20  # comparisons per prefix row beyond which the rest is left to ``jaccard.link``
+PAIRS_PER_ROW = 5  # comparisons per prefix row beyond which the rest is left to ``jaccard.link``
 SLACK = 6  # standard deviations of the signatures' estimate
 _BLOCK = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -303,8 +303,10 @@ def rare_pairs(sets: DataFrame, comps: DataFrame | None, percent: int) -> DataFr
     need = ((percent * F.col("n") + 99 - (percent * F.col("n") + 99) % 100) / 100).cast("int")
     shared = rows.join(counts, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     # Grams of one set only come first in the order and cannot be shared, so they only shorten the prefix.
-    prefix = shared.where(F.size("g") >= need).select("id", "n", F.explode(F.slice("g", F.lit(1), F.size("g") - need + 1)).alias("g"))
-    prefix = prefix.select("id", "n", F.col("g.gram").alias("gram"), F.col("id").alias("comp"))
+    prefix = shared.where(F.size("g") >= need).select(
+        "id", "n", (F.col("n") - F.size("g")).alias("dropped"), F.posexplode(F.slice("g", F.lit(1), F.size("g") - need + 1)))
+    prefix = prefix.select(
+        "id", "n", (F.col("dropped") + F.col("pos")).alias("at"), F.col("col.gram").alias("gram"), F.col("id").alias("comp"))
     if comps is not None:
         named = comps.select("id", F.col("comp").alias("of"))
         prefix = prefix.join(few(named), "id", "left").withColumn("comp", F.coalesce("of", "comp")).drop("of")
@@ -320,6 +322,8 @@ def rare_pairs(sets: DataFrame, comps: DataFrame | None, percent: int) -> DataFr
     x, y = open_.where("comp <> top").alias("x"), open_.alias("y")
     fits = (F.col("x.comp") != F.col("y.comp")) & (
         100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    # From the first gram they share on, both must hold what a link needs.
+    fits = fits & ((100 + percent) * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= percent * (F.col("x.n") + F.col("y.n")))
     return x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(
         F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -356,10 +360,8 @@ def link(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFr
 
     add(candidates(open_rows(rows.where(tree < NEAR_TREES)), "near", 0, percent))
     rest = open_rows(rows)
-    for turn in range(HUB_TURNS):
-        large = rest.where((F.col("m") > REGION) & (tree % HUB_TURNS == turn))
-        if large.isEmpty() or not add(candidates(large, "hub", turn, percent)):
-            break
+    large = rest.where((F.col("m") > REGION) & (tree % HUB_PART == 0))
+    if not large.isEmpty() and add(candidates(large, "hub", 1, percent)):
         rest = open_rows(rest)
     add(candidates(rest, "all", 0, percent))
     left = settle(open_rows(rest.where(F.col("m") > REGION)).select("id").distinct())
