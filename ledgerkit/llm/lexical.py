@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerkit.session import settle
+from ledgerkit.session import settle, settled
 
 SHARD_BYTES = 8 << 20  # text of a shard; a longer document makes a shard alone
 SHARD_DOCS = 1 << 16  # so that a place in a shard takes two bytes
@@ -316,7 +316,12 @@ def thresholds(lists: DataFrame, queries: Queries, k: int) -> dict[int, int]:
 
 
 def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text", k: int = TOP) -> DataFrame:
-    """item_id, rank, doc_id, score of each item's k best documents. ``index`` is read several times: settle it."""
+    """item_id, rank, doc_id, score of each item's k best documents.
+
+    ``index`` is settled when it is not: shards are named by the partition of the job that builds them, so an index
+    built anew, as one half of a union, would name them otherwise there.
+    """
+    index = settled(index)
     kind, doc_kind = items.schema[item_col].dataType, index.schema["ids"].dataType.elementType
     n_docs, n_terms = index.where("term is null").agg(F.sum("df"), F.sum("total")).first()
     scored = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("doc_id", doc_kind), T.StructField("score", T.LongType())])
