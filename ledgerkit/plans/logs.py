@@ -11,6 +11,7 @@ from ledgerkit.functions import predicates as p
 from ledgerkit.functions.exprs import clock_seconds, date_diff, percent
 from ledgerkit.operators import ordered
 from ledgerkit.operators.aggs import avg_last_n, by_period
+from ledgerkit.session import settle
 
 # Error numbers that pass by themselves and those that do not.
 TRANSIENT = [1205, 1222, -2, 8645]
@@ -70,9 +71,10 @@ def parse_events(df: DataFrame, fields: Mapping[str, tuple[str, str]], xml: str
     """Columns from event documents. A field is name -> (``data`` or ``action``, SQL type).
 
     Each document is parsed once; the values are then looked up by name. Text that does not fit
-    a type gives null.
+    a type gives null. The parse is a generator of one row, through which Spark pushes no filter: a filter below
+    would parse the document again for each of its conditions.
     """
-    out = df.withColumn("__e", F.from_xml(xml, DOCUMENT)).select(
+    out = df.select("*", F.explode(F.array(F.from_xml(xml, DOCUMENT))).alias("__e")).select(
         *[c for c in df.columns if c != xml], F.col("__e._name").alias("name"),
         F.try_to_timestamp("__e._timestamp").cast("timestamp_ntz").alias("ts"),
         *[F.map_from_entries(F.coalesce(f"__e.{part}", F.array().cast("array<struct<_name string, value string>>"))).alias("__" + part)
@@ -91,9 +93,12 @@ def by_hash(parsed: DataFrame, hash_col: str, value: str) -> DataFrame:
 
 
 def recent(parsed: DataFrame, name: str, hours: int, as_of) -> DataFrame:
-    """Events of one kind in the last hours, newest first."""
+    """Events of one kind in the last hours, newest first.
+
+    The found rows are settled, since sorting samples its input first and that would parse all documents twice.
+    """
     rows = parsed.filter((F.col("name") == name) & p.last("ts", hours, "hour", as_of))
-    return rows.orderBy(F.desc("ts"))
+    return settle(rows).orderBy(F.desc("ts"))
 
 
 def error_stats(log: DataFrame):

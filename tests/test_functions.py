@@ -314,6 +314,18 @@ def test_bad_documents_give_nulls(spark):
     assert out[1] == ("e", datetime(2024, 1, 1, 10), 12, None) and out[2] == ("e", None, None, "u") and out[3] == (None,) * 4
 
 
+def test_recent_events_parse_a_document_once(spark, capsys):
+    docs = spark.createDataFrame(
+        [(i, f'<event name="{"error" if i % 3 else "view"}" timestamp="2024-01-{i + 20}T10:00:00"/>') for i in range(1, 8)], "id int, xml string")
+    parsed = logs.parse_events(docs.repartition(2), {"duration": ("data", "int")})
+    parsed.filter((F.col("name") == "error") & (F.col("ts") > "2024-01-22")).explain()
+    assert capsys.readouterr().out.count("from_xml(") == 1
+    recent = logs.recent(parsed, "error", 96, "2024-01-26 00:00:00")
+    assert [r["id"] for r in recent.collect()] == [5, 4, 2]
+    recent.explain()
+    assert "from_xml(" not in capsys.readouterr().out  # sorting samples rows that are parsed already
+
+
 def test_top_per_group_beyond_the_limit(bank, monkeypatch, rows):
     want = rows(ordered.top_per_group(bank.tx, ["type"], ["-ts", "account_id", "line", "part_id", "supplier_id"], 30))
     monkeypatch.setattr(ordered, "GROUP_LIMIT", 10)
