@@ -136,6 +136,7 @@ def mark_inactive(accounts: DataFrame, tx: DataFrame, days: int, as_of, state: s
 # Restartable batches
 
 BATCHES_PER_JOB = 100
+MAX_JOBS = 10  # of one run; with more batches than these jobs hold, a job takes more of them
 STATE_SCHEMA = "batch long, last_key string, rows long, state string"
 
 
@@ -160,13 +161,34 @@ def batch_bounds(df: DataFrame, key: str, size: int) -> list:
     return sorted({*cuts, row["top"]})
 
 
+def _below(value: Column, bounds: Sequence[Column]) -> Column:
+    """How many of the ascending ``bounds`` lie below the value, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*bounds)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(bounds)) & (F.get(table, F.least(at + step, F.lit(len(bounds))) - 1) < value), at + step).otherwise(at))
+
+
+def _rows_written(spark: SparkSession, path: str, numbers: Sequence[int]) -> dict[int, int]:
+    """Rows of each of these batches; other batches' files are not listed. A batch without rows has no folder."""
+    wanted = ",".join(map(str, numbers))
+    try:
+        files = spark.read.schema("batch long").option("basePath", f"{path}/data").parquet(f"{path}/data/batch={{{wanted}}}")
+    except AnalysisException:  # none of them has rows
+        return {}
+    return {r["batch"]: r["count"] for r in files.groupBy("batch").count().collect()}
+
+
 def run_batches(
     df: DataFrame, key: str, size: int, path: str, fn: Callable[[DataFrame], DataFrame],
     max_batches: int | None = None, per_job: int = BATCHES_PER_JOB,
 ) -> DataFrame:
     """Process ``df`` in key ranges of about ``size`` rows: one folder ``data/batch=n`` and one state row per batch.
 
-    ``per_job`` batches are written by one job: their rows are numbered in one pass and dealt out by the number,
+    ``per_job`` batches are written by one job, more where a run would need over ``MAX_JOBS`` jobs: each of them reads
+    the table where that is not laid out by the key. A job's rows are numbered in one pass and dealt out by the number,
     so all cores work, and a batch whose key repeats too often is still split over tasks. A job's
     files and then its state rows appear as a whole. A run that broke off goes on after
     the last batch in the state; what a broken job left is overwritten, other batches keep their files. ``fn``
@@ -179,18 +201,18 @@ def run_batches(
     number, last = (done["b"] or 0), done["k"]
     rest = df if last is None else df.filter(F.col(key) > bound(last))
     bounds = batch_bounds(rest, key, size)[:max_batches]
+    per_job = max(per_job, math.ceil(len(bounds) / MAX_JOBS))
     for at in range(0, len(bounds), per_job):
         uppers = bounds[at:at + per_job]
         part = df.filter(F.col(key) <= bound(uppers[-1]))
         if last is not None:
             part = part.filter(F.col(key) > bound(last))
-        passed = reduce(lambda a, b: a + b, [(F.col(key) > bound(u)).cast("long") for u in uppers[:-1]], F.lit(number + 1).cast("long"))
-        out = fn(part.withColumn("batch", passed))
+        passed = _below(F.col(key), [bound(u) for u in uppers[:-1]]).cast("long")
+        out = fn(part.withColumn("batch", F.lit(number + 1).cast("long") + passed))
         out.hint("rebalance", "batch").write.partitionBy("batch").mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").parquet(f"{path}/data")
         numbers = range(number + 1, number + len(uppers) + 1)
-        written = {r["batch"]: r["count"] for r in spark.read.parquet(f"{path}/data").filter(
-            F.col("batch").between(numbers[0], numbers[-1])).groupBy("batch").count().collect()}
+        written = _rows_written(spark, path, numbers)
         state = [(n, str(u), written.get(n, 0), "DONE") for n, u in zip(numbers, uppers, strict=True)]
         spark.createDataFrame(state, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/state/from={numbers[0]:08d}")

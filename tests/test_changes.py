@@ -83,6 +83,20 @@ def test_batches_resume_after_a_failure(spark, tmp_path):
     assert one.count() == 1
 
 
+def test_many_batches_take_few_jobs(spark, tmp_path):
+    """The number of jobs, each of which reads the table, does not grow with it."""
+    df, path = spark.range(1, 101).select("id", F.col("id").cast("decimal(12,2)").alias("k")), str(tmp_path / "run")
+    state = merge.run_batches(df, "k", 2, path, lambda part: part.filter("id <> 7 and id <> 8"), per_job=1)
+    assert len([p for p in (tmp_path / "run/state").iterdir()]) == merge.MAX_JOBS
+    rows = state.orderBy("batch").collect()
+    assert [r["batch"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) >= 45 and sum(r["rows"] for r in rows) == 98
+    uppers = [0.0, *[float(r["last_key"]) for r in rows]]
+    for r in spark.read.parquet(path + "/data").collect():
+        assert uppers[r["batch"] - 1] < r["k"] <= uppers[r["batch"]]
+    nothing = merge.run_batches(df, "k", 30, str(tmp_path / "none"), lambda part: part.filter("id < 0"))
+    assert nothing.agg(F.sum("rows")).first()[0] == 0
+
+
 def test_a_broken_job_is_written_again(spark, tmp_path):
     """Files without a state row, as left by a run that ended between the two, are replaced."""
     df, path = spark.range(1, 101).withColumn("v", F.lit(1)), str(tmp_path / "run")
