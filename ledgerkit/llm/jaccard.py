@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import chunks, frugal
+from ledgerkit.llm.common import chunks, frugal, near_keys
 from ledgerkit.session import discard, settle
 
 GRAM, PERCENT = 5, 75
@@ -189,8 +189,10 @@ def shared_counts(docs: DataFrame, total: int, percent: int) -> DataFrame:
 
 
 def load_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, grams) of the classes in ``wanted`` (id, sid, rep), read from the row that stands for each."""
-    rows = docs.join(wanted.withColumnRenamed("rep", "doc"), "doc").select("id", "sid", "text")
+    """(id, n, grams) of the classes in ``wanted`` (id, sid, rep; settled), read from the row that stands for each."""
+    # Only texts of probable ids are shuffled.
+    near = near_keys(docs, "doc", wanted.select("rep"))
+    rows = near.join(wanted.withColumnRenamed("rep", "doc"), "doc").select("id", "sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,8 +357,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
     Repeated rows become one; different texts under one id both stay, and so do rows with a null id.
     """
-    found = groups(df, id_col, text_col, percent)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = df.where(F.col(id_col).isNotNull())
-    rest = named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
-    return rest.unionByName(df.where(F.col(id_col).isNull()))
+    found = groups(df, id_col, text_col, percent).where(F.col(id_col).isNotNull())
+    by_id = found.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.col(id_col) == F.col("component_id")).alias("_stays"))
+    # Ids that go or come with several rows; the others' rows stay where they lie.
+    doubtful = settle(by_id.where("_rows > 1 or not _stays").select(F.col(id_col).alias("_id"), "_stays"))
+    gone = doubtful.where("not _stays").select("_id")
+    near = near_keys(df, id_col, doubtful.select("_id"))
+    rest = near.join(gone, F.col(id_col) == F.col("_id"), "left_anti").dropDuplicates([id_col, text_col])
+    return near_keys(df, id_col, doubtful.select("_id"), "left_anti").unionByName(rest)

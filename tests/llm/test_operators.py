@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerkit.llm import (
-    decontaminate, entries, jaccard, licenses, lines, packing, repeats, secrets, shards, toxicity,
+    common, decontaminate, entries, jaccard, licenses, lines, packing, repeats, secrets, shards, toxicity,
 )
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "su", "te") for b in ("ran", "bel", "dor", "fin", "gus", "hal")]
@@ -81,6 +81,32 @@ def test_keep_one(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None"]
 
 
+def test_keep_one_with_ids_in_several_rows(spark, monkeypatch):
+    """Whatever the bitmap lets through by mistake, an exact join decides."""
+    rows = [(i, f"w{i} x{i} y{i} z{i} v{i} u{i} t{i}") for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + rows[:3] + [(5, "another text of five here"), (None, rows[7][1]), (None, None), (41, None), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted({r for r in rows if r[0] is not None and r[0] < 100} | {(41, None)}, key=str)
+    for bits in (8, 64, 1 << 15):
+        monkeypatch.setattr(common, "BITMAP_BITS", bits)
+        kept = [tuple(r) for r in jaccard.keep_one(docs).collect()]
+        assert sorted((r for r in kept if r[0] is not None), key=str) == want
+        assert sorted(str(r) for r in kept if r[0] is None) == sorted(str(r) for r in rows if r[0] is None)
+
+
+def test_near_keys_tells_rows_apart_where_they_lie(spark):
+    """Wide rows outside the keys are not shuffled; none of the keys is lost."""
+    rows = spark.range(0, 20_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("k"), F.lit("text").alias("text"))
+    keys = settle(spark.range(0, 20_000, 10).select(F.col("id").alias("key")))
+    near, far = common.near_keys(rows, "k", keys), common.near_keys(rows, "k", keys, "left_anti")
+    assert near.columns == far.columns == ["k", "text"]
+    assert near.where("k % 10 = 0").count() == 2_000 and near.count() < 2_000 + 18_000 * 0.06
+    assert near.count() + far.count() == 20_000 and far.where("k is null").count() == 20
+    for df in (near, far):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" in plan
+
+
 # Repeats --------------------------------------------------------------------------------------
 
 def removed(texts, length=repeats.LENGTH):
