@@ -158,6 +158,37 @@ def test_repeats_of_the_documents(spark, sf):
     assert got == removed(texts_of(spark, sf))
 
 
+@pytest.fixture
+def plain_joins(spark):
+    """No broadcast, and hot partitions are split from a few KB on."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_bucket_of_repeats_is_split(spark, plain_joins, monkeypatch):
+    # No frame that joins buckets also sums them in the join's stage, where Spark cannot split a hot one.
+    monkeypatch.setattr(repeats, "BUCKET_PLACES", 1)
+    frames = []
+    monkeypatch.setattr(repeats, "settle", lambda df: frames.append(df) or settle(df))
+    docs = spark.createDataFrame(list(repeated_passages(1).items()), "doc_id long, text string")
+    spans = repeats.spans(docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("tag"), "text"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*frames, spans]]
+    assert sum("SortMergeJoin [h#" in p for p in plans) >= 5
+    assert not [p for p in plans if "SortMergeJoin [h#" in p and "Aggregate(keys=[h#" in p]
+    # A bucket and a name with most rows: all pieces of the split join together give every row.
+    names = settle(spark.range(0, 40_000, 1, 8).selectExpr(
+        "if(id % 8 = 0, id div 16, -1) as h", "if(id % 8 = 0, id div 16, -1) as name", "id as mid"))
+    shared = repeats._shared(names)
+    assert sorted(r["mid"] for r in shared.collect()) == list(range(40_000))
+    assert "SortMergeJoin(skew=true)" in shared._jdf.queryExecution().executedPlan().toString()
+
+
 # Packing --------------------------------------------------------------------------------------
 
 def test_packing_round_trip(spark, sf):
